@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import quality_rules as rules
+from . import token_files, warc_index
 from .common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules,)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op9_token_files, op10_warc_index)}
