@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii_crf, token_files, warc_index
 from . import quality_rules as rules
-from . import token_files, warc_index
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -27,4 +31,4 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op9_token_files, op10_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op9_token_files, op10_warc_index)}
