@@ -166,7 +166,7 @@ def labelled_table(spark: SparkSession, n: int = 320, seed: int = 11) -> DataFra
 # ---- the field
 
 NAMED = frozenset(x for xs in CUES.values() for x in xs) | {"at", "dot", "(at)", "(dot)", "[at]", "[dot]", "=", ":", "is", "com", "org", "net"}
-EDGE = "\"'.,;:!?"
+EDGE = "\"'.,;:!?#*$%&|<>"
 
 
 def shape(word: str) -> str:
@@ -360,12 +360,14 @@ def named(text: str, words: list[tuple[int, int]], tags: np.ndarray) -> Iterator
 
 
 def plausible(kind: int, name: str) -> bool:
-    """Digits of an added card pass Luhn, an added phone has 7 to 15 of them, and an added address has small parts."""
+    """Digits of an added card pass Luhn, an added phone has 7 to 15 of them, an added mail address has its signs, and an added ip small parts."""
     digits = re.sub("[^0-9]", "", name)
     if KINDS[kind] == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if KINDS[kind] == "phone":
         return 7 <= len(digits) <= 15
+    if KINDS[kind] == "email":
+        return "@" in name or bool(re.search(r"\bat\b.*\bdot\b", name))
     return KINDS[kind] != "ip" or next(ips(name), None) == (0, len(name))
 
 

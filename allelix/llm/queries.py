@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii_crf, token_files, warc_index
+from . import language_id, pii_crf, rule_ensemble, token_files, warc_index
 from . import quality_rules as rules
-from .common import table
+from .common import crc_part, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -23,6 +24,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_part(F.col("doc_id"))
+    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part != 1, part == 1)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_part(F.col("doc_id"))
+    return language_id.languages(table(spark, sf_dir, "documents"), part != 1, part == 1)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,4 +42,4 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op9_token_files, op10_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op9_token_files, op10_warc_index)}
