@@ -1,3 +1,24 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLE_SQL: dict[str, str] = {}
+OP6 = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 13))::BIGINT AS h FROM lines
+), cuts AS (
+  SELECT *, CASE WHEN xor(h, coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) >> 1) % 4 = 0 THEN 1 ELSE 0 END AS cut FROM hashed
+), placed AS (
+  SELECT *, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cuts
+), chunks AS (
+  SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, k
+), ranked AS (
+  SELECT *, n > 1 AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM chunks
+)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, count(*) FILTER (gone)::BIGINT AS n_removed_chunks,
+       coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+       length(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), ''))::BIGINT AS kept_chars,
+       md5(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_md5
+FROM ranked GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_line_chunks": OP6}
