@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_chunks, pii_crf, rule_ensemble, token_files, warc_index
+from . import decontaminate, jaccard_tiles, language_id, line_chunks, pii_crf, rule_ensemble, token_files, warc_index
 from . import quality_rules as rules
 from .common import crc_part, table
 
@@ -40,6 +40,11 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[kept[c].alias(c) for c in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")], F.length(kept["text"]).cast("long").alias("kept_chars"), F.md5(kept["text"]).alias("kept_md5"))
 
 
+def op7_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_tiles.jaccard_components(table(spark, sf_dir, "documents"), join=jaccard_tiles.Join(words=3, percent=90))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,4 +57,4 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op6_line_chunks, op8_decontaminate, op9_token_files, op10_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op6_line_chunks, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index)}
