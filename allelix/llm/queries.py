@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_tiles, language_id, line_chunks, pii_crf, rule_ensemble, token_files, warc_index
+from . import decontaminate, jaccard_tiles, language_id, line_chunks, pii_crf, rule_ensemble, segment_samples, token_files, warc_index
 from . import quality_rules as rules
 from .common import crc_part, table
 
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"), part != 1, part == 1)
 
 
+def op5_segment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_samples.sampled_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
     kept = F.col("_kept")
@@ -57,4 +61,4 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op6_line_chunks, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op5_segment_samples, op6_line_chunks, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index)}
