@@ -81,22 +81,22 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """docs with ``_kept``: struct of text, n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
     gone = _short(stored(repeated_chunks(docs, id_col, text_col, mean_lines), "chunks-to-remove"))
-    keyed = docs.withColumns({"_doc": docs[id_col].cast("long"), "_tie": F.xxhash64(docs[text_col])})
-    joined = keyed.join(gone, keyed["_doc"].eqNullSafe(gone["doc"]) & (keyed["_tie"] == gone["tie"]), "left")
+    # The row is one column here, so that its columns' names do not meet those used below.
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
+    joined = keyed.join(gone, keyed["own"].eqNullSafe(gone["doc"]) & (keyed["hash"] == gone["tie"]), "left")
     changed = F.col("gone").isNotNull()
-    all_chunks = chunks(F.col(text_col), mean_lines)
-    left = F.filter(all_chunks, lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["first"]))
-    rows = joined.withColumn("_all", all_chunks).withColumn("_left", F.when(changed, left).otherwise(F.col("_all")))
+    left = F.filter("all", lambda c: ~F.array_contains("gone", c["first"]))
+    rows = joined.withColumn("all", chunks(F.col("text"), mean_lines)).withColumn("left", F.when(changed, left).otherwise(F.col("all")))
     count = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     kept = F.struct(
-        F.when(changed, F.array_join(F.transform("_left", lambda c: c["chunk"]), "\n")).otherwise(F.col(text_col)).alias("text"),
-        count(F.col("_all")).alias("n_lines"),
-        size("_all").alias("n_chunks"),
-        (size("_all") - size("_left")).alias("n_removed_chunks"),
-        (count(F.col("_all")) - count(F.col("_left"))).alias("n_removed_lines"),
+        F.when(changed, F.array_join(F.transform("left", lambda c: c["chunk"]), "\n")).otherwise(F.col("text")).alias("text"),
+        count("all").alias("n_lines"),
+        size("all").alias("n_chunks"),
+        (size("all") - size("left")).alias("n_removed_chunks"),
+        (count("all") - count("left")).alias("n_removed_lines"),
     )
-    return rows.withColumn("_kept", kept).select(*[docs_col for docs_col in docs.columns], "_kept")
+    return rows.select("row.*", kept.alias("_kept"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
