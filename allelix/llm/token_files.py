@@ -299,6 +299,8 @@ def read_token_files(manifest: DataFrame, docs_at_once: int = 512, with_ids: boo
                         out["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
                         if with_ids:
                             out["ids"].append(ids.tolist())
+                    if with_ids:
+                        out["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
