@@ -184,6 +184,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_groups(stars: DataFrame) -> DataFrame:
+    """node, root as components() gives them. First each node goes to the least centre that it has, which leaves few edges."""
+    stars = stored(stars, "stars")
+    near = stars.groupBy("b").agg(F.min("a").alias("near"))
+    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    parent = stored(nodes.join(near, nodes["node"] == near["b"], "left").select("node", F.coalesce("near", "node").alias("parent")), "parents")
+    a, b = parent.alias("pa"), parent.alias("pb")
+    left = stars.join(a, stars["a"] == F.col("pa.node")).join(b, stars["b"] == F.col("pb.node"))
+    short = left.select(F.col("pa.parent").alias("a"), F.col("pb.parent").alias("b")).where("a <> b").distinct()
+    up = components(short)
+    return parent.join(up.withColumnRenamed("node", "top"), F.col("parent") == F.col("top"), "left").select("node", F.coalesce("root", "parent").alias("root"))
+
+
 def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that join all similar sets: a pair is compared unless its sets are joined already. left: compare only across."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -229,7 +242,7 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) ->
     each = keyed.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sig")
     meet = Window.partitionBy("key")
     stars = each.withColumn("centre", F.min("sig").over(meet)).where("sig <> centre")
-    groups = components(stars.select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct())
+    groups = joined_groups(stars.select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct())
     members = stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", "n_shingles", "class_id"), "candidates")
     blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / join.tile_sets, F.sum("n_shingles") / join.tile_shingles)).cast("int").alias("blocks"))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
