@@ -26,12 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = crc_part(F.col("doc_id"))
-    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part != 1, part == 1)
+    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part != 1, F.coalesce(part == 1, F.lit(False)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = crc_part(F.col("doc_id"))
-    return language_id.languages(table(spark, sf_dir, "documents"), part != 1, part == 1)
+    return language_id.languages(table(spark, sf_dir, "documents"), part != 1, F.coalesce(part == 1, F.lit(False)))
 
 
 def op5_segment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
