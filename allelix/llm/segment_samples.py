@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with sampled segmentations: Gumbel top-k without replacement.
 
 A text's lattice has an edge for every piece of the vocabulary that fits; characters without a piece fall back to
-bytes. No piece crosses the cells ``white space + word`` or a line end, so the lattice is a chain of the cells' lattices, which
+bytes. No piece crosses the cells ``white space + word`` or a line end (nor, here, the 2,000th character of a word), so the
+lattice is a chain of the cells' lattices, which
 are built once for each different cell of a batch (rolling hashes find the pieces, sums from the end give the mass
 behind each node). A segmentation's probability is the product of its pieces' weights over the lattice's total.
 
@@ -38,6 +39,8 @@ from .common import ids_and_text, mapped, mix
 MARK = "▁"
 SCHEMA = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 CELL = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: Characters of a cell; a longer word is a chain of cells.
+LONGEST = 2000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,10 +76,12 @@ class Vocabulary:
         self.unknown = model.unk_id()
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.size = n
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.spans = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes])])
         if any(re.search(f"[^{MARK}]{MARK}|\n", pieces[i]) for i in plain):
             raise ValueError("the vocabulary has pieces across words")
         self.singles = {pieces[i] for i in plain if len(pieces[i]) == 1}
-        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for length in sorted({len(pieces[i]) for i in plain}):
             own = np.array([i for i in plain if len(pieces[i]) == length])
             key = np.zeros(len(own), np.uint64)
@@ -85,8 +90,14 @@ class Vocabulary:
                 key = key * BASE + mix(codes[:, j])
             order = np.argsort(key)
             some = np.zeros(1 << 16, bool)
-            some[mix(key) >> np.uint64(48)] = True
-            self.tables.append((length, key[order], own[order], some))
+            some[key * BASE >> np.uint64(48)] = True
+            longer = np.array([[ord(c) for c in p] for p in {pieces[i][:length] for i in plain if len(pieces[i]) > length}], np.uint64).reshape(-1, length)
+            start = np.zeros(len(longer), np.uint64)
+            for j in range(length):
+                start = start * BASE + mix(longer[:, j])
+            begun = np.zeros(1 << 16, bool)  # beginnings of longer pieces
+            begun[start * BASE >> np.uint64(48)] = True
+            self.tables.append((length, key[order], own[order], some, begun))
         self.single_codes = np.sort(np.array([ord(c) for c in self.singles]))
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
@@ -101,6 +112,14 @@ class Vocabulary:
             done = k + 1
         return np.concatenate([*out, ids[done:]])
 
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """decode() of each stretch of ids between bounds."""
+        size = self.spans[ids + 1] - self.spans[ids]
+        ends = np.cumsum(size)
+        data = self.flat[np.repeat(self.spans[ids] - (ends - size), size) + np.arange(size.sum())].tobytes()
+        cuts = np.concatenate([[0], ends])[bounds].tolist()
+        return [data[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids, in UTF-8, without the space that stands before every text."""
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
@@ -108,7 +127,7 @@ class Vocabulary:
 
 class Lattices:
     """Lattices of different cells: a node for each character and each cell's end, and at each node a column for each
-    length of piece. An edge is node * columns + column.
+    length of piece. An edge is row * columns + column.
     """
 
     def __init__(self, cells: list[str], words: Vocabulary):
@@ -118,63 +137,73 @@ class Lattices:
         code = np.frombuffer("\0".join([*cells, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         left = np.repeat(self.first + sizes, sizes + 1) - np.arange(n)
         self.columns, self.lengths = columns, np.array([t[0] for t in words.tables])
+        # Rows stand in order of the distance to the cell's end, as they are summed; row[node] is a node's row.
+        order = np.argsort(left.astype(np.int32), kind="stable")
+        bounds = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
         piece, value = np.full((n, columns), -1, np.int32), np.full((n, columns), -np.inf)
         hashed, rolled, done = mix(code), np.zeros(n, np.uint64), 0
         fits = np.flatnonzero(left > 0)
-        for column, (length, keys, own, some) in enumerate(words.tables):
+        for column, (length, keys, own, some, begun) in enumerate(words.tables):
             while done < length:
                 rolled[: max(0, n - done)] = rolled[: max(0, n - done)] * BASE + hashed[done:]
                 done += 1
             fits = fits[left[fits] >= length]
             key = rolled[fits]
-            maybe = some[mix(key) >> np.uint64(48)]
-            at, key = fits[maybe], key[maybe]
+            slot = key * BASE >> np.uint64(48)
+            maybe, on = some[slot], begun[slot]
+            at, key, fits = fits[maybe], key[maybe], fits[on]
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[place] == key
-            piece[at[hit], column] = own[place[hit]]
-            value[at[hit], column] = words.weight[own[place[hit]]]
-        inner = np.flatnonzero((left > 0) & (piece[:, 0] < 0))  # no piece of this one character
-        points = code[inner].astype(np.int64)
+            at, place = row[at[hit]], own[place[hit]]
+            piece[at, column] = place
+            value[at, column] = words.weight[place]
+        inner = bounds[1] + np.flatnonzero(piece[bounds[1] :, 0] < 0)  # no piece of this one character
+        points = code[order[inner]].astype(np.int64)
         piece[inner, 0] = points + words.size
         value[inner, 0] = words.byte_weight * (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
-        order = np.argsort(left.astype(np.int32), kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
         behind = np.zeros(n)
-        self.sums = np.full((n, columns), 2.0, np.float32)
+        self.sums = np.full((n, -(-columns // 8) * 8), 2.0, np.float32)
         for far in range(1, len(bounds) - 1):
-            at = order[bounds[far] : bounds[far + 1]]
+            part = slice(bounds[far], bounds[far + 1])
+            at = order[part]
             c = int(np.searchsorted(self.lengths, far, "right"))  # no longer piece fits
-            own = value[at, :c] + behind[at[:, None] + self.lengths[:c]]
+            own = value[part, :c]
+            for k in range(c):
+                own[:, k] += behind[at + self.lengths[k]]
             top = own.max(axis=1)
             own -= top[:, None]
             sums = np.cumsum(np.exp(own), axis=1)
-            total = sums[:, -1]
+            total = sums[:, -1].copy()
             behind[at] = top + np.log(total)
-            value[at, :c] = own - np.log(total)[:, None]
-            self.sums[at, :c] = sums / total[:, None]
-        self.by_node, self.log = value, value.ravel()
+            own -= np.log(total)[:, None]
+            sums /= total[:, None]
+            self.sums[part, :c] = sums
+        self.row, self.node, self.by_row, self.log, self.piece = row, order, value, value.ravel(), piece.ravel()
         self.final = columns - 1 - (piece[:, ::-1] >= 0).argmax(axis=1)
-        self.piece, self.last_node = piece.ravel(), left == 0
-
-    def start(self, edges: np.ndarray) -> np.ndarray:
-        return edges // self.columns
+        self.cells_end = bounds[1]  # rows before it are cells' ends
 
     def end(self, edges: np.ndarray) -> np.ndarray:
-        return edges // self.columns + self.lengths[edges % self.columns]
+        """The node that each edge leads to."""
+        return self.node[edges // self.columns] + self.lengths[edges % self.columns]
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random edges from each node to its cell's end: the edges in order, and the place of each one's node."""
         who, at = np.arange(len(nodes)), nodes.copy()
-        live = ~self.last_node[at]
-        who, at = who[live], at[live]
         taken, whose, step = [], [], 0
-        while len(at):
-            column = np.minimum((self.sums[at] <= uniform(seeds[who], step).astype(np.float32)[:, None]).sum(axis=1), self.final[at])
-            taken.append(at * self.columns + column)
+        while True:
+            row = self.row[at]
+            live = row >= self.cells_end
+            if not live.all():
+                who, at, row = who[live], at[live], row[live]
+            if not len(at):
+                break
+            passed = (self.sums[row] <= uniform(seeds[who], step).astype(np.float32)[:, None]).view(np.uint64)  # eight truths in a word
+            column = np.minimum(np.bitwise_count(passed).sum(axis=1, dtype=np.int64), self.final[row])
+            taken.append(row * self.columns + column)
             whose.append(who)
             at = at + self.lengths[column]
-            live = ~self.last_node[at]
-            who, at = who[live], at[live]
             step += 1
         if not taken:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -201,14 +230,23 @@ def gumbel(where: float, u: float, top: float) -> float:
     return -high - math.log1p(math.exp(low - high)) if high > -math.inf else math.inf
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Cells of all texts: their codes in order, the different cells, and each text's first cell (with the end)."""
+def cut(texts: pa.Array, slow: np.ndarray | None = None) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Cells of all texts: their codes in order, the different cells, and each text's first cell (with the end).
+
+    slow: texts to cut one by one: where spaces meet or start the text, and where a word is longer than LONGEST.
+    """
     n = len(texts)
-    slow = pc.match_substring_regex(texts, f"^ |  |{MARK}").to_numpy(zero_copy_only=False) if n else np.empty(0, bool)
+    if slow is None:
+        slow = pc.match_substring_regex(texts, f"^ |  |{MARK}").to_numpy(zero_copy_only=False) if n else np.empty(0, bool)
     fast = pc.if_else(pa.array(slow), pa.scalar(None, pa.string()), pc.replace_substring(texts, "\n", " \n "))
     lists = pc.split_pattern(pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar(None, pa.string()), fast), " ")
     length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
+    long = pc.greater(pc.utf8_length(flat), LONGEST - 1).to_numpy(zero_copy_only=False)
+    if long.any():
+        slow = slow.copy()
+        slow[np.repeat(np.arange(n), length)[long]] = True
+        return cut(texts, slow)
     line = pc.equal(flat, "\n").to_numpy(zero_copy_only=False)
     lead = ~line
     lead[1:] &= ~line[:-1]
@@ -219,7 +257,8 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     row = np.repeat(np.arange(n), length)[full]
     cells = pc.binary_join_element_wise(pc.if_else(pa.array(lead[full]), MARK, ""), flat.filter(pa.array(full)), "")
     if slow.any():
-        odd = [(i, CELL.findall(MARK + texts[int(i)].as_py().replace(" ", MARK))) for i in np.flatnonzero(slow)]
+        whole = [(i, CELL.findall(MARK + texts[int(i)].as_py().replace(" ", MARK))) for i in np.flatnonzero(slow)]
+        odd = [(i, [c[j : j + LONGEST] for c in cells_of for j in range(0, len(c), LONGEST)]) for i, cells_of in whole]
         row = np.concatenate([row, np.repeat([i for i, _ in odd], [len(c) for _, c in odd])]).astype(np.int64)
         cells = pa.concat_arrays([cells, pa.array([c for _, cs in odd for c in cs], pa.string())])
         order = np.argsort(row, kind="stable")
@@ -241,12 +280,9 @@ class Path:
         size, done, before, mass = 48, since, 0.0, []
         while done < len(edges) and before > -50:
             part = edges[done : done + size]
-            node, column = np.divmod(part, lattices.columns)
             log = lattices.log[part]
             sums = before + np.cumsum(log)
-            rest = np.exp(lattices.by_node[node])
-            rest[np.arange(len(part)), column] = 0.0
-            mass.append(np.exp(sums - log) * rest.sum(axis=1))
+            mass.append(np.exp(sums - log) * -np.expm1(log))  # a node's only edge has log 0, and so no mass
             before, done, size = float(sums[-1]), done + len(part), 2 * size
         self.mass = np.concatenate(mass) if mass else np.empty(0)
 
@@ -261,7 +297,7 @@ class Path:
             step -= 1
         at = self.since + step
         node, own = divmod(int(self.edges[at]), self.lattices.columns)
-        share = np.exp(self.lattices.by_node[node])
+        share = np.exp(self.lattices.by_row[node])
         share[[own, *self.out.get(at, [])]] = 0.0
         column = min(int(np.searchsorted(np.cumsum(share), v * float(share.sum()), "right")), len(share) - 1)
         while share[column] == 0.0:
@@ -340,24 +376,26 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float
             plain = [t.as_py().encode() for t in texts]
             base = np.fromiter((zlib.crc32(t) if i is None else i & 0xFFFFFFFFFFFFFFFF for i, t in zip(row_ids, plain, strict=True)), np.uint64, len(plain))
             keys = mix(base + mix(np.array([seed], np.uint64)))
-            out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")} | ({"ids": []} if with_ids else {})
+            rows, listed = [], []
             for row_id, text, (paths, threshold, lattices) in zip(row_ids, plain, samples(texts, keys, words, k), strict=True):
                 want = text.replace(MARK.encode(), b" ")
                 for sample, p in enumerate(paths, 1):
-                    ids = words.expand(lattices.piece[p.edges]) if len(p.edges) else np.empty(0, np.int64)
                     gap = p.log_prob - threshold
                     inclusion = 0.0 if gap > 700 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))
-                    listed = ids.tolist()
-                    for c, v in zip(out, (row_id, sample, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), p.log_prob, p.value, inclusion, words.decode(listed) == want), strict=False):
-                        out[c].append(v)
-                    if with_ids:
-                        out["ids"].append(listed)
-            kinds = {"doc_id": pa.int64(), "sample": pa.int32(), "ids": pa.list_(pa.int32()), "round_trip": pa.bool_(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
-            return pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()})
+                    listed.append(words.expand(lattices.piece[p.edges]) if len(p.edges) else np.empty(0, np.int32))
+                    rows.append((row_id, sample, len(listed[-1]), zlib.crc32(listed[-1].astype("<u4").tobytes()), p.log_prob, p.value, inclusion, want))
+            names = [c.split()[0] for c in SCHEMA.split(", ")]
+            out = dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+            bounds, ids = np.concatenate([[0], np.cumsum(out["n_tokens"])]), np.concatenate(listed)
+            out["round_trip"] = [a == b for a, b in zip(out["round_trip"], words.decode_many(ids, bounds), strict=True)]
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+            kinds = {"doc_id": pa.int64(), "sample": pa.int32(), "round_trip": pa.bool_(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
+            return pa.RecordBatch.from_pydict({c: v if c == "ids" else pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()})
 
         return work
 
-    return mapped(ids_and_text(docs, id_col, text_col), make, SCHEMA + ", ids array<int>" * with_ids, most=1_500_000)
+    return mapped(ids_and_text(docs, id_col, text_col), make, SCHEMA + ", ids array<int>" * with_ids, most=2_500_000)
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
