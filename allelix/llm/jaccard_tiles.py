@@ -8,10 +8,12 @@ most D parts in use also give the keys of their empty parts). Shingles that a bo
 are left out of the keys; leaving the same shingles out of both sets never adds differences, so this loses no pair.
 
 Sets with equal fingerprints are one class, found by a partial aggregate, and only one class of a task gives keys.
-Classes that share a key are joined in candidate groups; a group's sorted hash arrays meet in one task, or, beyond
-``tile_sets`` sets or ``tile_shingles`` shingles, in the tasks of all pairs of its blocks. There, hashed bitmap
-signatures as wide as the tile's sizes ask for bound the overlap from above by bit counts; pairs that may pass, and
-are not joined yet, get the exact intersection of the sorted arrays. The links found make the components.
+Each set has a hashed bitmap signature, whose bit counts bound an overlap from above. Classes that share a key and whose
+bitmaps leave room for the similarity are joined in candidate groups: through the least class of each key first,
+then, in keys that still hold several groups, by comparing all bitmaps of different groups. A group's sorted hash
+arrays meet in one task, or, beyond ``tile_sets`` sets or ``tile_shingles`` shingles, in the tasks of all pairs of its blocks;
+pairs that the bit counts do not rule out, and that are not joined yet, get the exact intersection of the sorted
+arrays. The links found make the components.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts with fewer words than a shingle
 have one shingle, of all words; a component is named by its smallest id, nulls aside; repeated rows are copies; an
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, ids_and_text, mapped, mix, stored, string_hashes
 
-SETS = "doc_id long, n_shingles long, sig long, keys array<long>"
+SETS = "doc_id long, n_shingles long, sig long, keys array<long>, bits binary"
 #: Rows up to which a list of ids is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -128,6 +130,31 @@ def part_keys(hashes: np.ndarray, bounds: np.ndarray, join: Join, common: np.nda
     return np.concatenate(keys).astype(np.int64), np.concatenate(sets)
 
 
+def bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of two to four bits for each shingle; halves of a bitmap ORed are the bitmap of half as many bits."""
+    mixed = mix(hashes)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bits = max(64, 1 << (2 * (b - a) - 1).bit_length())
+        own = np.zeros(bits, np.uint8)
+        own[(mixed[a:b] & np.uint64(bits - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(own, bitorder="little").tobytes())
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in words of 64 bits, as one of so many words."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def may_be_similar(a: np.ndarray, n: int, maps: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bit counts leave room for the similarity: shingles of a set whose bit the other lacks are not shared."""
+    lost = np.bitwise_count(a & ~maps).sum(axis=1, dtype=np.int64)
+    gained = np.bitwise_count(maps & ~a).sum(axis=1, dtype=np.int64)
+    bound = np.minimum(n - lost, sizes - gained)
+    return 100 * bound >= percent * (n + sizes - bound)
+
+
 def common_shingles(rows: DataFrame, join: Join) -> np.ndarray:
     """Hashes of very common shingles, by a sample of about sample_docs documents; only the speed depends on them."""
     n = rows.count()
@@ -163,7 +190,9 @@ def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
             keys, sets = part_keys(hashes[own], np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))]), join, common)
             order = np.argsort(sets, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(sets, minlength=len(n)))])
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n), "sig": pa.array(sig), "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order]))})
+            kept = iter(bitmaps(hashes[own], np.concatenate([[0], np.cumsum(n[fresh])])))
+            bits = pa.array([next(kept) if f else None for f in fresh.tolist()], pa.binary())
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n), "sig": pa.array(sig), "bits": bits, "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order]))}).select(["doc_id", "n_shingles", "sig", "keys", "bits"])
 
         return work
 
@@ -219,10 +248,7 @@ def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None
             js = js[side[js] != side[i]]
         if not len(js):
             continue
-        lost = np.bitwise_count(maps[i] & ~maps[js]).sum(axis=1, dtype=np.int64)
-        gained = np.bitwise_count(maps[js] & ~maps[i]).sum(axis=1, dtype=np.int64)
-        bound = np.minimum(n[i] - lost, n[js] - gained)
-        js = js[100 * bound >= percent * (n[i] + n[js] - bound)]
+        js = js[may_be_similar(maps[i], n[i], maps[js], n[js], percent)]
         for part in np.array_split(js, len(js) // 256 + 1):
             part = part[root[part] != root[i]]
             if not len(part):
@@ -237,20 +263,98 @@ def similar(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None
     return links
 
 
-def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """a, b: fingerprints of similar sets, enough to join every component."""
-    each = keyed.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "sig")
-    meet = Window.partitionBy("key")
-    stars = each.withColumn("centre", F.min("sig").over(meet)).where("sig <> centre")
-    groups = joined_groups(stars.select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct())
-    members = stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", "n_shingles", "class_id"), "candidates")
-    blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / join.tile_sets, F.sum("n_shingles") / join.tile_shingles)).cast("int").alias("blocks"))
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    bins = int(total // join.tile_shingles) * 2 + int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def tiled(members: DataFrame, join: Join) -> DataFrame:
+    """members (sig, root, volume, ...) with block, x, y, bin: the cell (root, x, y) holds the blocks x and y of a group, and a bin
+    many small groups or one cell of a large one.
+    """
+    blocks = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / join.tile_sets, F.sum("volume") / join.tile_shingles)).cast("int").alias("blocks"))
+    total = members.agg(F.sum("volume")).first()[0] or 0
+    bins = int(total // join.tile_shingles) * 2 + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = placed.withColumn("other", other).select("sig", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "blocks")
-    tiled = tiled.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "x", "y"))).drop("blocks")
+    spread = placed.withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    return spread.withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "x", "y"))).drop("blocks", "other", "volume")
+
+
+def cells_of(tile: pa.Table):
+    """The tile's rows in order, and each cell's bounds and whether only pairs across its two blocks count."""
+    tile = tile.sort_by([("root", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    cell = np.stack([tile[c].to_numpy() for c in ("root", "x", "y")])
+    cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [tile.num_rows]]).tolist()
+    return tile, [(a, b, cell[1, a] != cell[2, a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def bounded(sizes: np.ndarray, maps: list[np.ndarray], label: np.ndarray, percent: int, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of different labels that their bitmaps do not rule out, enough to join all such."""
+    order = np.argsort(sizes, kind="stable")
+    n, words = sizes[order], min(map(len, maps))
+    own, links = np.stack([folded(maps[i], words) for i in order]), []
+    _, root = np.unique(label[order], return_inverse=True)
+    for i in range(len(n) - 1):
+        js = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, "right"))
+        js = js[root[js] != root[i]]
+        if side is not None:
+            js = js[side[order[js]] != side[order[i]]]
+        if len(js):
+            for j in js[may_be_similar(own[i], n[i], own[js], n[js], percent)]:
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    links.append((order[i], order[j]))
+    return links
+
+
+def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
+    """node, root: sets that share a key and that their bitmaps do not rule out, directly or through others, have one root.
+
+    Most such sets are joined through the least set of a key; keys that then still hold sets of several groups are
+    compared in full, bitmap by bitmap, in tiles.
+    """
+    some = keyed.where(F.size("keys") > 0)
+    meet = Window.partitionBy("key")
+    each = some.select(F.explode("keys").alias("key"), "sig")
+    members = stored(each.withColumn("centre", F.min("sig").over(meet)).withColumn("top", F.max("sig").over(meet)).where("centre <> top").select("key", "sig", "centre"), "members")
+    signs = stored(some.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "signatures")
+    one, two = signs.toDF("a", "n", "bits"), signs.toDF("b", "m", "more")
+    stars = members.where("sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct().join(one, "a").join(two, "b")
+
+    def pass_bound(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "bits", "more")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(x), len(y))
+                keep.append(bool(may_be_similar(folded(x, words), n, folded(y, words)[None], np.array([m]), join.percent)[0]))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    near = stored(stars.mapInArrow(pass_bound, "a long, b long"), "bounded-stars")
+    first = joined_groups(near)
+    label = F.coalesce("root", "sig")
+    labelled = members.select("key", "sig").join(first, members["sig"] == first["node"], "left").select("key", "sig", label.alias("label"))
+    mixed = labelled.withColumn("low", F.min("label").over(meet)).withColumn("high", F.max("label").over(meet)).where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
+    open_ = stored(mixed.join(signs, "sig").select("sig", "root", "label", "n", "bits", (F.octet_length("bits") / 8).cast("long").alias("volume")), "open-keys")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        tile, cells = cells_of(tile)
+        sig, n, label, block, bits = (tile[c].to_numpy() for c in ("sig", "n", "label", "block", "bits"))
+        a, b = [], []
+        for low, high, across in cells:
+            maps = [np.frombuffer(x, np.uint64) for x in bits[low:high]]
+            for i, j in bounded(n[low:high], maps, label[low:high], join.percent, block[low:high] if across else None):
+                a.append(sig[low + i])
+                b.append(sig[low + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    more = stored(tiled(open_, join).groupBy("bin").applyInArrow(compare, "a long, b long").distinct(), "bounded-pairs")
+    if not more.limit(1).count():
+        return first
+    return components(first.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+
+
+def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """a, b: fingerprints of similar sets, enough to join every component."""
+    groups = candidate_groups(keyed, join)
+    members = stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", F.col("n_shingles").alias("volume"), "class_id"), "candidates")
+    tiles = tiled(members.drop("class_id"), join)
 
     wanted = members.select(F.col("class_id").alias("wanted")).distinct()
     if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -268,20 +372,17 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) ->
     arrays = mapped(chosen, make, "sig long, hashes binary")
 
     def compare(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by([("root", "ascending"), ("x", "ascending"), ("y", "ascending")])
-        cell = np.stack([tile[c].to_numpy() for c in ("root", "x", "y")])
-        cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [tile.num_rows]])
+        tile, cells = cells_of(tile)
         sig, block, hashes = tile["sig"].to_numpy(), tile["block"].to_numpy(), tile["hashes"]
         a, b = [], []
-        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for low, high, across in cells:
             sets = [np.frombuffer(hashes[i].as_py(), np.uint64) for i in range(low, high)]
-            across = block[low:high] if cell[1, low] != cell[2, low] else None
-            for i, j in similar(sets, join.percent, across):
+            for i, j in similar(sets, join.percent, block[low:high] if across else None):
                 a.append(sig[low + i])
                 b.append(sig[low + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tiled.join(arrays, "sig").groupBy("bin").applyInArrow(compare, "a long, b long")
+    return tiles.join(arrays, "sig").groupBy("bin").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -296,7 +397,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return keyed.drop("keys").join(named, "sig", "left").select("doc_id", "n_shingles", component.alias("component_id"), "sig")
+    return keyed.drop("keys", "bits").join(named, "sig", "left").select("doc_id", "n_shingles", component.alias("component_id"), "sig")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
