@@ -121,7 +121,8 @@ def part_keys(hashes: np.ndarray, bounds: np.ndarray, join: Join, common: np.nda
         np.add.at(sums, at, mixed[mine])
         used[at] = True
         who = np.repeat(np.arange(len(n)), parts)
-        few = np.bincount(who[used], minlength=len(n)) <= most
+        # A set's own size bounds its differences too; only with so few parts in use may all of those differ.
+        few = np.bincount(who[used], minlength=len(n)) <= np.minimum(most, n * (100 - join.percent) // join.percent)
         place = np.arange(len(who)) - start[who]
         give = used | few[who]
         key = mix(sums[give] + mix((tile[who[give]].astype(np.uint64) << np.uint64(40)) + place[give].astype(np.uint64)))
