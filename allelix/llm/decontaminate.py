@@ -4,8 +4,9 @@ Texts and items are sequences of words in lower case without punctuation. A CGK
 start: at each step it writes the word it stands on, and a hash of step and word says whether it moves on; few edits of
 the sequence leave most written positions alike, so edit distance becomes Hamming distance. Sampled positions of the
 walk give a key. The walk is started at every word of every text, and at every word of every item that has a window
-left to read; equal keys make candidates. Walks are repeated with other hashes until the recall, measured by editing
-the items themselves at the highest rate allowed, reaches its target.
+left to read; equal keys make candidates. Walks are repeated with other hashes until the recall reaches its target in
+every class of item lengths. It is measured on the items themselves, edited at the highest rate allowed and put between
+other words; a class that no number of walks serves is reported by a warning.
 
 Each candidate names a text, an item and a place; the least edit distance (in words) between the whole item and any
 stretch of the text around that place is then computed exactly, for many candidates at once. An item is found if
@@ -22,6 +23,9 @@ other columns are not read.
 from __future__ import annotations
 
 import random
+import warnings
+from bisect import bisect
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,11 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, ids_and_text, mapped, string_hashes
+from .common import Words, ids_and_text, mapped, mix, string_hashes
 
 SCHEMA = "doc_id long, item_id long, item_words int, distance int, end_word int"
 
 
+#: The least words of the classes of item lengths in which recall is measured, and the edited items of each.
+CLASSES, TRIALS = (0, 8, 12, 16, 20, 30, 45), 300
+
+
 @dataclass(frozen=True)
 class Plan:
     """rate: edits per word of an item allowed. steps, samples: of a walk, and how many of its positions make a key.
@@ -84,6 +92,15 @@ class Walks:
             yield key
 
 
+def _laid(parts: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences in one array with gap zeros after each, where their words stand, and which one each word is of."""
+    which = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    starts = np.arange(len(which)) + gap * which
+    laid = np.zeros(len(which) + gap * (len(parts) + 1), np.uint64)
+    laid[starts] = np.concatenate(parts)
+    return laid, starts, which
+
+
 def _starts(n: int) -> np.ndarray:
     return np.arange(max(1, n - 4))
 
@@ -110,26 +127,39 @@ class Items:
             some[key >> np.uint64(44)] = True
             self.tables.append((key[order], which[order], place[order], some))
 
+    def recalls(self, plan: Plan) -> dict[int, np.ndarray]:
+        """For each length class, the share of edited items that the first 1, 2, ... walks find between other words."""
+        draw, walks, by_class = random.Random(plan.seed), Walks(plan, plan.most), defaultdict(list)
+        for w in self.words:
+            by_class[CLASSES[bisect(CLASSES, len(w)) - 1]].append(w)
+        new = lambda n: [np.uint64(draw.getrandbits(63) | 1) for _ in range(n)]
+        out = {}
+        for least, own in sorted(by_class.items()):
+            trial, texts = draw.choices(own, k=TRIALS), []
+            for w in trial:
+                edited = list(w)
+                for _ in range(int(plan.rate * len(w))):
+                    at, kind = draw.randrange(len(edited)), draw.randrange(3)
+                    edited[at : at + (kind != 1)] = [] if kind == 2 else new(1)
+                texts.append(np.array(new(plan.steps) + edited + new(plan.steps), np.uint64))
+            laid, starts, which = _laid(trial, plan.steps)
+            first = np.concatenate([np.arange(len(w)) < len(_starts(len(w))) for w in trial])
+            sides = [(laid, starts[first], which[first]), _laid(texts, plan.steps)]
+            found = np.zeros((plan.most, TRIALS), bool)
+            for k, keys in enumerate(zip(*(walks.keys(laid, starts) for laid, starts, _ in sides), strict=True)):
+                own_key, text_key = (key ^ mix(which.astype(np.uint64) + np.uint64(1)) for key, (_, _, which) in zip(keys, sides, strict=True))
+                found[k, sides[1][2][np.isin(text_key, own_key)]] = True
+            out[least] = np.logical_or.accumulate(found).mean(axis=1)
+        return out
+
     def _repeats(self, plan: Plan) -> int:
-        """Walks until as many edited items as the target asks for share a key with their originals."""
-        draw = random.Random(plan.seed)
-        trial = [w for w in self.words if len(w)]
-        trial = draw.sample(trial, min(len(trial), 300))
-        all_walks, missed = Walks(plan, plan.most), set(range(len(trial)))
-        keys = [[], []]
-        for w in trial:
-            edited = list(w)
-            for _ in range(int(plan.rate * len(w))):
-                at, kind = draw.randrange(len(edited)), draw.randrange(3)
-                new = np.uint64(draw.getrandbits(63) | 1)
-                edited[at : at + (kind != 1)] = [] if kind == 2 else [new]
-            for side, x in zip(keys, (w, np.array(edited, np.uint64)), strict=True):
-                side.append([set(k.tolist()) for k in all_walks.keys(np.append(x, np.zeros(plan.steps, np.uint64)), _starts(len(x)))])
-        for n in range(plan.most):
-            missed -= {i for i in missed if keys[0][i][n] & keys[1][i][n]}
-            if len(missed) <= (1 - plan.recall) * len(trial):
-                return max(2, n + 1)
-        return plan.most
+        """Walks until the recall reaches the target in every length class."""
+        self.recall = self.recalls(plan)
+        reached = [n for n in range(plan.most) if all(r[n] >= plan.recall for r in self.recall.values())]
+        if not reached:
+            low = ", ".join(f"{r[-1]:.3f} from {k} words" for k, r in self.recall.items() if r[-1] < plan.recall)
+            warnings.warn(f"{plan.most} walks miss the recall of {plan.recall}: {low}", stacklevel=2)
+        return max(2, reached[0] + 1) if reached else plan.most
 
     def candidates(self, words: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts, items, and the place in the text where the item would start; each once for eight places."""
