@@ -6,7 +6,11 @@ the sequence leave most written positions alike, so edit distance becomes Hammin
 walk give a key. The walk is started at every word of every text, and at every word of every item that has a window
 left to read; equal keys make candidates. Walks are repeated with other hashes until the recall reaches its target in
 every class of item lengths. It is measured on the items themselves, edited at the highest rate allowed and put between
-other words; a class that no number of walks serves is reported by a warning.
+other words.
+
+A walk of ``steps`` steps has no room in an item of fewer words. Such items, and those of a class that the walks do not
+serve, are found by exact pieces instead: an item that may have k edits is cut into k + 1 pieces, of which k edits leave
+one whole, so every place within the limit is a candidate. Nothing is lost there; common pieces cost time only.
 
 Each candidate names a text, an item and a place; the least edit distance (in words) between the whole item and any
 stretch of the text around that place is then computed exactly, for many candidates at once. An item is found if
@@ -23,9 +27,9 @@ other columns are not read.
 from __future__ import annotations
 
 import random
-import warnings
 from bisect import bisect
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -105,6 +109,32 @@ def _starts(n: int) -> np.ndarray:
     return np.arange(max(1, n - 4))
 
 
+def _class(n: int) -> int:
+    return CLASSES[bisect(CLASSES, n) - 1]
+
+
+def _pieces(n: int, edits: int) -> list[tuple[int, int]]:
+    """First word and words of each of the edits + 1 pieces that n words are cut into."""
+    cut = np.arange(edits + 2) * n // (edits + 1)
+    return [(int(a), int(b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _piece_keys(words: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For 1, 2, ... most words from each start, the key; words must end with as many zeros."""
+    key = np.zeros(len(starts), np.uint64)
+    for n in range(1, most + 1):
+        key = key * np.uint64(0x9E3779B97F4A7C15) ^ words[starts + (n - 1)]
+        yield n, key
+
+
+def _table(key: np.ndarray, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys in order, their items and places, and the leading bits that occur."""
+    order = np.argsort(key, kind="stable")
+    some = np.zeros(1 << 20, bool)
+    some[key >> np.uint64(44)] = True
+    return key[order], which[order], place[order], some
+
+
 class Items:
     """Benchmark items of one block, their keys, and what is needed to verify candidates."""
 
@@ -114,24 +144,31 @@ class Items:
         own = [(i, words[a:b]) for i, a, b in zip(ids, cut[:-1], cut[1:], strict=True) if b - a >= plan.least_words]
         self.ids, self.words = [i for i, _ in own], [w for _, w in own]
         self.allowed = [int(plan.rate * len(w)) for w in self.words]
-        self.plan, n = plan, self._repeats(plan)
-        self.walks = Walks(plan, n)
-        self.tables = []
-        found = [list(self.walks.keys(np.append(w, np.zeros(plan.steps, np.uint64)), _starts(len(w)))) for w in self.words]
-        for k in range(n if self.words else 0):
+        self.plan = plan
+        n, served = self._repeats(plan)
+        long = np.array([i for i, w in enumerate(self.words) if len(w) >= plan.steps and _class(len(w)) in served], int)
+        self.walks, self.tables = Walks(plan, n), []
+        found = [list(self.walks.keys(np.append(self.words[i], np.zeros(plan.steps, np.uint64)), _starts(len(self.words[i])))) for i in long]
+        for k in range(n):
             key = np.concatenate([x[k] for x in found])
-            which = np.repeat(np.arange(len(found)), [len(x[k]) for x in found])
-            place = np.concatenate([_starts(len(w)) for w in self.words])
-            order = np.argsort(key, kind="stable")
-            some = np.zeros(1 << 20, bool)
-            some[key >> np.uint64(44)] = True
-            self.tables.append((key[order], which[order], place[order], some))
+            place = np.concatenate([_starts(len(self.words[i])) for i in long])
+            self.tables.append(_table(key, np.repeat(long, [len(x[k]) for x in found]), place))
+        cut = defaultdict(list)
+        for i in np.setdiff1d(np.arange(len(self.words)), long):
+            for at, size in _pieces(len(self.words[i]), self.allowed[i]):
+                cut[min(size, plan.steps)].append((i, at))
+        self.pieces = {}
+        for size, places in cut.items():
+            which, place = np.array(places).T
+            key = dict(_piece_keys(np.concatenate([self.words[i][a : a + size] for i, a in places]), np.arange(len(places)) * size, size))[size]
+            self.pieces[size] = _table(key, which, place)
 
     def recalls(self, plan: Plan) -> dict[int, np.ndarray]:
-        """For each length class, the share of edited items that the first 1, 2, ... walks find between other words."""
+        """For each class of items with room for a walk, the share that the first 1, 2, ... walks find, edited and between other words."""
         draw, walks, by_class = random.Random(plan.seed), Walks(plan, plan.most), defaultdict(list)
         for w in self.words:
-            by_class[CLASSES[bisect(CLASSES, len(w)) - 1]].append(w)
+            if len(w) >= plan.steps:
+                by_class[_class(len(w))].append(w)
         new = lambda n: [np.uint64(draw.getrandbits(63) | 1) for _ in range(n)]
         out = {}
         for least, own in sorted(by_class.items()):
@@ -152,14 +189,18 @@ class Items:
             out[least] = np.logical_or.accumulate(found).mean(axis=1)
         return out
 
-    def _repeats(self, plan: Plan) -> int:
-        """Walks until the recall reaches the target in every length class."""
+    def _repeats(self, plan: Plan) -> tuple[int, set[int]]:
+        """Walks until the recall reaches the target in every length class that ``most`` walks serve, and these classes."""
         self.recall = self.recalls(plan)
-        reached = [n for n in range(plan.most) if all(r[n] >= plan.recall for r in self.recall.values())]
-        if not reached:
-            low = ", ".join(f"{r[-1]:.3f} from {k} words" for k, r in self.recall.items() if r[-1] < plan.recall)
-            warnings.warn(f"{plan.most} walks miss the recall of {plan.recall}: {low}", stacklevel=2)
-        return max(2, reached[0] + 1) if reached else plan.most
+        reached = {least: int(np.argmax(r >= plan.recall)) + 1 for least, r in self.recall.items() if r[-1] >= plan.recall}
+        return max(2, *reached.values()) if reached else 0, set(reached)
+
+    def _keys(self, words: np.ndarray, starts: np.ndarray):
+        """From each start, the key of each walk and piece length, and the items' table for it."""
+        yield from zip(self.walks.keys(words, starts), self.tables, strict=True)
+        for n, key in _piece_keys(words, starts, max(self.pieces, default=0)):
+            if n in self.pieces:
+                yield key, self.pieces[n]
 
     def candidates(self, words: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts, items, and the place in the text where the item would start; each once for eight places."""
@@ -169,7 +210,7 @@ class Items:
         padded[starts] = words
         first = np.searchsorted(doc, np.arange(docs))
         out = []
-        for key, (sorted_keys, which, place, some) in zip(self.walks.keys(padded, starts), self.tables, strict=True):
+        for key, (sorted_keys, which, place, some) in self._keys(padded, starts):
             at = np.flatnonzero(some[key >> np.uint64(44)])
             low, high = np.searchsorted(sorted_keys, key[at], "left"), np.searchsorted(sorted_keys, key[at], "right")
             n = high - low

@@ -28,3 +28,16 @@ def between_words(lengths, rate, n=300, seed=5):
 @pytest.mark.parametrize("lengths", [range(15, 20), range(20, 30), range(30, 60), range(15, 60)])
 def test_edited_items_between_words(lengths):
     assert between_words(lengths, 0.2) >= 0.98
+
+
+@pytest.mark.parametrize("n", range(5, 20))
+def test_short_items_are_all_found(n):
+    assert between_words([n], 0) == 1 and between_words([n], 0.2) == 1
+
+
+def test_class_that_walks_miss_goes_by_pieces():
+    few = decontaminate.Plan(most=1, recall=1.0)
+    items = decontaminate.Items([1], pa.array([" ".join(f"w{k}" for k in range(25))]), few)
+    assert not items.tables and items.pieces
+    values, doc = decontaminate.normal_words(pa.array(["a b " + " ".join(f"w{k}" if k % 5 else "new" for k in range(25)) + " c d"]))
+    assert [(i, x) for _, i, x, _ in items.verified(values, doc, 1)] == [(0, 5)]
