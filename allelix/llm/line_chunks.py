@@ -4,6 +4,10 @@ A text's lines are hashed, and a rolling hash over each line and the one before
 same passage is cut alike wherever it stands. Chunks of two lines or more that occur again anywhere are removed, all
 but the first occurrence by (id, hash of the text, place in the text).
 
+Cuts come once in four lines, so a passage of few lines mostly shares its chunks with what stands around it and stays.
+``dedup_passages`` compares every two successive lines that have words, wherever cuts would fall: any run of two such lines
+or more that occurs earlier goes whole. A single line that recurs between other lines stays under both rules.
+
 Three passes over the texts, each within the row (no line is ever shuffled alone):
 1. chunk hashes are counted, with a partial aggregation before the shuffle, so a very common chunk costs a row a task;
 2. the texts of chunks whose hash recurs are grouped by hash and bytes: that is the byte comparison, again after a
@@ -19,6 +23,8 @@ result; other columns of docs are carried along, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +64,20 @@ def chunks(text: Column, mean_lines: int = MEAN_LINES) -> Column:
     return F.when(text.isNotNull(), F.flatten(F.transform(bound, pieces)))
 
 
+def windows(text: Column) -> Column:
+    """Every two successive lines with words: array of (first line, number of lines with the empty ones between, their text)."""
+    lines = F.split(text, "\n", -1)
+    # transform over an array of one element binds a value once.
+    split = lambda lines: F.struct(lines.alias("lines"), F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(r"[^\x20\x09-\x0D]")).alias("full"))
+
+    def pairs(bound: Column) -> Column:
+        lines, full = bound["lines"], bound["full"]
+        pair = lambda k: F.struct(full[k - 1].alias("first"), (full[k] - full[k - 1] + 1).alias("n"), F.concat_ws("\n", lines[full[k - 1]], lines[full[k]]).alias("chunk"))
+        return F.when(F.size(full) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(full) - 1, F.lit(1))), pair))
+
+    return F.when(text.isNotNull(), F.flatten(F.transform(F.transform(F.array(lines), split), pairs)))
+
+
 def _short(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it is counted to be short."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -65,8 +85,14 @@ def _short(df: DataFrame) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """doc, tie, gone: the first lines of the chunks to remove from the documents with this id and hash of the text."""
+    again = _repeated(docs, id_col, text_col, lambda text: F.filter(chunks(text, mean_lines), lambda c: c["n"] > 1))
+    return again.groupBy("doc", "tie").agg(F.collect_set("first").alias("gone"))
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[Column], Column]) -> DataFrame:
+    """doc, tie, first, n: the pieces cut from the texts that are not the first occurrence of their bytes."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("text"))
-    each = rows.select("doc", "tie", F.explode(F.filter(chunks(F.col("text"), mean_lines), lambda c: c["n"] > 1)).alias("c")).select("doc", "tie", F.col("c.first").alias("first"), F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("h"))
+    each = rows.select("doc", "tie", F.explode(cut(F.col("text"))).alias("c")).select("doc", "tie", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("h"))
     recurring = stored(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring-chunks")
     found = each.join(_short(recurring), "h")
     texts = stored(found.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "first")).alias("keep")), "chunk-texts")
@@ -75,7 +101,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = texts.where("n > 1").join(clashes, "h", "left").select("h", F.when(F.col("clash"), F.col("chunk")).alias("only"), "keep")
     again = _short(stored(again, "repeated-chunks"))
     gone = found.join(again, (found["h"] == again["h"]) & (again["only"].isNull() | (again["only"] == found["chunk"]))).where(~F.struct("doc", "tie", "first").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc", "tie").agg(F.collect_set("first").alias("gone"))
+    return gone.select("doc", "tie", "first", "n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
@@ -104,3 +130,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = dedup_lines(docs, id_col, text_col, mean_lines)
     emptied = (F.col("_kept.n_removed_chunks") > 0) & ~F.col("_kept.text").rlike(r"[^\x20\x09-\x0D]")
     return rows.where(~emptied).select(*[F.col("_kept.text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ``_kept``: struct of text, n_lines, n_removed_lines; runs of two lines or more that occur earlier are removed."""
+    again = _repeated(docs, id_col, text_col, windows).groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    gone = _short(stored(again.select("doc", "tie", F.flatten(F.transform("gone", lambda w: F.sequence(w["first"], w["first"] + w["n"] - 1))).alias("gone")), "passages-to-remove"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
+    rows = keyed.join(gone, keyed["own"].eqNullSafe(gone["doc"]) & (keyed["hash"] == gone["tie"]), "left").withColumn("all", F.split("text", "\n", -1))
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone")))
+    text = F.transform(F.array(F.struct("all", "left")), lambda x: F.array_join(F.transform(x["left"], lambda i: x["all"][i]), "\n"))[0]
+    n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long")
+    kept = F.struct(F.when(F.col("left").isNotNull(), text).otherwise(F.col("text")).alias("text"), n.alias("n_lines"), F.when(F.col("left").isNotNull(), n - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
+    return rows.select("row.*", kept.alias("_kept"))

@@ -44,6 +44,12 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[kept[c].alias(c) for c in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")], F.length(kept["text"]).cast("long").alias("kept_chars"), F.md5(kept["text"]).alias("kept_md5"))
 
 
+def op6_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_chunks.dedup_passages(table(spark, sf_dir, "documents"))
+    kept = F.col("_kept")
+    return rows.select("doc_id", *[kept[c].alias(c) for c in ("n_lines", "n_removed_lines")], F.length(kept["text"]).cast("long").alias("kept_chars"), F.md5(kept["text"]).alias("kept_md5"))
+
+
 def op7_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_tiles.jaccard_components(table(spark, sf_dir, "documents"), join=jaccard_tiles.Join(words=3, percent=90))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -61,4 +67,4 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op5_segment_samples, op6_line_chunks, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index)}
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op5_segment_samples, op6_line_chunks, op6_line_passages, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index)}
