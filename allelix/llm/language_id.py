@@ -8,7 +8,8 @@ Up to five languages the code is exhaustive (all splits of the languages); beyon
 with a seed, keeping those that hold the codewords farthest apart.
 
 The classifiers are fitted on the driver from about ``sample_rows`` rows, chosen by a hash of the id among the rows that
-have a text of at most ``sample_bytes`` bytes and a language; everything else reads whole texts in the tasks, without a
+have a text of at most ``sample_bytes`` bytes and a language, with about LEAST_ROWS of each language at least; languages
+are counted over all rows, so that none is left without a codeword; everything else reads whole texts in the tasks, without a
 shuffle. A text's sum over n-grams is a gather from the weights and a segmented sum.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all texts where no row has a
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 BUCKETS = 1 << 14
+#: Rows to learn a language from at least, where it has them.
+LEAST_ROWS = 30
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -109,18 +112,25 @@ def decode(model: dict, texts: pa.Array, margin: float) -> tuple[np.ndarray, np.
     return best, likely[np.arange(len(best)), best], (order[:, 1] - order[:, 0]) < margin
 
 
-def training_rows(docs: DataFrame, wanted: Column, sample_rows: int) -> DataFrame:
-    """About sample_rows of the rows that are wanted, by a hash of the id."""
-    n = docs.where(wanted).count()
-    share = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    return docs.where(wanted & (share < min(1.0, sample_rows / max(n, 1))))
+def rows_by_language(docs: DataFrame, wanted: Column, sample_rows: int, sample_bytes: int, least: int = LEAST_ROWS) -> DataFrame:
+    """text, lang: about sample_rows of the wanted rows of at most sample_bytes, and about ``least`` of each language or all it has.
+
+    Languages are counted over all wanted rows. One with too few texts that short is learnt from the beginnings of longer ones.
+    """
+    short = F.octet_length("text") <= sample_bytes
+    counts = docs.where(wanted).groupBy("lang").agg(F.count_if(short).alias("n_short"), F.count("*").alias("n")).collect()
+    total = sum(r["n_short"] for r in counts)
+    share = [(r["lang"], r["n_short"] < least, min(1.0, max(sample_rows / max(total, 1), least / max(r["n"] if r["n_short"] < least else r["n_short"], 1)))) for r in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, long boolean, share double"))
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / 1_000_003
+    return docs.where(wanted).join(shares, "lang").where((short | F.col("long")) & (place < F.col("share"))).select(F.when(short, F.col("text")).otherwise(F.left("text", F.lit(sample_bytes))).alias("text"), "lang")
 
 
 def languages(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, sample_bytes: int = 20_000, margin: float = 0.05) -> DataFrame:
     """One row of SCHEMA per row of docs. learn: which rows may be learnt from; held_out: the column of that name."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), learn.alias("learn"), held_out.alias("held_out"))
-    wanted = F.col("learn") & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes) & F.col("text").rlike(r"\p{L}")
-    sample = training_rows(rows, wanted, sample_rows).select("text", "lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+    wanted = F.col("learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    sample = rows_by_language(rows, wanted, sample_rows, sample_bytes).toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     labels = sample.column("lang").to_pylist()
     model = fit(sample.column("text").combine_chunks(), labels) if len(set(labels)) > 1 else {"names": labels[:1]}
 
