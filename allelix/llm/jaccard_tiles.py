@@ -27,12 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, ids_and_text, mapped, mix, stored, string_hashes
 
-SETS = "doc_id long, n_shingles long, sig long, keys array<long>, bits binary"
+SETS = "doc_id long, tie long, n_shingles long, sig long, keys array<long>, bits binary"
 #: Rows up to which a list of ids is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -67,7 +67,8 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     hashed = string_hashes(pc.ascii_lower(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
     total = np.zeros(len(hashed), np.uint64)
     for j in range(k):
-        total[: len(hashed) - j] = total[: len(hashed) - j] * np.uint64(0x9E3779B97F4A7C15) + hashed[j:]
+        m = max(0, len(hashed) - j)  # a batch may hold fewer words than a shingle
+        total[:m] = total[:m] * np.uint64(0x9E3779B97F4A7C15) + hashed[j:]
     total = mix(total)
     parts, size = [], np.zeros(words.n, np.int64)
     first = words.first.tolist()
@@ -156,6 +157,11 @@ def may_be_similar(a: np.ndarray, n: int, maps: np.ndarray, sizes: np.ndarray, p
     return 100 * bound >= percent * (n + sizes - bound)
 
 
+def text_tie(text: Column) -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(text)
+
+
 def common_shingles(rows: DataFrame, join: Join) -> np.ndarray:
     """Hashes of very common shingles, by a sample of about sample_docs documents; only the speed depends on them."""
     n = rows.count()
@@ -193,7 +199,7 @@ def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.bincount(sets, minlength=len(n)))])
             kept = iter(bitmaps(hashes[own], np.concatenate([[0], np.cumsum(n[fresh])])))
             bits = pa.array([next(kept) if f else None for f in fresh.tolist()], pa.binary())
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n), "sig": pa.array(sig), "bits": bits, "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order]))}).select(["doc_id", "n_shingles", "sig", "keys", "bits"])
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "n_shingles": pa.array(n), "sig": pa.array(sig), "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order])), "bits": bits})
 
         return work
 
@@ -387,8 +393,8 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) ->
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id, sig per row of docs."""
-    rows = ids_and_text(docs, id_col, text_col)
+    """doc_id, n_shingles, component_id, sig, tie per row of docs."""
+    rows = ids_and_text(docs, id_col, text_col).withColumn("tie", text_tie(F.col("text")))
     keyed = keyed_sets(rows, join)
     classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles")), "classes")
     roots = components(links(rows, keyed, classes, join))
@@ -398,16 +404,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         named = F.broadcast(named)
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return keyed.drop("keys", "bits").join(named, "sig", "left").select("doc_id", "n_shingles", component.alias("component_id"), "sig")
+    return keyed.drop("keys", "bits").join(named, "sig", "left").select("doc_id", "n_shingles", component.alias("component_id"), "sig", "tie")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """The rows of docs that stand for their component: the smallest id; all rows without a component's name (null ids) or a word stay.
 
-    Repeated rows of one id stay together, as they are one document.
+    Repeated rows of one id and text stay together, as they are one document; of an id's other texts each is judged alone.
     """
     found = jaccard_components(docs, id_col, text_col, join)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("other"), F.col("tie").alias("other_tie")).distinct(), "near-copies")
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    # The row is one column here, so that its columns' names do not meet those used below.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own"), text_tie(docs[text_col]).alias("own_tie"))
+    return rows.join(gone, (F.col("own") == F.col("other")) & (F.col("own_tie") == F.col("other_tie")), "left_anti").select("row.*")

@@ -18,7 +18,7 @@ otherwise they are joined by shuffles.
 
 Defined results: a null text stays null (no lines), an empty one is one empty line and stays; rows with the same id and
 text count as one document and keep the same lines; null ids come first in the order; an empty table gives an empty
-result; other columns of docs are carried along, whatever their names.
+result; other columns of docs are carried along, whatever their names (one named ``_kept`` gives way to the result's).
 """
 
 from __future__ import annotations
@@ -104,8 +104,18 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[Column
     return gone.select("doc", "tie", "first", "n")
 
 
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, but for one named ``_kept``, and the operator's own ``_kept``."""
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "_kept"], F.col("kept").alias("_kept"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """docs with ``_kept``: struct of text, n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
+    return _unpacked(_deduped(docs, id_col, text_col, mean_lines), docs)
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, mean_lines: int) -> DataFrame:
+    """row: the columns of docs, and kept as dedup_lines has it."""
     gone = _short(stored(repeated_chunks(docs, id_col, text_col, mean_lines), "chunks-to-remove"))
     # The row is one column here, so that its columns' names do not meet those used below.
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
@@ -122,14 +132,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (size("all") - size("left")).alias("n_removed_chunks"),
         (count("all") - count("left")).alias("n_removed_lines"),
     )
-    return rows.select("row.*", kept.alias("_kept"))
+    return rows.select("row", kept.alias("kept"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
     """docs with their own columns: texts without the repeated chunks; documents of which no word is left are dropped."""
-    rows = dedup_lines(docs, id_col, text_col, mean_lines)
-    emptied = (F.col("_kept.n_removed_chunks") > 0) & ~F.col("_kept.text").rlike(r"[^\x20\x09-\x0D]")
-    return rows.where(~emptied).select(*[F.col("_kept.text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = _deduped(docs, id_col, text_col, mean_lines)
+    emptied = (F.col("kept.n_removed_chunks") > 0) & ~F.col("kept.text").rlike(r"[^\x20\x09-\x0D]")
+    return rows.where(~emptied).select(*[F.col("kept.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,4 +152,4 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.transform(F.array(F.struct("all", "left")), lambda x: F.array_join(F.transform(x["left"], lambda i: x["all"][i]), "\n"))[0]
     n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long")
     kept = F.struct(F.when(F.col("left").isNotNull(), text).otherwise(F.col("text")).alias("text"), n.alias("n_lines"), F.when(F.col("left").isNotNull(), n - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed_lines"))
-    return rows.select("row.*", kept.alias("_kept"))
+    return _unpacked(rows.select("row", kept.alias("kept")), docs)

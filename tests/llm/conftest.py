@@ -4,7 +4,7 @@ pytest.importorskip("allelix.llm")
 
 SF = "/root/testdata/sf0.001"
 #: Names that the operators use themselves, as columns of the input.
-CLASHING = ("sig", "keys", "key", "h", "chunk", "first", "doc", "tie", "gone", "label", "score", "sample", "ids", "root", "n_words", "held_out", "learn")
+CLASHING = ("sig", "keys", "key", "h", "chunk", "first", "doc", "gone", "label", "score", "sample", "ids", "root", "n_words", "held_out", "learn", "_gone", "row", "kept", "own", "tie", "other", "all", "left", "hash")
 
 
 @pytest.fixture(scope="session")
