@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding with sampled segmentations: Gumbel top-k without replacement.
 
 A text's lattice has an edge for every piece of the vocabulary that fits; characters without a piece fall back to
-bytes. No piece crosses the cells ``white space + word`` or a line end (nor, here, the 2,000th character of a word), so the
-lattice is a chain of the cells' lattices, which
-are built once for each different cell of a batch (rolling hashes find the pieces, sums from the end give the mass
+bytes. No piece crosses the cells ``white space + word`` or a line end, so the lattice is a chain of the cells' lattices
+(a word of any length is one cell), which are built once for each different cell of a batch (rolling hashes find the pieces, sums from the end give the mass
 behind each node). A segmentation's probability is the product of its pieces' weights over the lattice's total.
 
 Samples come by a perturbed A-star search. The whole lattice has a Gumbel value; the best segmentation is drawn by
@@ -39,8 +38,8 @@ from .common import ids_and_text, mapped, mix
 MARK = "▁"
 SCHEMA = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 CELL = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-#: Characters of a cell; a longer word is a chain of cells.
-LONGEST = 2000
+#: Bytes of text whose lattices, paths and ids a task holds at once; a longer text stands alone.
+SLICE_BYTES = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,8 +169,11 @@ class Lattices:
             at = order[part]
             c = int(np.searchsorted(self.lengths, far, "right"))  # no longer piece fits
             own = value[part, :c]
-            for k in range(c):
-                own[:, k] += behind[at + self.lengths[k]]
+            if len(at) < 64:  # far into long cells
+                own += behind[at[:, None] + self.lengths[:c]]
+            else:
+                for k in range(c):
+                    own[:, k] += behind[at + self.lengths[k]]
             top = own.max(axis=1)
             own -= top[:, None]
             sums = np.cumsum(np.exp(own), axis=1)
@@ -230,23 +232,17 @@ def gumbel(where: float, u: float, top: float) -> float:
     return -high - math.log1p(math.exp(low - high)) if high > -math.inf else math.inf
 
 
-def cut(texts: pa.Array, slow: np.ndarray | None = None) -> tuple[np.ndarray, list[str], np.ndarray]:
+def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Cells of all texts: their codes in order, the different cells, and each text's first cell (with the end).
 
-    slow: texts to cut one by one: where spaces meet or start the text, and where a word is longer than LONGEST.
+    Texts where spaces meet or start the text are cut one by one.
     """
     n = len(texts)
-    if slow is None:
-        slow = pc.match_substring_regex(texts, f"^ |  |{MARK}").to_numpy(zero_copy_only=False) if n else np.empty(0, bool)
+    slow = pc.match_substring_regex(texts, f"^ |  |{MARK}").to_numpy(zero_copy_only=False) if n else np.empty(0, bool)
     fast = pc.if_else(pa.array(slow), pa.scalar(None, pa.string()), pc.replace_substring(texts, "\n", " \n "))
     lists = pc.split_pattern(pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar(None, pa.string()), fast), " ")
     length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
-    long = pc.greater(pc.utf8_length(flat), LONGEST - 1).to_numpy(zero_copy_only=False)
-    if long.any():
-        slow = slow.copy()
-        slow[np.repeat(np.arange(n), length)[long]] = True
-        return cut(texts, slow)
     line = pc.equal(flat, "\n").to_numpy(zero_copy_only=False)
     lead = ~line
     lead[1:] &= ~line[:-1]
@@ -257,8 +253,7 @@ def cut(texts: pa.Array, slow: np.ndarray | None = None) -> tuple[np.ndarray, li
     row = np.repeat(np.arange(n), length)[full]
     cells = pc.binary_join_element_wise(pc.if_else(pa.array(lead[full]), MARK, ""), flat.filter(pa.array(full)), "")
     if slow.any():
-        whole = [(i, CELL.findall(MARK + texts[int(i)].as_py().replace(" ", MARK))) for i in np.flatnonzero(slow)]
-        odd = [(i, [c[j : j + LONGEST] for c in cells_of for j in range(0, len(c), LONGEST)]) for i, cells_of in whole]
+        odd = [(i, CELL.findall(MARK + texts[int(i)].as_py().replace(" ", MARK))) for i in np.flatnonzero(slow)]
         row = np.concatenate([row, np.repeat([i for i, _ in odd], [len(c) for _, c in odd])]).astype(np.int64)
         cells = pa.concat_arrays([cells, pa.array([c for _, cs in odd for c in cs], pa.string())])
         order = np.argsort(row, kind="stable")
@@ -395,7 +390,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float
 
         return work
 
-    return mapped(ids_and_text(docs, id_col, text_col), make, SCHEMA + ", ids array<int>" * with_ids, most=2_500_000)
+    return mapped(ids_and_text(docs, id_col, text_col), make, SCHEMA + ", ids array<int>" * with_ids, most=SLICE_BYTES)
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
