@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task works on at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that a task works on at once, and of the Arrow batches that carry rows to and from Python.
+BATCH_BYTES, ARROW_BYTES = 1 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,15 +77,46 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Itera
         at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to ARROW_BYTES in this session, where it allows more: both sides of a task keep whole batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)  # none before Spark 4.1
+    if held and not (held.rstrip("b").isdigit() and int(held.rstrip("b")) <= ARROW_BYTES):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def let_go() -> None:
+    """Gives free memory back to the system at a task's end: Python workers live on, idle, beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not all C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def grouped_map(rows: DataFrame, key: str, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """applyInArrow by one column, with memory given back after each group."""
+    small_batches(rows.sparkSession)
+
+    def work(group: pa.Table) -> pa.Table:
+        try:
+            return f(group)
+        finally:
+            let_go()
+
+    return rows.groupBy(key).applyInArrow(work, schema)
+
+
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]], schema: str, column: str = "text", most: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow with one function per task, made there by ``make``, over batches of bounded size."""
+    small_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        f, batch, part = make(), None, None
         for batch in batches:
             for part in slices(batch, column, most):
                 if part.num_rows:
                     yield f(part)
+        del f, batch, part
+        let_go()
 
     return df.mapInArrow(work, schema)
 

@@ -7,7 +7,8 @@ key: a similar pair differs in at most D parts, so it shares the key of some par
 most D parts in use also give the keys of their empty parts). Shingles that a bounded sample shows to be very common
 are left out of the keys; leaving the same shingles out of both sets never adds differences, so this loses no pair.
 
-Sets with equal fingerprints are one class, found by a partial aggregate, and only one class of a task gives keys.
+The rows of a key meet by a window; keys that a bounded sample shows to be held by many sets stay spread instead, and get
+their least and greatest set by a partial aggregate. Sets with equal fingerprints are one class, found by a partial aggregate, and only one class of a task gives keys.
 Each set has a hashed bitmap signature, whose bit counts bound an overlap from above. Classes that share a key and whose
 bitmaps leave room for the similarity are joined in candidate groups: through the least class of each key first,
 then, in keys that still hold several groups, by comparing all bitmaps of different groups. A group's sorted hash
@@ -17,7 +18,8 @@ arrays. The links found make the components.
 
 Defined results: null and empty texts have an empty set and link with nothing; texts with fewer words than a shingle
 have one shingle, of all words; a component is named by its smallest id, nulls aside; repeated rows are copies; an
-empty table gives an empty result; other columns are not read. Fingerprints have 64 bits.
+empty table gives an empty result; other columns are not read. A set is known by 128 bits: 64 name it, and names that
+stand for more than one set, by the other 64, get these mixed in.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, ids_and_text, mapped, mix, stored, string_hashes
+from .common import Words, grouped_map, ids_and_text, mapped, mix, stored, string_hashes
 
-SETS = "doc_id long, tie long, n_shingles long, sig long, keys array<long>, bits binary"
+SETS = "doc_id long, tie long, n_shingles long, sig long, check long, keys array<long>, bits binary"
 #: Rows up to which a list of ids is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -40,7 +42,8 @@ BROADCAST_ROWS = 300_000
 @dataclass(frozen=True)
 class Join:
     """words: of a shingle. percent: least similarity. sample_docs, common_percent: a shingle in so many percent of about
-    so many documents is very common. tile_sets, tile_shingles: most of a tile.
+    so many documents is very common. tile_sets, tile_shingles: most of a tile. hot_sets, hot_keys: a key of one in so many
+    sets goes another way to the same result, for so many keys. sig_bits: of a fingerprint.
     """
 
     words: int = 5
@@ -49,12 +52,15 @@ class Join:
     common_percent: float = 1.0
     tile_sets: int = 3000
     tile_shingles: int = 3_000_000
+    hot_sets: int = 1000
+    hot_keys: int = 50_000
+    sig_bits: int = 64
 
     def edges(self) -> np.ndarray:
-        """First sizes of the bands."""
+        """First sizes of the bands, so far apart that similar sets lie in one band or in neighbouring ones."""
         out = [1]
         while out[-1] < 1 << 34:
-            out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+            out.append(max(out[-1] * 3 // 2, -(-100 * out[-1] // self.percent), out[-1] + 1))
         return np.array(out)
 
 
@@ -93,10 +99,21 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum(size)])
 
 
-def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One signed 64-bit number for each set."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).astype(np.int64)
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit numbers for each set: its name, and a check of it."""
+    out = []
+    for shift in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(shift)), dtype=np.uint64)])
+        out.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)))
+    return (out[0] >> np.uint64(64 - join.sig_bits)).astype(np.int64), out[1].astype(np.int64)
+
+
+def told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows with names (sig) that stand for one set each: those that several checks share get the check mixed in."""
+    if clashes is None:
+        return rows
+    named = rows.join(clashes.select(F.col("sig").alias("clash")), F.col("sig") == F.col("clash"), "left")
+    return named.withColumn("sig", F.when(F.col("clash").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "check"))).drop("clash")
 
 
 def part_keys(hashes: np.ndarray, bounds: np.ndarray, join: Join, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +198,15 @@ def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
     common = common_shingles(rows, join)
 
     def make():
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashes, bounds = shingles(batch.column("text"), join.words)
-            sig, n = fingerprints(hashes, bounds), np.diff(bounds)
+            (sig, check), n = fingerprints(hashes, bounds, join), np.diff(bounds)
             if len(seen) > 1_000_000:
                 seen.clear()
             fresh = np.zeros(len(n), bool)
-            for i, x in enumerate(sig.tolist()):
+            for i, x in enumerate(zip(sig.tolist(), check.tolist(), strict=True)):
                 if x not in seen:
                     seen.add(x)
                     fresh[i] = True
@@ -199,11 +216,11 @@ def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.bincount(sets, minlength=len(n)))])
             kept = iter(bitmaps(hashes[own], np.concatenate([[0], np.cumsum(n[fresh])])))
             bits = pa.array([next(kept) if f else None for f in fresh.tolist()], pa.binary())
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "n_shingles": pa.array(n), "sig": pa.array(sig), "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order])), "bits": bits})
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tie": batch.column("tie"), "n_shingles": pa.array(n), "sig": pa.array(sig), "check": pa.array(check), "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[order])), "bits": bits})
 
         return work
 
-    return stored(mapped(rows, make, SETS, most=2 << 20), "keyed-sets")
+    return stored(mapped(rows, make, SETS), "keyed-sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,6 +327,26 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], label: np.ndarray, percen
     return links
 
 
+def hot_keys(some: DataFrame, join: Join) -> DataFrame:
+    """Keys that many sets of a sample of about 20 * hot_sets sets have, at most join.hot_keys of them; only the way of a key depends on it."""
+    share = F.pmod(F.xxhash64(F.lit(43), "sig"), F.lit(1_000_003)) / 1_000_003
+    sample = some.where(share < min(1.0, 20 * join.hot_sets / max(1, some.count())))
+    counted = sample.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n >= 20")
+    return F.broadcast(stored(counted.orderBy(F.desc("n"), "key").limit(join.hot_keys).select("key"), "hot-keys"))
+
+
+def with_ends(rows: DataFrame, value: str, hot: DataFrame) -> DataFrame:
+    """rows (key, ...) with the least and the greatest value of their key as low and high.
+
+    The rows of hot keys stay where they are: their ends come by a partial aggregate, a row for each hot key and task.
+    """
+    meet = Window.partitionBy("key")
+    plain = rows.join(hot, "key", "left_anti").withColumn("low", F.min(value).over(meet)).withColumn("high", F.max(value).over(meet))
+    held = rows.join(hot, "key", "left_semi")
+    ends = held.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return plain.unionByName(held.join(F.broadcast(ends), "key"))
+
+
 def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
     """node, root: sets that share a key and that their bitmaps do not rule out, directly or through others, have one root.
 
@@ -317,9 +354,9 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
     compared in full, bitmap by bitmap, in tiles.
     """
     some = keyed.where(F.size("keys") > 0)
-    meet = Window.partitionBy("key")
+    hot = hot_keys(some, join)
     each = some.select(F.explode("keys").alias("key"), "sig")
-    members = stored(each.withColumn("centre", F.min("sig").over(meet)).withColumn("top", F.max("sig").over(meet)).where("centre <> top").select("key", "sig", "centre"), "members")
+    members = stored(with_ends(each, "sig", hot).where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
     signs = stored(some.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "signatures")
     one, two = signs.toDF("a", "n", "bits"), signs.toDF("b", "m", "more")
     stars = members.where("sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct().join(one, "a").join(two, "b")
@@ -337,7 +374,7 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
     first = joined_groups(near)
     label = F.coalesce("root", "sig")
     labelled = members.select("key", "sig").join(first, members["sig"] == first["node"], "left").select("key", "sig", label.alias("label"))
-    mixed = labelled.withColumn("low", F.min("label").over(meet)).withColumn("high", F.max("label").over(meet)).where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
+    mixed = with_ends(labelled, "label", hot).where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
     open_ = stored(mixed.join(signs, "sig").select("sig", "root", "label", "n", "bits", (F.octet_length("bits") / 8).cast("long").alias("volume")), "open-keys")
 
     def compare(tile: pa.Table) -> pa.Table:
@@ -351,32 +388,31 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
                 b.append(sig[low + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = stored(tiled(open_, join).groupBy("bin").applyInArrow(compare, "a long, b long").distinct(), "bounded-pairs")
+    more = stored(grouped_map(tiled(open_, join), "bin", compare, "a long, b long").distinct(), "bounded-pairs")
     if not more.limit(1).count():
         return first
     return components(first.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
 
-def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """a, b: fingerprints of similar sets, enough to join every component."""
+def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, clashes: DataFrame | None, join: Join) -> DataFrame:
+    """a, b: names of similar sets, enough to join every component."""
     groups = candidate_groups(keyed, join)
     members = stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", F.col("n_shingles").alias("volume"), "class_id"), "candidates")
     tiles = tiled(members.drop("class_id"), join)
 
-    wanted = members.select(F.col("class_id").alias("wanted")).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = _short(members.select(F.col("class_id").alias("wanted")).distinct())
     chosen = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashes, bounds = shingles(batch.column("text"), join.words)
             data = hashes.tobytes()
-            return pa.RecordBatch.from_pydict({"sig": pa.array(fingerprints(hashes, bounds)), "hashes": pa.array([data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())})
+            sig, check = fingerprints(hashes, bounds, join)
+            return pa.RecordBatch.from_pydict({"sig": pa.array(sig), "check": pa.array(check), "hashes": pa.array([data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())})
 
         return work
 
-    arrays = mapped(chosen, make, "sig long, hashes binary")
+    arrays = told_apart(mapped(chosen, make, "sig long, check long, hashes binary"), clashes).drop("check")
 
     def compare(tile: pa.Table) -> pa.Table:
         tile, cells = cells_of(tile)
@@ -389,22 +425,33 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, join: Join) ->
                 b.append(sig[low + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tiles.join(arrays, "sig").groupBy("bin").applyInArrow(compare, "a long, b long")
+    return grouped_map(tiles.join(arrays, "sig"), "bin", compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id, sig, tie per row of docs."""
     rows = ids_and_text(docs, id_col, text_col).withColumn("tie", text_tie(F.col("text")))
     keyed = keyed_sets(rows, join)
-    classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles")), "classes")
-    roots = components(links(rows, keyed, classes, join))
-    named = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"), "class_id")
-    smallest = named.groupBy("root").agg(F.min("class_id").alias("component"))
-    named = stored(named.join(smallest, "root").select("sig", "component"), "components")
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return keyed.drop("keys", "bits").join(named, "sig", "left").select("doc_id", "n_shingles", component.alias("component_id"), "sig", "tie")
+    own, clashes = [F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("check").alias("least"), F.max("check").alias("most")], None
+    classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*own), "classes")
+    if classes.where("least <> most").limit(1).count():
+        clashes = _short(stored(classes.where("least <> most").select("sig"), "name-clashes"))
+        keyed = stored(told_apart(keyed, clashes), "keyed-sets")
+        classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*own), "classes")
+    roots = components(links(rows, keyed, classes, clashes, join))
+    rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"), "class_id", "copies", F.col("root").isNotNull().alias("linked"))
+    smallest = rooted.groupBy("root").agg(F.min("class_id").alias("component"))
+    # Sets without a copy or link, and empty ones, need no name.
+    named = stored(rooted.where("linked or copies > 1").join(smallest, "root").select(F.col("sig").alias("named"), "component"), "components")
+    some, none = keyed.drop("keys", "bits").where("n_shingles > 0"), keyed.where("n_shingles = 0")
+    told = some.join(_short(named), some["sig"] == F.col("named"), "left")
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig", "tie"]
+    return told.select(columns).unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig", "tie"))
+
+
+def _short(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to be short."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
@@ -414,8 +461,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = jaccard_components(docs, id_col, text_col, join)
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("other"), F.col("tie").alias("other_tie")).distinct(), "near-copies")
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = _short(gone)
     # The row is one column here, so that its columns' names do not meet those used below.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own"), text_tie(docs[text_col]).alias("own_tie"))
     return rows.join(gone, (F.col("own") == F.col("other")) & (F.col("own_tie") == F.col("other_tie")), "left_anti").select("row.*")

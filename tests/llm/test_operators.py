@@ -274,8 +274,8 @@ def brute_components(rows, k, percent):
     return {ids[x]: (len(own[x]), least[top(x)]) for x in range(len(ids))}
 
 
-@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 3000), (5, 80, 3), (2, 50, 3000)])
-def test_jaccard(spark, k, percent, tile):
+@pytest.mark.parametrize(("k", "percent", "tile", "hot", "bits"), [(3, 90, 3000, 1000, 64), (5, 80, 3, 2, 3), (2, 50, 3000, 1, 64)])
+def test_jaccard(spark, k, percent, tile, hot, bits):
     r = random.Random(k)
     vocabulary = [f"w{x}" for x in range(300)]
     base = [r.choices(vocabulary, k=r.choice((4, 12, 40, 90, 150))) for _ in range(8)]
@@ -286,8 +286,9 @@ def test_jaccard(spark, k, percent, tile):
             words[r.randrange(len(words))] = r.choice(vocabulary).upper()
         rows.append((i, " ".join(words)))
     rows += [(200, ""), (201, "a"), (202, "A"), (203, "\t")]
+    rows += [(300 + n, " ".join(f"cut{x}" for x in range(n))) for n in (6, 7, 11, 12, 21, 22)]  # half of each other
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    join = jaccard_tiles.Join(words=k, percent=percent, tile_sets=tile)
+    join = jaccard_tiles.Join(words=k, percent=percent, tile_sets=tile, hot_sets=hot, sig_bits=bits)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_tiles.jaccard_components(df, join=join).collect()}
     assert got == brute_components(rows, k, percent)
 
