@@ -225,7 +225,9 @@ def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of its component, for all nodes of edges (a, b), by labels that run along edges and jump."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # One reading of edges gives both directions: a second one of the comparisons could choose other links.
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(edges.select(F.inline(ways)).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
@@ -302,7 +304,7 @@ def tiled(members: DataFrame, join: Join) -> DataFrame:
 
 def cells_of(tile: pa.Table):
     """The tile's rows in order, and each cell's bounds and whether only pairs across its two blocks count."""
-    tile = tile.sort_by([("root", "ascending"), ("x", "ascending"), ("y", "ascending")])
+    tile = tile.sort_by([(c, "ascending") for c in ("root", "x", "y", "sig")])
     cell = np.stack([tile[c].to_numpy() for c in ("root", "x", "y")])
     cuts = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1, [tile.num_rows]]).tolist()
     return tile, [(a, b, cell[1, a] != cell[2, a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

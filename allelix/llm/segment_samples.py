@@ -39,7 +39,7 @@ MARK = "▁"
 SCHEMA = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 CELL = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Bytes of text whose lattices, paths and ids a task holds at once; a longer text stands alone.
-SLICE_BYTES = 500_000
+SLICE_BYTES = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
