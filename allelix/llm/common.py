@@ -36,14 +36,32 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The folders that stored() has made in this session and that are still there, oldest first."""
+    return FOLDERS.setdefault(spark.sparkContext.applicationId, [])
+
+
+FOLDERS: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write once to the shared folder and read again: cuts the lineage, and survives a lost executor."""
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
+    written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, mark: int, keep: int) -> None:
+    """Deletes the folders stored since there were ``mark`` of them, but for the last ``keep``: nothing later may read them."""
+    own = written(spark)
+    for path in own[mark : len(own) - keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        own.remove(path)
+
+
 def file_system(path: str):
     """pyarrow's file system for a path or URI, and the path inside it."""
     from pyarrow import fs

@@ -7,8 +7,7 @@ key: a similar pair differs in at most D parts, so it shares the key of some par
 most D parts in use also give the keys of their empty parts). Shingles that a bounded sample shows to be very common
 are left out of the keys; leaving the same shingles out of both sets never adds differences, so this loses no pair.
 
-The rows of a key meet by a window; keys that a bounded sample shows to be held by many sets stay spread instead, and get
-their least and greatest set by a partial aggregate. Sets with equal fingerprints are one class, found by a partial aggregate, and only one class of a task gives keys.
+Sets with equal fingerprints are one class, found by a partial aggregate, and only one class of a task gives keys.
 Each set has a hashed bitmap signature, whose bit counts bound an overlap from above. Classes that share a key and whose
 bitmaps leave room for the similarity are joined in candidate groups: through the least class of each key first,
 then, in keys that still hold several groups, by comparing all bitmaps of different groups. A group's sorted hash
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, grouped_map, ids_and_text, mapped, mix, stored, string_hashes
+from .common import Words, forget, grouped_map, ids_and_text, mapped, mix, stored, string_hashes, written
 
 SETS = "doc_id long, tie long, n_shingles long, sig long, check long, keys array<long>, bits binary"
 #: Rows up to which a list of ids is broadcast.
@@ -42,8 +41,7 @@ BROADCAST_ROWS = 300_000
 @dataclass(frozen=True)
 class Join:
     """words: of a shingle. percent: least similarity. sample_docs, common_percent: a shingle in so many percent of about
-    so many documents is very common. tile_sets, tile_shingles: most of a tile. hot_sets, hot_keys: a key of one in so many
-    sets goes another way to the same result, for so many keys. sig_bits: of a fingerprint.
+    so many documents is very common. tile_sets, tile_shingles: most of a tile. sig_bits: of a fingerprint.
     """
 
     words: int = 5
@@ -52,8 +50,6 @@ class Join:
     common_percent: float = 1.0
     tile_sets: int = 3000
     tile_shingles: int = 3_000_000
-    hot_sets: int = 1000
-    hot_keys: int = 50_000
     sig_bits: int = 64
 
     def edges(self) -> np.ndarray:
@@ -329,24 +325,10 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], label: np.ndarray, percen
     return links
 
 
-def hot_keys(some: DataFrame, join: Join) -> DataFrame:
-    """Keys that many sets of a sample of about 20 * hot_sets sets have, at most join.hot_keys of them; only the way of a key depends on it."""
-    share = F.pmod(F.xxhash64(F.lit(43), "sig"), F.lit(1_000_003)) / 1_000_003
-    sample = some.where(share < min(1.0, 20 * join.hot_sets / max(1, some.count())))
-    counted = sample.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n >= 20")
-    return F.broadcast(stored(counted.orderBy(F.desc("n"), "key").limit(join.hot_keys).select("key"), "hot-keys"))
-
-
-def with_ends(rows: DataFrame, value: str, hot: DataFrame) -> DataFrame:
-    """rows (key, ...) with the least and the greatest value of their key as low and high.
-
-    The rows of hot keys stay where they are: their ends come by a partial aggregate, a row for each hot key and task.
-    """
+def with_ends(rows: DataFrame, value: str) -> DataFrame:
+    """rows (key, ...) with the least and the greatest value of their key as low and high."""
     meet = Window.partitionBy("key")
-    plain = rows.join(hot, "key", "left_anti").withColumn("low", F.min(value).over(meet)).withColumn("high", F.max(value).over(meet))
-    held = rows.join(hot, "key", "left_semi")
-    ends = held.groupBy("key").agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return plain.unionByName(held.join(F.broadcast(ends), "key"))
+    return rows.withColumn("low", F.min(value).over(meet)).withColumn("high", F.max(value).over(meet))
 
 
 def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
@@ -356,9 +338,8 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
     compared in full, bitmap by bitmap, in tiles.
     """
     some = keyed.where(F.size("keys") > 0)
-    hot = hot_keys(some, join)
     each = some.select(F.explode("keys").alias("key"), "sig")
-    members = stored(with_ends(each, "sig", hot).where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
+    members = stored(with_ends(each, "sig").where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
     signs = stored(some.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "signatures")
     one, two = signs.toDF("a", "n", "bits"), signs.toDF("b", "m", "more")
     stars = members.where("sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct().join(one, "a").join(two, "b")
@@ -376,7 +357,7 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
     first = joined_groups(near)
     label = F.coalesce("root", "sig")
     labelled = members.select("key", "sig").join(first, members["sig"] == first["node"], "left").select("key", "sig", label.alias("label"))
-    mixed = with_ends(labelled, "label", hot).where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
+    mixed = with_ends(labelled, "label").where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
     open_ = stored(mixed.join(signs, "sig").select("sig", "root", "label", "n", "bits", (F.octet_length("bits") / 8).cast("long").alias("volume")), "open-keys")
 
     def compare(tile: pa.Table) -> pa.Table:
@@ -398,8 +379,10 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
 
 def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, clashes: DataFrame | None, join: Join) -> DataFrame:
     """a, b: names of similar sets, enough to join every component."""
+    mark = len(written(rows.sparkSession))
     groups = candidate_groups(keyed, join)
     members = stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", F.col("n_shingles").alias("volume"), "class_id"), "candidates")
+    forget(rows.sparkSession, mark, keep=1)
     tiles = tiled(members.drop("class_id"), join)
 
     wanted = _short(members.select(F.col("class_id").alias("wanted")).distinct())
@@ -433,6 +416,7 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, clashes: DataFr
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id, sig, tie per row of docs."""
     rows = ids_and_text(docs, id_col, text_col).withColumn("tie", text_tie(F.col("text")))
+    mark = len(written(rows.sparkSession))
     keyed = keyed_sets(rows, join)
     own, clashes = [F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("check").alias("least"), F.max("check").alias("most")], None
     classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*own), "classes")
@@ -445,7 +429,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest = rooted.groupBy("root").agg(F.min("class_id").alias("component"))
     # Sets without a copy or link, and empty ones, need no name.
     named = stored(rooted.where("linked or copies > 1").join(smallest, "root").select(F.col("sig").alias("named"), "component"), "components")
-    some, none = keyed.drop("keys", "bits").where("n_shingles > 0"), keyed.where("n_shingles = 0")
+    keyed = stored(keyed.drop("keys", "bits"), "named-sets")
+    forget(rows.sparkSession, mark, keep=2)
+    some, none = keyed.where("n_shingles > 0"), keyed.where("n_shingles = 0")
     told = some.join(_short(named), some["sig"] == F.col("named"), "left")
     columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig", "tie"]
     return told.select(columns).unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "sig", "tie"))

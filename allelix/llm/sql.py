@@ -21,4 +21,37 @@ SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, count(*)
 FROM ranked GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_chunks": OP6}
+OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS own FROM words
+), each AS (
+  SELECT doc_id, unnest(own) AS shingle FROM sets
+), shared AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT i, j FROM shared JOIN sets x ON x.doc_id = i JOIN sets y ON y.doc_id = j WHERE 100 * n >= 90 * (len(x.own) + len(y.own) - n)
+), ways AS (
+  SELECT i, j FROM links UNION ALL SELECT j, i FROM links
+), reached(i, j) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.i, w.j FROM reached r JOIN ways w ON r.j = w.i
+), least AS (
+  SELECT i, min(j) AS component_id FROM reached GROUP BY i
+)
+SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON doc_id = i
+"""
+
+OP10 = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS size FROM pages
+), kept AS (
+  SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS keeper FROM payloads
+)
+SELECT page_id, size::BIGINT AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM kept
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_line_chunks": OP6, "op7_jaccard_tiles": OP7, "op10_warc_index": OP10}

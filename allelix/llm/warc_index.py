@@ -4,7 +4,8 @@ Pages are dealt by ranges of the reversed-host URL key, and a task sorts its ran
 member for each record, with one index file beside it. The index file holds the sorted capture lines
 ``key page_id offset length type refers_to`` in compressed blocks of ``block_lines`` lines; for each block the
 directory (a Parquet table, in key order over all archives) keeps the first key and where the block stands.
-A look-up searches the directory, reads one block, searches it, and reads the record's bytes only.
+A look-up searches the directory, reads one block, searches it, and reads the record's bytes only; ``archive_pages`` looks all
+its pages up so, ``read_archives`` walks all blocks instead.
 
 Equal payloads (length and SHA-1) of ``least_bytes`` or more are stored once: the largest page_id is the response,
 the others are revisits that name it. Copies are counted by a partial aggregate over (length, SHA-1) before any
@@ -31,6 +32,8 @@ from .common import file_system, new_dir, slices
 
 DIRECTORY = "archive int, block int, path string, first_key string, offset long, length long, n_records int"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Blocks of the directory that one task of a look-up searches.
+PART_BLOCKS = 64
 TYPES = {"payload_bytes": pa.int64(), "page_id": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
 #: Most repeated payloads whose list is broadcast (about 60 bytes each).
 BROADCAST_ROWS = 200_000
@@ -187,39 +190,48 @@ def read_archives(directory: DataFrame, with_payload: bool = False) -> DataFrame
 def look_up(directory: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The captures of each different url.
 
-    The first key of each archive (one row an archive) tells which archives may hold a key; a task then gets one
-    archive's part of the directory and the keys for it, and for each key searches that part, reads the block,
-    searches its lines and reads the records' bytes.
+    The first key of each PART_BLOCKS blocks (one row for so many blocks) tells which parts of the directory may hold a
+    key; a task then gets one part and the keys for it in order, and for each key searches that part, reads the block
+    unless it is the one just read, searches its lines and reads the records' bytes.
     """
-    firsts = directory.groupBy("archive").agg(F.min("first_key").alias("first")).orderBy("archive").collect()
-    archives, keys = [r["archive"] for r in firsts], [r["first"] for r in firsts]
+    place = F.floor(F.col("block") / PART_BLOCKS).cast("int")
+    parts = directory.withColumn("part", place)
+    firsts = parts.groupBy("archive", "part").agg(F.min("first_key").alias("first")).orderBy("archive", "part").collect()
+    named, keys = [(r["archive"], r["part"]) for r in firsts], [r["first"] for r in firsts]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, archives[i]) for k in batch.column("key").to_pylist() for i in range(max(0, bisect.bisect_left(keys, k) - 1), bisect.bisect_right(keys, k))]
-            yield pa.RecordBatch.from_pydict({"key": pa.array([x[0] for x in found], pa.string()), "archive": pa.array([x[1] for x in found], pa.int32())})
+            found = [(k, *named[i]) for k in batch.column("key").to_pylist() for i in range(max(0, bisect.bisect_left(keys, k) - 1), bisect.bisect_right(keys, k))]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([x[0] for x in found], pa.string()), "archive": pa.array([x[1] for x in found], pa.int32()), "part": pa.array([x[2] for x in found], pa.int32())})
 
     def read(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
         rows = []
         part = sorted(blocks.to_pylist(), key=lambda r: r["block"])
         starts = [r["first_key"] for r in part]
         if part and wanted.num_rows:
+            held, lines = -1, []
             with _open(part[0]["path"] + ".cdx") as index, _open(part[0]["path"] + ".warc.gz") as archive:
-                for key in wanted["key"].to_pylist():
+                for key in sorted(wanted["key"].to_pylist()):
                     for at in range(max(0, bisect.bisect_left(starts, key) - 1), bisect.bisect_right(starts, key)):
-                        lines = _lines(index, part[at]["offset"], part[at]["length"])
+                        if at != held:
+                            held, lines = at, _lines(index, part[at]["offset"], part[at]["length"])
                         i = bisect.bisect_left(lines, key, key=lambda x: x[0])
                         while i < len(lines) and lines[i][0] == key:
-                            rows.append(_found(lines[i], archive))
+                            found = _found(lines[i], archive)
+                            del found["payload"]
+                            rows.append(found)
                             i += 1
         names = [x.split()[0] for x in RECORDS.split(", ")]
         return pa.table({k: pa.array([r[k] for r in rows], TYPES.get(k, pa.string())) for k in names})
 
     wanted = urls.select(url_key(F.translate(F.col(url_col).cast("string"), "\r\n", "")).alias("key")).distinct()
-    dealt = wanted.mapInArrow(places, "key string, archive int")
-    return dealt.groupBy("archive").cogroup(directory.groupBy("archive")).applyInArrow(read, RECORDS)
+    dealt = wanted.mapInArrow(places, "key string, archive int, part int")
+    return dealt.groupBy("archive", "part").cogroup(parts.groupBy("archive", "part")).applyInArrow(read, RECORDS)
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes pages into archives below folder (default: a new one in the shared folder) and reads every record back."""
-    return read_archives(write_archives(pages, folder or new_dir(pages.sparkSession, "warc"), **options))
+def archive_pages(pages: DataFrame, folder: str | None = None, url_col: str = "url", **options) -> DataFrame:
+    """Writes pages into archives below folder (default: a new one in the shared folder) and looks every page's url up in them.
+
+    A record stands under one key, so it comes back once.
+    """
+    return look_up(write_archives(pages, folder or new_dir(pages.sparkSession, "warc"), url_col=url_col, **options), pages, url_col)

@@ -274,8 +274,8 @@ def brute_components(rows, k, percent):
     return {ids[x]: (len(own[x]), least[top(x)]) for x in range(len(ids))}
 
 
-@pytest.mark.parametrize(("k", "percent", "tile", "hot", "bits"), [(3, 90, 3000, 1000, 64), (5, 80, 3, 2, 3), (2, 50, 3000, 1, 64)])
-def test_jaccard(spark, k, percent, tile, hot, bits):
+@pytest.mark.parametrize(("k", "percent", "tile", "bits"), [(3, 90, 3000, 64), (5, 80, 3, 3), (2, 50, 3000, 64)])
+def test_jaccard(spark, k, percent, tile, bits):
     r = random.Random(k)
     vocabulary = [f"w{x}" for x in range(300)]
     base = [r.choices(vocabulary, k=r.choice((4, 12, 40, 90, 150))) for _ in range(8)]
@@ -288,7 +288,7 @@ def test_jaccard(spark, k, percent, tile, hot, bits):
     rows += [(200, ""), (201, "a"), (202, "A"), (203, "\t")]
     rows += [(300 + n, " ".join(f"cut{x}" for x in range(n))) for n in (6, 7, 11, 12, 21, 22)]  # half of each other
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    join = jaccard_tiles.Join(words=k, percent=percent, tile_sets=tile, hot_sets=hot, sig_bits=bits)
+    join = jaccard_tiles.Join(words=k, percent=percent, tile_sets=tile, sig_bits=bits)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_tiles.jaccard_components(df, join=join).collect()}
     assert got == brute_components(rows, k, percent)
 
@@ -417,6 +417,11 @@ def test_warc(spark, tmp_path):
         assert r["payload"] == (b"" if again else h.encode())
     found = warc_index.look_up(directory, spark.createDataFrame([("https://a.example.org/",), ("http://d.org/",), ("http://none.org/",)], "url string")).collect()
     assert sorted((r["page_id"] or 0, r["url"]) for r in found) == [(0, "http://d.org/"), (3, "https://a.example.org/"), (5, "https://a.example.org/"), (6, "http://d.org/"), (10, "http://d.org/")]
+    every = {(r["page_id"], r["url"], r["payload_digest"], r["record_type"]) for r in got}
+    back = warc_index.archive_pages(df, f"{tmp_path}/again", block_lines=1, shards=2).collect()
+    assert len(back) == len(rows) and {(r["page_id"], r["url"], r["payload_digest"], r["record_type"]) for r in back} == every
+    long = spark.createDataFrame([(1, "http://a.org/", "é" * 2_000_000), (2, None, "é" * 2_000_000), (3, None, None)], "page_id long, url string, html string")
+    assert {(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc_index.archive_pages(long).collect()} == {(1, 4_000_000, 2), (2, 4_000_000, None), (3, 0, None)}
     assert warc_index.archive_pages(df.limit(0)).count() == 0
     key = spark.createDataFrame(rows[:1], "page_id long, url string, html string").select(warc_index.url_key(F.col("url"))).first()[0]
     assert key == "org,example,b,www)/x?q"
