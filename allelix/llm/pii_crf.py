@@ -6,8 +6,9 @@ penalised likelihood; its weights go to the tasks, which decode by Viterbi, many
 It adds what the patterns miss: secrets after a cue, numbers written without a plus sign, addresses spelt out.
 
 Every labelled name holds a word with a digit or an ``@``, or a spelt-out ``at`` ... ``dot``; words farther than ``REACH`` words from
-such a trigger can only be outside, so they are not decoded. Runs of triggers longer than ``LONGEST`` words are
-decoded in pieces of that length.
+such a trigger, or from a cue such as ``password``, can only be outside, so they are not decoded. A run of any length is
+decoded whole: its features are laid out ``PIECE`` words at a time, the state is carried through all of it. An added span that
+touches fixed ones is cut at them.
 
 Nothing is shuffled. Defined results: null and empty texts have no spans; repeated rows each get their row; null ids
 are carried along; an empty table gives an empty result; other columns are not read.
@@ -15,6 +16,7 @@ are carried along; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -30,8 +32,8 @@ from .quality_rules import byte_counts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH, LONGEST = 5, 512
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+REACH, PIECE = 5, 512
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long"
 
 # ---- fixed patterns
 
@@ -93,16 +95,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the labelled table
 
 CUES = {
-    "secret": ("token", "secret", "password", "api_key", "key", "passwd"),
+    "secret": ("token", "secret", "password", "api_key", "apikey", "key", "passwd", "pwd", "credential"),
     "phone": ("call", "phone", "tel", "mobile", "fax"),
-    "email": ("mail", "write", "contact"),
+    "email": ("mail", "email", "e-mail", "write", "contact"),
     "card": ("card", "visa", "iban"),
     "ip": ("host", "server", "address"),
 }
 SYLLABLES = ("the", "er", "on", "an", "th", "in", "de", "la", "que", "ción", "ment", "ung", "keit", "eau", "st", "es", "or", "and")
 
 
-def labelled_sentences(n: int = 320, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+def labelled_sentences(n: int = 640, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """Short sentences of made-up words with personal data and look-alikes among them, and a tag for each word."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -112,14 +114,23 @@ def labelled_sentences(n: int = 320, seed: int = 11) -> list[tuple[list[str], li
     end = lambda: r.choice(("", "", "", ",", "."))
 
     def secret() -> tuple[list[str], list[str]]:
-        value = r.choice((lambda: code(40), lambda: code(32), lambda: code(r.randint(20, 44), mixed), lambda: "sk-" + code(24, mixed), lambda: "AKIA" + code(16, mixed.upper())))()
-        quote = r.choice(('"', "'", ""))
-        sign = r.choice((["="], [":"], ["is"]))
-        return [r.choice(CUES["secret"]), *sign, quote + value + quote + end()], ["O", *["O"] * len(sign), "B-secret"]
+        value = r.choice((lambda: code(40), lambda: code(32), lambda: code(r.randint(20, 44), mixed), lambda: "sk-" + code(r.randint(16, 28), mixed), lambda: "sk-" + code(r.randint(16, 28), mixed.lower()), lambda: "AKIA" + code(16, mixed.upper()), password, password, password))()
+        quote, cue = r.choice(('"', "'", "", "")), r.choice(CUES["secret"])
+        cue = r.choice((cue, cue.capitalize(), cue.upper()))
+        if r.random() < 0.15:
+            return [cue + r.choice("=:") + quote + value + quote + end()], ["B-secret"]
+        words = r.choice(([cue, "="], [cue, ":"], [cue, "is"], [cue + ":"], [cue + "="], [cue]))
+        return [*words, quote + value + quote + end()], [*["O"] * len(words), "B-secret"]
+
+    def password() -> str:
+        inner = list(word() + digits(r.randint(1, 4)) + code(r.randint(3, 6), mixed + "&!_-"))
+        if r.random() < 0.5:
+            r.shuffle(inner)
+        return "x" + "".join(inner) if r.random() < 0.5 else "".join(inner) + "7z"
 
     def phone() -> tuple[list[str], list[str]]:
-        parts = r.choice((lambda: [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], lambda: [f"{digits(3)}-{digits(3)}-{digits(4)}"], lambda: [digits(2) for _ in range(5)], lambda: [f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], lambda: [f"+{digits(2)}", digits(3), digits(3), digits(4)]))()
-        cue = [r.choice(CUES["phone"])] if len(parts[0]) == 2 or r.random() < 0.4 else []
+        parts = r.choice((lambda: [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], lambda: [f"{digits(3)}-{digits(3)}-{digits(4)}"], lambda: [digits(2) for _ in range(5)], lambda: ["0" + digits(4), digits(6)], lambda: ["0" + digits(3), digits(3), digits(4)], lambda: [f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], lambda: [f"+{digits(2)}", digits(3), digits(3), digits(4)]))()
+        cue = [r.choice(CUES["phone"]) + r.choice(("", "", ":"))] if len(parts[0]) in (2, 4, 5) or r.random() < 0.4 else []
         parts[-1] += end()
         return [*cue, *parts], [*["O"] * len(cue), "B-phone", *["I-phone"] * (len(parts) - 1)]
 
@@ -130,7 +141,8 @@ def labelled_sentences(n: int = 320, seed: int = 11) -> list[tuple[list[str], li
         if kind < 0.6:
             return [f"{word()}@{word()}.org{end()}"], ["B-email"]
         at, dot = r.choice((("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]")))
-        return [r.choice(CUES["email"]), word(), at, word(), dot, r.choice(("com", "org", "net")) + end()], ["O", "B-email", *["I-email"] * 4]
+        cue = [r.choice(CUES["email"])] if r.random() < 0.6 else []
+        return [*cue, word(), at, word(), dot, r.choice(("com", "org", "net")) + end()], [*["O"] * len(cue), "B-email", *["I-email"] * 4]
 
     def card() -> tuple[list[str], list[str]]:
         parts = [digits(4) for _ in range(4)] if r.random() < 0.6 else ["-".join(digits(4) for _ in range(4))]
@@ -141,7 +153,7 @@ def labelled_sentences(n: int = 320, seed: int = 11) -> list[tuple[list[str], li
         return [".".join(str(r.randint(0, 255)) for _ in range(4)) + end()], ["B-ip"]
 
     def alike() -> tuple[list[str], list[str]]:
-        value = r.choice((lambda: [str(r.randint(1900, 2030))], lambda: [f"{r.randint(1, 999)}.{digits(2)}"], lambda: [f"{digits(1)},{digits(3)}"], lambda: [digits(r.randint(1, 5))], lambda: [digits(r.randint(12, 18))], lambda: [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"], lambda: [f"1{digits(1)}:{digits(2)}"], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"], lambda: [f"#{digits(6)}"], lambda: [word() + digits(2)], lambda: [code(r.choice((7, 12, 40)))], lambda: ["at", word()], lambda: ["key", "of", word()], lambda: ["the", "token", word()], lambda: ["call", word()], lambda: ["@" + word()], lambda: [digits(3) + "-" + digits(1)], lambda: [digits(1), digits(2), digits(1)]))()
+        value = r.choice((lambda: [str(r.randint(1900, 2030))], lambda: [f"{r.randint(1, 999)}.{digits(2)}"], lambda: [f"{digits(1)},{digits(3)}"], lambda: [digits(r.randint(1, 5))], lambda: [digits(r.randint(12, 18))], lambda: [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"], lambda: [f"1{digits(1)}:{digits(2)}"], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"] * r.randint(1, 4), lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}" for _ in range(r.randint(1, 3))], lambda: [f"#{digits(6)}"], lambda: [word() + digits(2)], lambda: [code(r.choice((7, 12, 40)))], lambda: ["at", word()], lambda: ["key", "of", word()], lambda: ["the", "token", word()], lambda: [r.choice(CUES["secret"]), "is", word()], lambda: [r.choice(CUES["secret"]), digits(r.randint(1, 4))], lambda: ["call", word()], lambda: ["@" + word()], lambda: [digits(3) + "-" + digits(1)], lambda: [digits(1), digits(2), digits(1)]))()
         value[-1] += end()
         return value, ["O"] * len(value)
 
@@ -149,16 +161,16 @@ def labelled_sentences(n: int = 320, seed: int = 11) -> list[tuple[list[str], li
     for k in range(n):
         words, tags = [], []
         for _ in range(r.randint(1, 2)):
-            fill = [word() + end() for _ in range(r.randint(1, 5))]
+            fill = [word() + end() for _ in range(r.choice((0, 0, 1, 2, 3, 5)))]
             some = (secret, phone, email, card, ip, alike, alike, alike)[(k + _) % 8]()
             words += fill + some[0]
             tags += ["O"] * len(fill) + some[1]
-        fill = [word() + end() for _ in range(r.randint(1, 5))]
+        fill = [word() + end() for _ in range(r.randint(0, 4))]
         out.append((words + fill, tags + ["O"] * len(fill)))
     return out
 
 
-def labelled_table(spark: SparkSession, n: int = 320, seed: int = 11) -> DataFrame:
+def labelled_table(spark: SparkSession, n: int = 640, seed: int = 11) -> DataFrame:
     """The labelled table as rows: sentence, place, word, tag."""
     return spark.createDataFrame([(s, i, w, t) for s, (words, tags) in enumerate(labelled_sentences(n, seed)) for i, (w, t) in enumerate(zip(words, tags, strict=True))], "sentence int, place int, word string, tag string")
 
@@ -167,6 +179,8 @@ def labelled_table(spark: SparkSession, n: int = 320, seed: int = 11) -> DataFra
 
 NAMED = frozenset(x for xs in CUES.values() for x in xs) | {"at", "dot", "(at)", "(dot)", "[at]", "[dot]", "=", ":", "is", "com", "org", "net"}
 EDGE = "\"'.,;:!?#*$%&|<>"
+#: A secret's cue and its sign at the beginning of the word that has the secret.
+CUED = re.compile(f"(?i:{'|'.join(CUES['secret'])})[=:]+[\"']?(?=.{{8}})")
 
 
 def shape(word: str) -> str:
@@ -183,6 +197,10 @@ def word_features(word: str) -> list[str]:
         out.append("word=" + (word if word in NAMED else bare.lower()))
     if len(bare) >= 16 and digits and re.fullmatch(r"[A-Za-z0-9_-]+", bare) and not bare.isdigit():
         out.append("code")
+    elif 8 <= len(bare) and re.search(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", bare) and "@" not in bare:
+        out.append("mixed")
+    if CUED.match(bare):
+        out.append("cued")
     if "@" in bare:
         out.append("at")
     return out
@@ -220,6 +238,26 @@ class Field:
                 at[i, j, : len(row)] = row
         return self.emit[at].sum(axis=2)
 
+    def decode_long(self, words: list[str], known: dict[str, list[str]]) -> np.ndarray:
+        """Best tags of one sentence of any length: decode(), with features laid out PIECE words at a time."""
+        n, score = len(words), []
+        for a in range(0, n, PIECE):
+            low, high = max(0, a - 2), min(n, a + PIECE + 2)  # features reach two words to each side
+            rows = self.ids(words[low:high], known)
+            score.append(self.scores([rows], len(rows))[0][a - low : min(n, a + PIECE) - low])
+        score = np.concatenate(score)
+        best, back = score[0] + START, np.zeros((n, len(TAGS)), np.int8)
+        for t in range(1, n):
+            step = best[:, None] + self.move
+            back[t] = step.argmax(axis=0)
+            best = step.max(axis=0) + score[t]
+        out = np.empty(n, int)
+        tag = int(best.argmax())
+        for t in range(n - 1, -1, -1):
+            out[t] = tag
+            tag = int(back[t, tag])
+        return out
+
     def decode(self, sentences: list[list[list[int]]]) -> list[np.ndarray]:
         """Best tags of each sentence, by Viterbi over sentences of about one length at a time."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(sentences)
@@ -321,22 +359,22 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     near = bytearray(len(words))
     for i, (a, b) in enumerate(words):
         word = text[a:b]
-        if TRIGGER.search(word) or word in SPELT:
+        if TRIGGER.search(word) or word in SPELT or (len(word) < 24 and word.strip(EDGE + "=").lower() in CUE_WORDS):
             for j in range(max(0, i - REACH), min(len(words), i + REACH + 1)):
                 near[j] = 1
     out, run = [], []
     for i, w in enumerate(words):
-        if near[i] and len(run) < LONGEST:
+        if near[i]:
             run.append(w)
-        else:
-            if run:
-                out.append(run)
-            run = [w] if near[i] else []
+        elif run:
+            out.append(run)
+            run = []
     return [*out, run] if run else out
 
 
 TRIGGER = re.compile("[0-9@]")
 SPELT = frozenset(("(at)", "[at]", "(dot)", "[dot]", "dot"))
+CUE_WORDS = frozenset(CUES["secret"]) - {"key"}
 
 
 def named(text: str, words: list[tuple[int, int]], tags: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -368,9 +406,38 @@ def plausible(kind: int, name: str) -> bool:
         return 7 <= len(digits) <= 15
     if KINDS[kind] == "email":
         return "@" in name or bool(re.search(r"\bat\b.*\bdot\b", name))
+    if KINDS[kind] == "secret":
+        return len(name) >= 8 and bool(digits) and bool(re.search("[A-Za-z]", name))
     return KINDS[kind] != "ip" or next(ips(name), None) == (0, len(name))
 
 
+def outside(start: int, end: int, taken: list[tuple[int, int]], firsts: list[int], text: str) -> Iterator[tuple[int, int]]:
+    """What the disjoint, ordered spans in taken leave of a span, without spaces, quotes and stops around it."""
+    k = max(0, bisect.bisect_right(firsts, start) - 1)
+    while start < end:
+        a, b = taken[k] if k < len(taken) else (end, end)
+        k += 1
+        low, high = start, min(max(a, start), end)
+        while low < high and (text[low] in EDGE or text[low].isspace()):
+            low += 1
+        while high > low and (text[high - 1] in EDGE or text[high - 1].isspace()):
+            high -= 1
+        if high > low:
+            yield low, high
+        start = max(start, b)
+
+
+def joined_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The disjoint union of (start, kind, end) in order of start."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 SEEN = np.zeros(256, np.int64)
 SEEN[list(b"0123456789@[(")] = 1
 
@@ -379,22 +446,30 @@ def find(texts: pa.Array, field: Field, known: dict[str, list[str]]) -> dict[str
     some = byte_counts(texts, SEEN) > 0
     some |= pc.fill_null(pc.match_substring(texts, " dot "), False).to_numpy(zero_copy_only=False)
     base: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-    spans, added = list(base), [0] * len(texts)
-    where, sentences = [], []
-    for i in np.flatnonzero(some):
-        text = texts[int(i)].as_py()
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
+    taken: dict[int, tuple[list[tuple[int, int]], list[int]]] = {}
+    where, sentences, tagged = [], [], []
+    for i in np.flatnonzero(some).tolist():
+        text = texts[i].as_py()
         base[i] = base_spans(text)
+        union = joined_spans(base[i])
+        taken[i] = union, [a for a, _ in union]
         for run in windows(text):
-            where.append((int(i), text, run))
-            sentences.append(field.ids([text[a:b] for a, b in run], known))
-    for (i, text, run), tags in zip(where, field.decode(sentences), strict=True):
+            words = [text[a:b] for a, b in run]
+            if len(run) > PIECE:
+                tagged.append((i, text, run, field.decode_long(words, known)))
+            else:
+                where.append((i, text, run))
+                sentences.append(field.ids(words, known))
+    for i, text, run, tags in [*tagged, *((*w, tags) for w, tags in zip(where, field.decode(sentences), strict=True))]:
         for a, kind, b in named(text, run, tags):
-            if plausible(kind, text[a:b]) and not any(x < b and a < y for x, _, y in base[i]):
-                spans[i] = [*spans[i], (a, kind, b)]
-                added[i] += 1
+            cue = CUED.match(text, a, b) if KINDS[kind] == "secret" else None
+            spans[i] += [(x, kind, y) for x, y in outside(cue.end() if cue else a, b, *taken[i], text) if plausible(kind, text[x:y])]
+    added = [len(xs) for xs in spans]
+    secrets = [sum(k == 4 for _, k, _ in xs) for xs in spans]
     joined = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(xs))
     out = {f"n_{kind}": [sum(k == n for _, k, _ in xs) for xs in base] for n, kind in enumerate(KINDS[:4])}
-    return out | {"base_sha256": [hashlib.sha256(joined(xs).encode()).hexdigest() for xs in base], "spans": [joined([*a, *b]) for a, b in zip(base, spans, strict=True)], "n_added": added}
+    return out | {"base_sha256": [hashlib.sha256(joined(xs).encode()).hexdigest() for xs in base], "spans": [joined([*a, *b]) for a, b in zip(base, spans, strict=True)], "n_added": added, "n_secret": secrets}
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: DataFrame | None = None) -> DataFrame:
