@@ -36,9 +36,12 @@ def keep_samples(cells: DataFrame, chosen: DataFrame) -> DataFrame:
     return cells.join(chosen.select("sample_id"), "sample_id", "left_semi").select("sample_id", "locus", "state")
 
 
-def snp_filter(cells: DataFrame, maf: float = 0.01, gap: float = 0.15, rule: Threshold | Callable[[Column], Column] = Threshold(">1")) -> DataFrame:
-    """Loci where the number of states other than the gap with a frequency of at least maf meets the rule, and the gap's is at most gap."""
-    f = freq.frequencies(cells)
+def snp_filter(cells: DataFrame, maf: float = 0.01, gap: float = 0.15, rule: Threshold | Callable[[Column], Column] = Threshold(">1"), samples: DataFrame | None = None) -> DataFrame:
+    """Loci where the number of states other than the gap with a frequency of at least maf meets the rule, and the gap's is at most gap.
+
+    Frequencies are over samples, those without a cell included.
+    """
+    f = freq.frequencies(cells, samples)
     per = f.groupBy("locus").agg(F.count_if((F.col("state") != GAP) & (F.col("freq") >= maf)).alias("significant"), F.max(F.when(F.col("state") == GAP, F.col("freq"))).alias("gaps"))
     return per.where(rule(F.col("significant")) & (F.col("gaps") <= gap)).select("locus")
 

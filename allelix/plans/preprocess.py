@@ -50,7 +50,7 @@ def prepare(spark: SparkSession, path: str, o: Options = Options()) -> Alignment
         cells, samples = select.subsample(cells, samples, chosen)
     kept = cells.select("locus").distinct()
     if o.filter:
-        kept, name = select.snp_filter(cells, o.maf, o.gap), f"{name}.{select.filter_name(o.maf, o.gap)}"
+        kept, name = select.snp_filter(cells, o.maf, o.gap, samples=alignment.samples), f"{name}.{select.filter_name(o.maf, o.gap)}"
     loci = select.numbered(kept)
     translation = loci if alignment.translation is None else select.combine(alignment.translation, loci)
     return replace(alignment, cells=select.subset(cells, loci), samples=samples, name=name, translation=translation)
@@ -73,7 +73,7 @@ def outputs(alignment: Alignment, o: Options) -> dict[str, tuple[DataFrame, tupl
     """File name -> lines and their order."""
     out: dict[str, tuple[DataFrame, tuple[str, ...]]] = {}
     if o.state_frequencies:
-        for prefix, freq in (("", frequencies.frequencies(alignment.cells)), ("weighted_", frequencies.weighted_frequencies(alignment.cells, alignment.samples)))[: 1 + o.reweight]:
+        for prefix, freq in (("", frequencies.frequencies(alignment.cells, alignment.samples)), ("weighted_", frequencies.weighted_frequencies(alignment.cells, alignment.samples)))[: 1 + o.reweight]:
             out[f"{prefix}frequencies.txt"] = (text.frequency_lines(freq), ("locus",))
             out[f"{prefix}frequency_distribution.txt"] = (histogram.csv_lines(histogram.histogram(freq, "freq", 0.01), 0.01), ("bin",))
     if o.distance_matrix:

@@ -36,7 +36,7 @@ def state_counts(s, d):
 
 
 def state_frequencies(s, d):
-    return _round(frequencies.frequencies(fx.embedding_cells(s, d)), "freq")
+    return _round(frequencies.frequencies(fx.embedding_cells(s, d), fx.embedding_samples(s, d)), "freq")
 
 
 def document_state_counts(s, d):
@@ -81,7 +81,7 @@ def snp_filter(s, d):
 
 
 def snp_filter_loose(s, d):
-    return select.snp_filter(fx.document_cells(s, d), 0.05, 1.0)
+    return select.snp_filter(fx.document_cells(s, d), 0.05, 1.0, samples=fx.document_sequences(s, d))
 
 
 def subset_columns(s, d):
@@ -105,7 +105,7 @@ def loci_difference(s, d):
 
 
 def numbered_loci(s, d):
-    return select.numbered(select.snp_filter(fx.document_cells(s, d), 0.05, 1.0))
+    return select.numbered(select.snp_filter(fx.document_cells(s, d), 0.05, 1.0, samples=fx.document_sequences(s, d)))
 
 
 def subsample_rows(s, d):

@@ -51,11 +51,11 @@ def phandango(cells: DataFrame, samples: DataFrame, loci: DataFrame, base: int =
 
 
 def triangle(distances: DataFrame, samples: DataFrame) -> DataFrame:
-    """place, line: row i has the distances to all samples before it, each followed by a space; ``n=`` stands before row 0."""
+    """place, line: row i has the distances to all samples before it, each followed by a space; row 0, which has none, is the line ``n=``."""
     n = samples.agg(F.count("*").alias("n"), F.min("sample_id").alias("first"))
     rows = distances.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "distance"))), lambda x: F.concat(x["distance"].cast("string"), F.lit(" "))), "").alias("row"))
     named = samples.join(rows, samples["sample_id"] == rows["i"], "left").crossJoin(F.broadcast(n))
-    head = F.when(F.col("sample_id") == F.col("first"), F.concat(F.lit("n="), F.col("n").cast("string"), F.lit("\n"))).otherwise("")
+    head = F.when(F.col("sample_id") == F.col("first"), F.concat(F.lit("n="), F.col("n").cast("string"))).otherwise("")
     return named.select(F.col("sample_id").alias("place"), F.concat(head, F.coalesce("row", F.lit(""))).alias("line"))
 
 

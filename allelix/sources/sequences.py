@@ -100,11 +100,18 @@ def save(alignment: Alignment, path: str) -> None:
     alignment.samples.write.mode("overwrite").parquet(f"{path}/samples")
     if alignment.translation is not None:
         alignment.translation.write.mode("overwrite").parquet(f"{path}/translation")
+    facts = [(alignment.name, alignment.n_original_positions, alignment.translation is not None)]
+    alignment.cells.sparkSession.createDataFrame(facts, FACTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
 
 
-def load(spark: SparkSession, path: str, name: str = "alignment") -> Alignment:
-    cells = spark.read.parquet(f"{path}/cells")
-    return Alignment(cells, spark.read.parquet(f"{path}/samples"), name)
+FACTS = "name string, n_original_positions int, translated boolean"
+
+
+def load(spark: SparkSession, path: str, name: str | None = None) -> Alignment:
+    """What save() wrote; name: another name for it."""
+    facts = spark.read.schema(FACTS).parquet(f"{path}/facts").first()
+    translation = spark.read.parquet(f"{path}/translation") if facts["translated"] else None
+    return Alignment(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/samples"), name or facts["name"], facts["n_original_positions"], translation)
 
 
 __all__ = ["alignment_of", "load", "read_alignment", "read_alignments", "read_records", "samples_of", "save"]

@@ -26,6 +26,7 @@ cells AS (SELECT sample_id, l_quantity AS weight, unnest([0, 1, 2, 3, 4]) AS loc
 GRID = "grid AS (SELECT locus, state FROM (SELECT DISTINCT locus FROM cells) CROSS JOIN (SELECT range::INTEGER AS state FROM range(0, 5)))"
 COUNTS = GRID + ", counts AS (SELECT g.locus, g.state, coalesce(n, 0)::BIGINT AS n FROM grid g LEFT JOIN (SELECT locus, state, count(*) AS n FROM cells GROUP BY 1, 2) USING (locus, state))"
 FREQ = COUNTS + ", freqs AS (SELECT locus, state, n, n / (SELECT count(DISTINCT sample_id) FROM cells)::DOUBLE AS freq FROM counts)"
+DOC_FREQ = FREQ.replace("count(DISTINCT sample_id) FROM cells", "count(*) FROM documents")
 
 
 def weighted(pc: float) -> str:
@@ -71,7 +72,7 @@ SELECT cnt, bincount, round(mean, 6) AS mean, round(square - mean * mean, 6) AS
 
 ORACLE_SQL = {
     "state_counts": f"WITH {EMB}, {COUNTS} SELECT * FROM counts",
-    "state_frequencies": f"WITH {EMB}, {FREQ} SELECT locus, state, n, round(freq, 6) AS freq FROM freqs",
+    "state_frequencies": f"WITH {EMB}, {FREQ.replace('count(DISTINCT sample_id) FROM cells', 'count(*) FROM embeddings')} SELECT locus, state, n, round(freq, 6) AS freq FROM freqs",
     "document_state_counts": f"WITH {DOC}, {COUNTS} SELECT * FROM counts",
     "allele_occurrence": f"WITH {EMB}, {GRID} SELECT g.locus, g.state, coalesce(n, 0)::BIGINT AS n FROM grid g LEFT JOIN (SELECT locus, state, sum(multiplicity) AS n FROM cells JOIN samples USING (sample_id) GROUP BY 1, 2) USING (locus, state)",
     "weighted_counts": f"WITH {EMB}, {weighted(0)} SELECT locus, state, round(weight, 6) AS weight FROM weighted",
@@ -82,13 +83,13 @@ ORACLE_SQL = {
     "state_presence": f"WITH {DOC}, m AS (SELECT locus, bit_or(1 << state) AS mask FROM cells GROUP BY 1) SELECT locus, mask::INTEGER AS mask, bit_count(mask)::INTEGER AS n_states, (mask & 15)::INTEGER AS mask_wo_gap, (mask & 16)::INTEGER AS gap_bit FROM m",
     "state_distribution": f"WITH {DOC}, m AS (SELECT locus, count(DISTINCT state)::INTEGER AS n_states FROM cells GROUP BY 1) SELECT n_states, count(*) AS positions, n_states > 1 AS polymorphic FROM m GROUP BY 1",
     "snp_filter": f"WITH {EMB}, {FREQ} {SNP.format(maf=0.01, gap=0.15)}",
-    "snp_filter_loose": f"WITH {DOC}, {FREQ} {SNP.format(maf=0.05, gap=1.0)}",
+    "snp_filter_loose": f"WITH {DOC}, {DOC_FREQ} {SNP.format(maf=0.05, gap=1.0)}",
     "subset_columns": f"WITH {EMB}, {listed(LEFT, 'l')} SELECT sample_id, ord::INTEGER AS locus, state FROM cells JOIN l USING (locus)",
     "include_loci": f"WITH {EMB} SELECT * FROM cells WHERE locus IN (SELECT unnest({LEFT}))",
     "exclude_loci": f"WITH {EMB} SELECT * FROM cells WHERE locus NOT IN (SELECT unnest({LEFT}))",
     "combine_loci": f"WITH {EMB}, {FREQ}, f AS ({SNP.format(maf=0.01, gap=0.15)}), k AS (SELECT row_number() OVER (ORDER BY locus) - 1 AS ord, locus::BIGINT AS locus FROM f), {listed(LEFT, 'l')} SELECT l.ord, k.locus FROM l JOIN k ON l.locus = k.ord",
     "loci_difference": f"WITH {listed(LEFT, 'l')} SELECT * FROM l WHERE locus NOT IN (SELECT unnest({RIGHT}))",
-    "numbered_loci": f"WITH {DOC}, {FREQ}, f AS ({SNP.format(maf=0.05, gap=1.0)}) SELECT row_number() OVER (ORDER BY locus) - 1 AS ord, locus::BIGINT AS locus FROM f",
+    "numbered_loci": f"WITH {DOC}, {DOC_FREQ}, f AS ({SNP.format(maf=0.05, gap=1.0)}) SELECT row_number() OVER (ORDER BY locus) - 1 AS ord, locus::BIGINT AS locus FROM f",
     "subsample_rows": f"WITH {EMB}, {listed([7, 3, 11, 450], 'l')} SELECT ord AS sample_id, cells.locus, state FROM cells JOIN l ON l.locus = cells.sample_id",
     "hamming_distance": f"WITH {EMB}, {pairs(REAL)} SELECT i, j, (shorter - same)::INTEGER AS distance FROM idents",
     "fract_identical": f"WITH {EVT}, {pairs(REAL)} SELECT i, j, round(CASE WHEN shorter = 0 THEN 0 ELSE same::DOUBLE / shorter END, 6) AS identity FROM idents",
@@ -151,7 +152,7 @@ SELECT set_id, string_agg(lower(CASE WHEN a = b THEN to_hex(a) ELSE to_hex(a) ||
     "phandango_pivot": f"""WITH {EVT}, h AS (SELECT -1::BIGINT AS place, '"locus",' || string_agg('"L' || (locus + 1) || ':o1"', ',' ORDER BY locus) || ',"L1:o1"' AS line FROM (SELECT DISTINCT locus FROM cells)),
 b AS (SELECT sample_id AS place, '"' || sample_id || '",' || string_agg('"' || substr('atcg-', state + 1, 1) || '"', ',' ORDER BY locus) || ',"' || arg_min(substr('atcg-', state + 1, 1), locus) || '"' AS line FROM cells GROUP BY 1) SELECT * FROM h UNION ALL SELECT * FROM b""",
     "distance_triangle_text": f"""WITH {EVT}, {pairs(REAL)}, t AS (SELECT i, string_agg((shorter - same)::VARCHAR || ' ', '' ORDER BY j) AS body FROM idents GROUP BY 1)
-SELECT sample_id AS place, (CASE WHEN sample_id = (SELECT min(sample_id) FROM len) THEN 'n=' || (SELECT count(*) FROM len) || chr(10) ELSE '' END) || coalesce(body, '') AS line FROM len LEFT JOIN t ON i = sample_id""",
+SELECT sample_id AS place, (CASE WHEN sample_id = (SELECT min(sample_id) FROM len) THEN 'n=' || (SELECT count(*) FROM len) ELSE '' END) || coalesce(body, '') AS line FROM len LEFT JOIN t ON i = sample_id""",
     "fasta_lines": f"WITH {EVT} SELECT sample_id, '>' || sample_id || chr(10) || string_agg(substr('atcg-', state + 1, 1), '' ORDER BY locus) AS line FROM cells GROUP BY 1",
     "frequency_lines": f"WITH {EVT}, {COUNTS} SELECT locus, string_agg(printf('%d', n) || ' ', '' ORDER BY state) AS line FROM counts GROUP BY 1",
     "fasta_roundtrip": f"WITH {SEQ} SELECT sample_id, length(sequence)::INTEGER AS n_loci, md5(sequence) AS digest FROM sequences",

@@ -12,7 +12,7 @@ from allelix.fixtures import sequence_cells
 from allelix.functions import labels
 from allelix.functions import states as st
 from allelix.functions import vectors as vec
-from allelix.model import samples_of
+from allelix.model import Alignment, samples_of
 from allelix.operators import blocks, crosstable, frequencies, graph, histogram, pairs, select, sets
 from allelix.plans import preprocess
 from allelix.sinks import text
@@ -228,3 +228,37 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert values(spark.table("counted"), "locus", "state", "n") == values(frequencies.counts(cells), "locus", "state", "n")
+
+
+def test_samples_without_cells_count(spark):
+    cells = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (3, 0, 0), (3, 1, 1)], "sample_id long, locus int, state int")
+    samples = spark.createDataFrame([(1,), (2,), (3,)], "sample_id long")
+    freq = {(r["locus"], r["state"]): r["freq"] for r in frequencies.frequencies(cells, samples).collect()}
+    assert freq[0, 0] == pytest.approx(2 / 3) and freq[1, 1] == pytest.approx(1 / 3)
+    assert select.snp_filter(cells, 0.3, 1.0, samples=samples).count() == 1 and select.snp_filter(cells, 0.4, 1.0, samples=samples).count() == 0
+
+
+def test_triangle_begins_with_the_number(spark):
+    distances = spark.createDataFrame([(1, 0, 2), (2, 0, 1), (2, 1, 3)], "i long, j long, distance int")
+    samples = spark.createDataFrame([(0,), (1,), (2,)], "sample_id long")
+    assert [r["line"] for r in text.triangle(distances, samples).orderBy("place").collect()] == ["n=3", "2 ", "1 3 "]
+
+
+def test_saved_alignment_keeps_everything(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "sample_id long, locus int, state int")
+    lists = spark.createDataFrame([(0, 17)], "ord long, locus long")
+    sequences.save(Alignment(cells, samples_of(cells), "named", 99, lists), f"{tmp_path}/a")
+    back = sequences.load(spark, f"{tmp_path}/a")
+    assert (back.name, back.n_original_positions, [tuple(r) for r in back.translation.collect()]) == ("named", 99, [(0, 17)])
+    sequences.save(Alignment(cells, samples_of(cells)), f"{tmp_path}/b")
+    assert sequences.load(spark, f"{tmp_path}/b").translation is None
+
+
+def test_ragged_samples_without_nested_loops(spark):
+    rows = [(i, k, (i * 7 + k * 3) % 4 if i % 5 else k % 2) for i in range(24) for k in range(20 if i % 4 else 13)]
+    cells = spark.createDataFrame(rows, "sample_id long, locus int, state int")
+    near = pairs.similar_pairs(cells, 20, 0.9)
+    plan = near._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    plain = pairs.identities(cells, 20).where("same >= 0.9 * shorter and shorter > 0")
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, plain.collect()))
