@@ -1,10 +1,13 @@
 """Quality rules with suffix-array repetition.
 
 Per text, a suffix array over its words is built by prefix doubling that starts at three words, for all texts
-of a batch at once (numpy). The arrays of ranks give the common prefix of neighbours by descent over the levels;
-runs of neighbours with a common prefix of ``min_repeat`` words or more are the intervals of repeated substrings.
-A position whose left neighbour repeats one word further is inside a longer repeat; the others start the maximal
-repeats. The union of their spans and the longest of them are limited.
+of a batch at once (numpy). The arrays of ranks give the common prefix of neighbours by descent over the levels.
+A stack over these prefixes gives the intervals: runs of suffixes that share a number of words that no longer run shares.
+An interval's words cannot be prolonged to the right without losing an occurrence; where the words before its occurrences
+differ, nor to the left, and the interval is one maximal repeat. The union of the spans of maximal repeats of
+``min_repeat`` words or more and the longest of them are limited. An interval that can be prolonged to the left lies
+inside the spans of the longer one, so the union is that of each suffix's deepest interval, found without listing
+the occurrences of every interval (these can be quadratic in number).
 
 Nothing is shuffled: a text is judged alone, in the task that reads it.
 
@@ -105,20 +108,55 @@ def common_prefix(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarr
     return length
 
 
-def repeats(code: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position: words of the longest prefix that recurs in its text (0 if under three), and whether its first three words recur."""
+def intervals(shared: np.ndarray) -> np.ndarray:
+    """(first suffix, last suffix, words) of each interval, shared being the words that suffixes i and i + 1 have in common."""
+    out, stack, before = [], [], -2
+    places = np.flatnonzero(shared)
+    for i, words in zip(places.tolist(), shared[places].tolist(), strict=True):
+        if i != before + 1:
+            out += [(left, before + 1, k) for k, left in stack]
+            stack.clear()
+        left = i
+        while stack and stack[-1][0] > words:
+            k, left = stack.pop()
+            out.append((left, i, k))
+        if not stack or stack[-1][0] < words:
+            stack.append((words, left))
+        before = i
+    out += [(left, before + 1, k) for k, left in stack]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def maximal(suffixes: np.ndarray, shared: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The intervals with different words (or a text's start) before their occurrences."""
+    found = intervals(shared)
+    if not len(found):
+        return found
+    before = np.where(suffixes > 0, code[suffixes - 1], -1)
+    before[np.isin(suffixes, first)] = -1
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    return found[changes[found[:, 1]] > changes[found[:, 0]]]
+
+
+def repeats(code: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each position: words of the longest prefix that recurs in its text (0 if under three), and whether its first three words recur.
+
+    Also the recurring suffixes in order, and the words that each shares with the next (0 if under three).
+    """
     n = len(code)
     longest, recurs = np.zeros(n, np.int64), np.zeros(n, bool)
     levels, suffixes = rank_levels(code, doc, first[1:][doc]) if n else ([], np.empty(0, np.int64))
     recurs[suffixes] = True
+    neighbours = np.zeros(max(0, len(suffixes) - 1), np.int64)
     if len(suffixes) > 1:
         a, b = suffixes[:-1], suffixes[1:]
         near = levels[0][1][a] == levels[0][1][b]
         a, b = a[near], b[near]
         shared = common_prefix(a, b, levels, code, doc)
+        neighbours[near] = shared
         np.maximum.at(longest, a, shared)
         np.maximum.at(longest, b, shared)
-    return longest, recurs
+    return longest, recurs, suffixes, neighbours
 
 
 def covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
@@ -160,21 +198,20 @@ def measure(texts: pa.Array, limits: Limits) -> dict[str, np.ndarray]:
     code, _ = words.coded()
     n, doc, docs = words.lengths(), words.doc, words.n
     per = lambda x: np.bincount(doc, weights=x, minlength=docs).astype(np.int64)
-    longest, recurs = repeats(code, doc, words.first)
+    longest, recurs, suffixes, shared = repeats(code, doc, words.first)
     at = np.flatnonzero(recurs)
     in_window = covered(at, np.full(len(at), 3), len(code))
-    counted = np.where(longest >= limits.min_repeat, longest, 0)
-    inner = np.zeros(len(code), bool)
-    inner[1:] = (doc[1:] == doc[:-1]) & (longest[:-1] == longest[1:] + 1)
-    at = np.flatnonzero((counted > 0) & ~inner)
-    union = covered(at, counted[at], len(code))
+    found = maximal(suffixes, np.where(shared >= limits.min_repeat, shared, 0), code, words.first)
+    repeated = doc[suffixes[found[:, 0]]]
+    at = np.flatnonzero(longest >= limits.min_repeat)
+    union = covered(at, longest[at], len(code))
     top = np.zeros(docs, np.int64)
-    np.maximum.at(top, doc, counted)
+    np.maximum.at(top, repeated, found[:, 2])
     out = {"n_words": n, "word_chars": per(pc.utf8_length(words.values).to_numpy(zero_copy_only=False)), "n_symbols": byte_counts(texts, SYMBOLS), "n_dup_lines": dup_lines(texts), "n_repeat_words": per(in_window)}
     failed = (n < limits.min_words) | (100 * out["n_repeat_words"] > limits.repeat_percent * n)
     n_covered = per(union)
     kept = ~failed & (100 * n_covered <= limits.covered_percent * n) & (top <= limits.longest)
-    return out | {"base_failed": failed, "kept": kept, "n_maximal_repeats": np.bincount(doc[at], minlength=docs), "covered_words": n_covered, "longest_repeat": top}
+    return out | {"base_failed": failed, "kept": kept, "n_maximal_repeats": np.bincount(repeated, minlength=docs), "covered_words": n_covered, "longest_repeat": top}
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:

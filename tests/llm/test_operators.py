@@ -84,7 +84,7 @@ def test_suffix_arrays():
     for _ in range(300):
         docs = [" ".join(r.choices("abc"[: r.randint(1, 3)], k=r.randint(0, 30))) for _ in range(3)]
         words = quality_rules.Words(pa.array(docs))
-        longest, _ = quality_rules.repeats(words.coded()[0], words.doc, words.first)
+        longest = quality_rules.repeats(words.coded()[0], words.doc, words.first)[0]
         for d, t in enumerate(docs):
             assert longest[words.first[d] : words.first[d + 1]].tolist() == [x if x >= 3 else 0 for x in brute_repeats(t.split())]
 
