@@ -8,9 +8,10 @@ Up to five languages the code is exhaustive (all splits of the languages); beyon
 with a seed, keeping those that hold the codewords farthest apart.
 
 The classifiers are fitted on the driver from about ``sample_rows`` rows, chosen by a hash of the id among the rows that
-have a text of at most ``sample_bytes`` bytes and a language, with about LEAST_ROWS of each language at least; languages
-are counted over all rows, so that none is left without a codeword; everything else reads whole texts in the tasks, without a
-shuffle. A text's sum over n-grams is a gather from the weights and a segmented sum.
+have a text and a language, with about LEAST_ROWS of each language at least; languages are counted over all rows, so that
+none is left without a codeword. The tasks count the n-grams of the whole chosen texts, whatever their length; the driver gets no
+text, but at most BUCKETS shares for each chosen row. Everything else reads whole texts in the tasks, without a shuffle. A
+text's sum over n-grams is a gather from the weights and a segmented sum.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all texts where no row has a
 language; with one language all texts with a letter get it; null ids are carried along, and repeated rows each get
@@ -65,17 +66,28 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets[:-1] - offsets[0]
 
 
-def fit(texts: pa.Array, labels: list[str], rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4) -> dict:
-    """Weights (a column for each bit), offsets, the code, the weight of each bit, and the languages in order."""
+def shares(texts: pa.Array) -> pa.ListArray:
+    """Each text's buckets with a share of its n-grams, as lists of (bucket, share)."""
+    codes, starts = grams(texts)
+    ends, bucket, share = np.append(starts[1:], len(codes[0])), [], []
+    for a, b in zip(starts, ends, strict=True):
+        n = sum(np.bincount(key[a:b], minlength=BUCKETS) for key in codes)
+        bucket.append(np.flatnonzero(n))
+        share.append(n[bucket[-1]] / (3 * (b - a)))
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in bucket])])
+    flat = pa.StructArray.from_arrays([pa.array(np.concatenate(bucket).astype(np.int32)), pa.array(np.concatenate(share).astype(np.float32))], ["bucket", "share"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
+def fit(grams_of: pa.ListArray, labels: list[str], rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4) -> dict:
+    """Weights (a column for each bit), offsets, the code, the weight of each bit, and the languages in order, from shares()."""
     names = sorted(set(labels))
     code = codewords(len(names))
     target = code[[names.index(x) for x in labels]].astype(np.float32)
     x = np.zeros((len(labels), BUCKETS), np.float32)
-    codes, starts = grams(texts)
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes[0]))))
-    for key in codes:
-        x += np.bincount(row * BUCKETS + key, minlength=x.size).reshape(x.shape).astype(np.float32)
-    x /= x.sum(axis=1, keepdims=True)
+    flat = grams_of.flatten()
+    row = np.repeat(np.arange(len(labels)), pc.list_value_length(grams_of).to_numpy(zero_copy_only=False))
+    x[row, flat.field("bucket").to_numpy(zero_copy_only=False)] = flat.field("share").to_numpy(zero_copy_only=False)
     used = np.flatnonzero(x.any(axis=0))
     x = x[:, used]
     scale = 1 / np.sqrt((x * x).mean(axis=0) + 1e-9)
@@ -112,27 +124,29 @@ def decode(model: dict, texts: pa.Array, margin: float) -> tuple[np.ndarray, np.
     return best, likely[np.arange(len(best)), best], (order[:, 1] - order[:, 0]) < margin
 
 
-def rows_by_language(docs: DataFrame, wanted: Column, sample_rows: int, sample_bytes: int, least: int = LEAST_ROWS) -> DataFrame:
-    """text, lang: about sample_rows of the wanted rows of at most sample_bytes, and about ``least`` of each language or all it has.
-
-    Languages are counted over all wanted rows. One with too few texts that short is learnt from the beginnings of longer ones.
-    """
-    short = F.octet_length("text") <= sample_bytes
-    counts = docs.where(wanted).groupBy("lang").agg(F.count_if(short).alias("n_short"), F.count("*").alias("n")).collect()
-    total = sum(r["n_short"] for r in counts)
-    share = [(r["lang"], r["n_short"] < least, min(1.0, max(sample_rows / max(total, 1), least / max(r["n"] if r["n_short"] < least else r["n_short"], 1)))) for r in counts]
-    shares = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, long boolean, share double"))
+def rows_by_language(docs: DataFrame, wanted: Column, sample_rows: int, least: int = LEAST_ROWS) -> DataFrame:
+    """doc_id, text, lang: about sample_rows of the wanted rows, and about ``least`` of each language or all it has. Languages are counted over all wanted rows."""
+    counts = docs.where(wanted).groupBy("lang").count().collect()
+    total = sum(r["count"] for r in counts)
+    share = [(r["lang"], min(1.0, max(sample_rows / total, least / r["count"]))) for r in counts]
+    by_lang = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share double"))
     place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    return docs.where(wanted).join(shares, "lang").where((short | F.col("long")) & (place < F.col("share"))).select(F.when(short, F.col("text")).otherwise(F.left("text", F.lit(sample_bytes))).alias("text"), "lang")
+    return docs.where(wanted).join(by_lang, "lang").where(place < F.col("share")).select("doc_id", "text", "lang")
 
 
-def languages(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, sample_bytes: int = 20_000, margin: float = 0.05) -> DataFrame:
+def languages(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, margin: float = 0.05) -> DataFrame:
     """One row of SCHEMA per row of docs. learn: which rows may be learnt from; held_out: the column of that name."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), learn.alias("learn"), held_out.alias("held_out"))
     wanted = F.col("learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    sample = rows_by_language(rows, wanted, sample_rows, sample_bytes).toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+
+    def counted():
+        return lambda batch: pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "grams": shares(batch.column("text"))})
+
+    chosen = rows_by_language(rows, wanted, sample_rows).withColumn("hash", F.xxhash64("text"))
+    sample = mapped(chosen, counted, "lang string, doc_id long, hash long, grams array<struct<bucket: int, share: float>>", most=1 << 20).toArrow()
+    sample = sample.take(pc.sort_indices(sample.select(["lang", "doc_id", "hash"]), [("lang", "ascending"), ("doc_id", "ascending"), ("hash", "ascending")]))
     labels = sample.column("lang").to_pylist()
-    model = fit(sample.column("text").combine_chunks(), labels) if len(set(labels)) > 1 else {"names": labels[:1]}
+    model = fit(sample.column("grams").combine_chunks(), labels) if len(set(labels)) > 1 else {"names": labels[:1]}
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
