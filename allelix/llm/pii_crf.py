@@ -2,13 +2,15 @@
 
 The patterns (email, ip, card, phone) are found by scans that take linear time on any text. The field is trained on
 the driver from a small labelled table (a few hundred short sentences, ``labelled_table``) by gradient ascent on the
-penalised likelihood; its weights go to the tasks, which decode by Viterbi, many word windows at once in numpy.
+penalised likelihood; its weights go to the tasks, which decode by Viterbi, all texts of a batch at once in numpy.
 It adds what the patterns miss: secrets after a cue, numbers written without a plus sign, addresses spelt out.
 
-Every labelled name holds a word with a digit or an ``@``, or a spelt-out ``at`` ... ``dot``; words farther than ``REACH`` words from
-such a trigger, or from a cue such as ``password``, can only be outside, so they are not decoded. A run of any length is
-decoded whole: its features are laid out ``PIECE`` words at a time, the state is carried through all of it. An added span that
-touches fixed ones is cut at them.
+Every word of a text is decoded, in its whole text. Only texts without any digit, ``@`` or ``dot`` are passed over: no added span in
+them could be plausible (see ``plausible``). A word's features and its neighbours' add up, so each distinct word has one row of scores
+for each distance, and a text's scores are gathered from these. Long texts are dealt into pieces of ``PIECE`` words that advance
+together: a first pass gives for each piece the best score from any tag before it to any tag at its end, these are
+chained, and a second pass decodes every piece from its true beginning, so the result is that of the whole text. An added span
+that touches fixed ones is cut at them.
 
 Nothing is shuffled. Defined results: null and empty texts have no spans; repeated rows each get their row; null ids
 are carried along; an empty table gives an empty result; other columns are not read.
@@ -27,12 +29,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ids_and_text, mapped
+from .common import Words, ids_and_text, mapped
 from .quality_rules import byte_counts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH, PIECE = 5, 512
+#: Words of a text that are decoded in turn; its pieces advance side by side.
+PIECE = 256
+#: Distances of the words whose features count at a place, and distinct words whose scores a task remembers.
+NEAR, REMEMBERED = (0, -2, -1, 1, 2), 100_000
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long"
 
 # ---- fixed patterns
@@ -105,7 +110,10 @@ SYLLABLES = ("the", "er", "on", "an", "th", "in", "de", "la", "que", "ción", "m
 
 
 def labelled_sentences(n: int = 640, seed: int = 11) -> list[tuple[list[str], list[str]]]:
-    """Short sentences of made-up words with personal data and look-alikes among them, and a tag for each word."""
+    """Sentences of made-up words with personal data and look-alikes among them, and a tag for each word.
+
+    ``n`` short ones, and a twelfth as many of 40 to 80 words: these show that a name does not run on through ordinary text.
+    """
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3)))
@@ -167,6 +175,20 @@ def labelled_sentences(n: int = 640, seed: int = 11) -> list[tuple[list[str], li
             tags += ["O"] * len(fill) + some[1]
         fill = [word() + end() for _ in range(r.randint(0, 4))]
         out.append((words + fill, tags + ["O"] * len(fill)))
+
+    def ordinary() -> str:
+        kind = r.random()
+        return r.choice(("|", "-", "#", "*")) if kind < 0.06 else word().capitalize() + end() if kind < 0.15 else word() + end()
+
+    for k in range(n // 12):
+        words, tags = [], []
+        while len(words) < 40:
+            fill = [ordinary() for _ in range(r.randint(8, 30))]
+            some = (secret, alike, phone, alike, email, alike, card, ip)[r.randrange(8)]()
+            words += fill + some[0]
+            tags += ["O"] * len(fill) + some[1]
+        fill = [ordinary() for _ in range(r.randint(0, 20))]
+        out.append((words + fill, tags + ["O"] * len(fill)))
     return out
 
 
@@ -238,26 +260,6 @@ class Field:
                 at[i, j, : len(row)] = row
         return self.emit[at].sum(axis=2)
 
-    def decode_long(self, words: list[str], known: dict[str, list[str]]) -> np.ndarray:
-        """Best tags of one sentence of any length: decode(), with features laid out PIECE words at a time."""
-        n, score = len(words), []
-        for a in range(0, n, PIECE):
-            low, high = max(0, a - 2), min(n, a + PIECE + 2)  # features reach two words to each side
-            rows = self.ids(words[low:high], known)
-            score.append(self.scores([rows], len(rows))[0][a - low : min(n, a + PIECE) - low])
-        score = np.concatenate(score)
-        best, back = score[0] + START, np.zeros((n, len(TAGS)), np.int8)
-        for t in range(1, n):
-            step = best[:, None] + self.move
-            back[t] = step.argmax(axis=0)
-            best = step.max(axis=0) + score[t]
-        out = np.empty(n, int)
-        tag = int(best.argmax())
-        for t in range(n - 1, -1, -1):
-            out[t] = tag
-            tag = int(back[t, tag])
-        return out
-
     def decode(self, sentences: list[list[list[int]]]) -> list[np.ndarray]:
         """Best tags of each sentence, by Viterbi over sentences of about one length at a time."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(sentences)
@@ -283,6 +285,102 @@ class Field:
                 out[i] = np.array(path[::-1])
         return out
 
+    def word_scores(self, own: tuple[str, ...]) -> np.ndarray:
+        """What a word with these features adds to each tag's score at its own place, and at the places that see it at each distance."""
+        get, out = self.names.get, np.zeros((len(NEAR), len(TAGS)))
+        out[0] = self.emit[[get(x, 0) for x in ("bias", *own)]].sum(axis=0)
+        for k, d in enumerate(NEAR[1:], 1):
+            out[k] = self.emit[[get(f"{d}{x}", 0) for x in own if x[:4] != "size"]].sum(axis=0)
+        return out
+
+    def step(self, best: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """Best score of each next tag (before its own score) from scores by (..., tag, piece); back gets the tag it comes from."""
+        out = best[..., 0, None, :] + self.move[0][:, None]
+        for k in range(1, len(TAGS)):
+            other = best[..., k, None, :] + self.move[k][:, None]
+            if back is not None:
+                np.copyto(back, k, where=other > out)
+            np.maximum(out, other, out=out)
+        return out
+
+    def decode_texts(self, scores: np.ndarray, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best tag of every word. scores: word_scores of each distinct word, the text's edge last. code: each word's row there.
+        first: each text's first word, with the total at the end.
+        """
+        n, tags, length = len(code), len(TAGS), np.diff(first)
+        count = -(-length // PIECE)
+        text = np.repeat(np.arange(len(length)), count)
+        rank = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        begin = first[text] + rank * PIECE
+        size = np.minimum(PIECE, first[text + 1] - begin)
+        opens, followed = rank == 0, rank + 1 < count[text]
+        at = np.arange(n) + 2 * (np.repeat(np.arange(len(length)), length) + 1)
+        laid = np.full(n + 2 * len(length) + 2, len(scores) - 1)
+        laid[at] = code
+        columns = [np.ascontiguousarray(scores[:, k].T) for k in range(len(NEAR))]
+        own = lambda places: sum(c[:, laid[at[places] + d]] for c, d in zip(columns, NEAR, strict=True))
+
+        def longest_first(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pieces by falling size, their beginnings, and how many of them have a word at each step."""
+            pieces = pieces[np.argsort(-size[pieces], kind="stable")]
+            return pieces, begin[pieces], len(pieces) - np.searchsorted(size[pieces][::-1], np.arange(size[pieces].max(initial=0)), "right")
+
+        entry = np.zeros((tags, len(text)))
+        pieces, starts, live = longest_first(np.flatnonzero(followed))
+        if len(pieces):
+            passed = np.where(opens[pieces], START[None, :, None], self.move[:, :, None]) + own(starts)
+            for t in range(1, len(live)):
+                passed = self.step(passed) + own(starts + t)
+            place = np.empty(len(text), int)
+            place[pieces] = np.arange(len(pieces))
+            for p in np.flatnonzero(followed):
+                entry[:, p + 1] = (entry[:, p, None] + passed[:, :, place[p]]).max(axis=0)
+        pieces, starts, live = longest_first(np.arange(len(text)))
+        back = np.zeros((n, tags), np.int8)
+        best = entry[:, pieces]
+        for t, k in enumerate(live):
+            come = np.zeros((tags, k), np.int8)
+            ahead = self.step(best[:, :k], come)
+            if t == 0:
+                ahead = np.where(opens[pieces], START[:, None], ahead)
+            best[:, :k] = ahead + own(starts[:k] + t)
+            back[starts[:k] + t] = come.T
+        ends = np.empty(len(text), int)
+        ends[pieces] = best.argmax(axis=0)
+        later, later_starts, later_live = longest_first(np.flatnonzero(~opens))
+        if len(later):
+            before = np.repeat(np.arange(tags)[:, None], len(later), axis=1)
+            for t in range(len(later_live) - 1, -1, -1):
+                k = later_live[t]
+                before[:, :k] = back[later_starts[:k] + t, before[:, :k]]
+            place[later] = np.arange(len(later))
+            for p in np.flatnonzero(~opens)[::-1]:
+                ends[p - 1] = before[ends[p], place[p]]
+        out, tag = np.empty(n, np.int8), ends[pieces]
+        for t in range(len(live) - 1, -1, -1):
+            k = live[t]
+            out[starts[:k] + t] = tag[:k]
+            tag[:k] = back[starts[:k] + t, tag[:k]]
+        return out
+
+    def decode_words(self, words: Words, known: dict[str | tuple, np.ndarray]) -> np.ndarray:
+        """Best tag of every word of the texts; known remembers the scores of words and of lists of features."""
+        code, distinct = words.coded()
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in distinct.to_pylist():
+            if w not in known:
+                own = tuple(word_features(w))
+                if own not in known:
+                    known[own] = self.word_scores(own)
+                known[w] = known[own]
+        rows = [known[w] for w in distinct.to_pylist()]
+        return self.decode_texts(np.stack([*rows, self.word_scores(("edge",))]), code, words.first)
+
+    def decode_long(self, words: list[str], known: dict) -> np.ndarray:
+        """Best tags of one sentence of any length."""
+        return self.decode_words(Words(pa.array([" ".join(words)])), known)
+
 
 #: Moves that a tagging cannot make: inside without the same name before it.
 ALLOWED = np.array([[not b.startswith("I-") or a[2:] == b[2:] for b in TAGS] for a in TAGS])
@@ -291,6 +389,7 @@ START = np.where([t.startswith("I-") for t in TAGS], -1e4, 0.0)
 
 def train(sentences: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.2, penalty: float = 0.02) -> Field:
     """Adam on the mean log likelihood less a quadratic penalty, all sentences at once by forward and backward sums."""
+    sentences = sorted(sentences, key=lambda s: -len(s[0]))
     known: dict[str, list[str]] = {}
     rows = [features(words, known) for words, _ in sentences]
     names: dict[str, int] = {}
@@ -298,40 +397,42 @@ def train(sentences: list[tuple[list[str], list[str]]], rounds: int = 60, rate:
         for row in s:
             for x in row:
                 names.setdefault(x, len(names) + 1)
-    n, length, k = len(rows), max(map(len, rows)), len(TAGS)
+    size = np.array([len(s) for s in rows])
+    n, length, k = len(rows), int(size[0]), len(TAGS)
+    live = np.arange(length) < size[:, None]
+    inner, many = live[:, 1:], live.sum(axis=0)
     wide = max(len(row) for s in rows for row in s)
-    at, gold, live = np.zeros((n, length, wide), np.int64), np.zeros((n, length), int), np.zeros((n, length), bool)
-    for i, s in enumerate(rows):
-        live[i, : len(s)] = True
-        gold[i, : len(s)] = [TAGS.index(t) for t in sentences[i][1]]
-        for j, row in enumerate(s):
-            at[i, j, : len(row)] = [names[x] for x in row]
-    flat, cell = at[live].ravel(), np.repeat(np.arange(int(live.sum())), wide)
-    size = live.sum(axis=1)
+    at, gold = np.zeros((int(size.sum()), wide), np.int64), np.zeros((n, length), int)
+    for cell, row in enumerate(row for s in rows for row in s):
+        at[cell, : len(row)] = [names[x] for x in row]
+    gold[live] = [TAGS.index(t) for _, tags in sentences for t in tags]
+    flat, cell, of = at.ravel(), np.repeat(np.arange(len(at)), wide), np.nonzero(live)[0]
     emit, move = np.zeros((len(names) + 1, k)), np.zeros((k, k))
     state = [np.zeros_like(x) for x in (emit, emit, move, move)]
     true_moves = np.zeros((k, k))
-    np.add.at(true_moves, (gold[:, :-1][live[:, 1:]], gold[:, 1:][live[:, 1:]]), 1)
+    np.add.at(true_moves, (gold[:, :-1][inner], gold[:, 1:][inner]), 1)
 
     def total(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis=axis, keepdims=True)
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
     for step in range(1, rounds + 1):
-        score = emit[at].sum(axis=2)
+        score, ahead, behind = np.zeros((3, n, length, k))
+        score[live] = emit[at].sum(axis=1)
         way = np.where(ALLOWED, move, -1e4)
-        ahead, behind = np.zeros((n, length, k)), np.zeros((n, length, k))
         ahead[:, 0] = score[:, 0] + START
         for t in range(1, length):
-            ahead[:, t] = np.where((t < size)[:, None], total(ahead[:, t - 1, :, None] + way, 1) + score[:, t], ahead[:, t - 1])
+            m = many[t]
+            ahead[:m, t] = total(ahead[:m, t - 1, :, None] + way, 1) + score[:m, t]
         for t in range(length - 2, -1, -1):
-            behind[:, t] = np.where((t + 1 < size)[:, None], total(way + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0)
-        whole = total(ahead[:, -1], 1)
-        share = np.exp(ahead + behind - whole[:, None, None])[live]
+            m = many[t + 1]
+            behind[:m, t] = total(way + (score[:m, t + 1] + behind[:m, t + 1])[:, None, :], 2)
+        whole = total(ahead[np.arange(n), size - 1], 1)
+        share = np.exp(ahead[live] + behind[live] - whole[of][:, None])
         share[np.arange(len(share)), gold[live]] -= 1
         down = np.stack([np.bincount(flat, weights=share[cell, c], minlength=len(emit)) for c in range(k)], axis=1)
-        both = ahead[:, :-1, :, None] + way + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - whole[:, None, None, None]
-        moves = np.exp(both[live[:, 1:]]).sum(axis=0) - true_moves
+        both = ahead[:, :-1][inner][:, :, None] + way + (score[:, 1:] + behind[:, 1:])[inner][:, None, :] - whole[np.nonzero(inner)[0]][:, None, None]
+        moves = np.exp(both).sum(axis=0) - true_moves
         for x, g, m, v in ((emit, down / n + penalty * emit / 10, state[0], state[1]), (move, moves / n + penalty * move / 10, state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -353,38 +454,14 @@ def trained(spark: SparkSession, table: DataFrame | None = None) -> Field:
     return train(list(sentences.values()))
 
 
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words within REACH of a trigger, as places in the text."""
-    words = [m.span() for m in WORD.finditer(text)]
-    near = bytearray(len(words))
-    for i, (a, b) in enumerate(words):
-        word = text[a:b]
-        if TRIGGER.search(word) or word in SPELT or (len(word) < 24 and word.strip(EDGE + "=").lower() in CUE_WORDS):
-            for j in range(max(0, i - REACH), min(len(words), i + REACH + 1)):
-                near[j] = 1
-    out, run = [], []
-    for i, w in enumerate(words):
-        if near[i]:
-            run.append(w)
-        elif run:
-            out.append(run)
-            run = []
-    return [*out, run] if run else out
-
-
-TRIGGER = re.compile("[0-9@]")
-SPELT = frozenset(("(at)", "[at]", "(dot)", "[dot]", "dot"))
-CUE_WORDS = frozenset(CUES["secret"]) - {"key"}
-
-
-def named(text: str, words: list[tuple[int, int]], tags: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def named(text: str, words: list[tuple[int, int]], tags: list[int]) -> Iterator[tuple[int, int, int]]:
     """(start, kind, end) of each tagged name, without quotes and stops around it."""
     i = 0
     while i < len(tags):
         if tags[i] == 0:
             i += 1
             continue
-        kind, j = (int(tags[i]) - 1) // 2, i + 1
+        kind, j = (tags[i] - 1) // 2, i + 1
         while j < len(tags) and tags[j] == 2 * kind + 2:
             j += 1
         start, end = words[i][0], words[j - 1][1]
@@ -439,32 +516,28 @@ def joined_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 SEEN = np.zeros(256, np.int64)
-SEEN[list(b"0123456789@[(")] = 1
+SEEN[list(b"0123456789@")] = 1
 
 
-def find(texts: pa.Array, field: Field, known: dict[str, list[str]]) -> dict[str, list]:
+def find(texts: pa.Array, field: Field, known: dict[str | tuple, np.ndarray]) -> dict[str, list]:
     some = byte_counts(texts, SEEN) > 0
-    some |= pc.fill_null(pc.match_substring(texts, " dot "), False).to_numpy(zero_copy_only=False)
+    some |= pc.fill_null(pc.match_substring(texts, "dot"), False).to_numpy(zero_copy_only=False)
     base: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
-    taken: dict[int, tuple[list[tuple[int, int]], list[int]]] = {}
-    where, sentences, tagged = [], [], []
-    for i in np.flatnonzero(some).tolist():
+    chosen = np.flatnonzero(some)
+    words = Words(texts.take(pa.array(chosen)))
+    tags = field.decode_words(words, known)
+    marked = set(words.doc[tags > 0].tolist())
+    for row, i in enumerate(chosen.tolist()):
         text = texts[i].as_py()
         base[i] = base_spans(text)
+        if row not in marked:
+            continue
         union = joined_spans(base[i])
-        taken[i] = union, [a for a, _ in union]
-        for run in windows(text):
-            words = [text[a:b] for a, b in run]
-            if len(run) > PIECE:
-                tagged.append((i, text, run, field.decode_long(words, known)))
-            else:
-                where.append((i, text, run))
-                sentences.append(field.ids(words, known))
-    for i, text, run, tags in [*tagged, *((*w, tags) for w, tags in zip(where, field.decode(sentences), strict=True))]:
-        for a, kind, b in named(text, run, tags):
+        firsts = [a for a, _ in union]
+        for a, kind, b in named(text, [m.span() for m in WORD.finditer(text)], tags[words.first[row] : words.first[row + 1]].tolist()):
             cue = CUED.match(text, a, b) if KINDS[kind] == "secret" else None
-            spans[i] += [(x, kind, y) for x, y in outside(cue.end() if cue else a, b, *taken[i], text) if plausible(kind, text[x:y])]
+            spans[i] += [(x, kind, y) for x, y in outside(cue.end() if cue else a, b, union, firsts, text) if plausible(kind, text[x:y])]
     added = [len(xs) for xs in spans]
     secrets = [sum(k == 4 for _, k, _ in xs) for xs in spans]
     joined = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(xs))
@@ -477,11 +550,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     field = trained(docs.sparkSession, labelled)
 
     def make():
-        known: dict[str, list[str]] = {}
+        known: dict[str | tuple, np.ndarray] = {}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if len(known) > 200_000:
-                known.clear()
             return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.string() if k in ("spans", "base_sha256") else pa.int64()) for k, v in find(batch.column("text"), field, known).items()})
 
         return work

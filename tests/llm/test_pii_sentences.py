@@ -1,5 +1,6 @@
 """Personal data in sentences that do not come from the generator of the labelled table, and in long texts."""
 
+import random
 import time
 
 import pyarrow as pa
@@ -61,3 +62,31 @@ def test_many_spans_take_linear_time(field):
         took.append(time.process_time() - began)
         assert len(found) == 2 * n
     assert took[1] < 24 * took[0]
+
+
+def test_whole_texts_against_plain_decoding(field):
+    r = random.Random(1)
+    some = "the call 555-123-4567 mail x@y.org v1.2.3 and (636) 111-2222 key = abcdef0123456789abcd token la que (at) dot 12 password is Tr0ub4dor&3".split()
+    texts = [" ".join(r.choices(some, k=k)) for k in (0, 1, 2, 255, 256, 257, 0, 511, 512, 513, 1300, 40, 40, 700)]
+    words = pii_crf.Words(pa.array([*texts, None, " \n"]))
+    tags = field.decode_words(words, {})
+    for i, text in enumerate(texts):
+        own = tags[words.first[i] : words.first[i + 1]].tolist()
+        assert own == (field.decode([field.ids(text.split(), {})])[0].tolist() if text else [])
+    assert len(field.decode_words(pii_crf.Words(pa.array([], pa.string())), {})) == 0
+
+
+@pytest.mark.parametrize("around", [0, 3, 6, 40, 300, 3000])
+def test_names_far_from_other_signs(field, around):
+    r = random.Random(around)
+    fill = lambda: " ".join("".join(r.choices("abcdefgéñ", k=r.randint(2, 9))) for _ in range(around))
+    assert spans(field, f'{fill()} token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" {fill()}') == [("secret", "cb1a9fee807a05366fcb8b6c95c7c565ede51a72")]
+    assert spans(field, f"{fill()} write to john at example dot com {fill()}") == [("email", "john at example dot com")]
+    assert spans(field, fill() + " in 2020 " + fill()) == []
+
+
+def test_texts_passed_over_can_have_no_plausible_name():
+    r = random.Random(6)
+    for _ in range(20_000):
+        name = "".join(r.choices(["at", "do", "t", " ", "ab", "(", "[", ".", "-", "X"], k=r.randint(1, 12)))
+        assert "dot" in name or not any(pii_crf.plausible(k, name) for k in range(5))
