@@ -36,30 +36,41 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession) -> list[str]:
-    """The folders that stored() has made in this session and that are still there, oldest first."""
-    return FOLDERS.setdefault(spark.sparkContext.applicationId, [])
-
-
-FOLDERS: dict[str, list[str]] = {}
+class Folders:
+    """The folders that one call of an operator writes: no other call knows them, so calls may run beside each other."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        """Write once to the shared folder and read again: cuts the lineage, and survives a lost executor."""
+        path = new_dir(self.spark, what)
+        df.write.parquet(path)
+        self.paths.append(path)
+        file_system, at = self._at(path)
+        file_system.deleteOnExit(at)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, keep: int) -> None:
+        """Deletes the folders but for the last ``keep``: nothing later may read them."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            file_system, at = self._at(path)
+            file_system.delete(at, True)
+
+    def part(self) -> Folders:
+        """The folders of one part of the call, to be forgotten before the others."""
+        return Folders(self.spark)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write once to the shared folder and read again: cuts the lineage, and survives a lost executor."""
-    spark = df.sparkSession
-    path = new_dir(spark, what)
-    df.write.parquet(path)
-    written(spark).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, mark: int, keep: int) -> None:
-    """Deletes the folders stored since there were ``mark`` of them, but for the last ``keep``: nothing later may read them."""
-    own = written(spark)
-    for path in own[mark : len(own) - keep]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        own.remove(path)
+    """As Folders.stored, for a table that the result of the call reads: it goes when the session's process ends."""
+    return Folders(df.sparkSession).stored(df, what)
 
 
 def file_system(path: str):
@@ -123,14 +134,14 @@ def grouped_map(rows: DataFrame, key: str, f: Callable[[pa.Table], pa.Table], sc
     return rows.groupBy(key).applyInArrow(work, schema)
 
 
-def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]], schema: str, column: str = "text", most: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow with one function per task, made there by ``make``, over batches of bounded size."""
+def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]], schema: str, column: str | None = "text", most: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with one function per task, made there by ``make``, over batches of bounded size; without a column as Spark cuts them."""
     small_batches(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, batch, part = make(), None, None
         for batch in batches:
-            for part in slices(batch, column, most):
+            for part in slices(batch, column, most) if column else (batch,):
                 if part.num_rows:
                     yield f(part)
         del f, batch, part

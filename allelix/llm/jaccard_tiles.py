@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, forget, grouped_map, ids_and_text, mapped, mix, stored, string_hashes, written
+from .common import Folders, Words, grouped_map, ids_and_text, mapped, mix, stored, string_hashes
 
 SETS = "doc_id long, tie long, n_shingles long, sig long, check long, keys array<long>, bits binary"
 #: Rows up to which a list of ids is broadcast.
@@ -189,7 +189,7 @@ def common_shingles(rows: DataFrame, join: Join) -> np.ndarray:
     return np.sort(counted.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
+def keyed_sets(rows: DataFrame, join: Join, own: Folders) -> DataFrame:
     """SETS: for the first set with its fingerprint in a task its keys, for the others none."""
     common = common_shingles(rows, join)
 
@@ -216,35 +216,35 @@ def keyed_sets(rows: DataFrame, join: Join) -> DataFrame:
 
         return work
 
-    return stored(mapped(rows, make, SETS), "keyed-sets")
+    return own.stored(mapped(rows, make, SETS), "keyed-sets")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, own: Folders) -> DataFrame:
     """node, root: the smallest node of its component, for all nodes of edges (a, b), by labels that run along edges and jump."""
     # One reading of edges gives both directions: a second one of the comparisons could choose other links.
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(edges.select(F.inline(ways)).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "labels")
+    both = own.stored(edges.select(F.inline(ways)).distinct(), "edges")
+    labels = own.stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         mine = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("near", "root")).alias("now"), F.col("root").alias("was"))
         up = labels.select(F.col("node").alias("at"), F.col("root").alias("far"))
-        new = stored(mine.join(up, mine["now"] == up["at"], "left").select("node", F.least("now", F.coalesce("far", "now")).alias("root"), "was"), "labels")
+        new = own.stored(mine.join(up, mine["now"] == up["at"], "left").select("node", F.least("now", F.coalesce("far", "now")).alias("root"), "was"), "labels")
         labels = new.select("node", "root")
         if not new.where("root <> was").limit(1).count():
             return labels
 
 
-def joined_groups(stars: DataFrame) -> DataFrame:
+def joined_groups(stars: DataFrame, own: Folders) -> DataFrame:
     """node, root as components() gives them. First each node goes to the least centre that it has, which leaves few edges."""
-    stars = stored(stars, "stars")
+    stars = own.stored(stars, "stars")
     near = stars.groupBy("b").agg(F.min("a").alias("near"))
     nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    parent = stored(nodes.join(near, nodes["node"] == near["b"], "left").select("node", F.coalesce("near", "node").alias("parent")), "parents")
+    parent = own.stored(nodes.join(near, nodes["node"] == near["b"], "left").select("node", F.coalesce("near", "node").alias("parent")), "parents")
     a, b = parent.alias("pa"), parent.alias("pb")
     left = stars.join(a, stars["a"] == F.col("pa.node")).join(b, stars["b"] == F.col("pb.node"))
     short = left.select(F.col("pa.parent").alias("a"), F.col("pb.parent").alias("b")).where("a <> b").distinct()
-    up = components(short)
+    up = components(short, own)
     return parent.join(up.withColumnRenamed("node", "top"), F.col("parent") == F.col("top"), "left").select("node", F.coalesce("root", "parent").alias("root"))
 
 
@@ -331,7 +331,7 @@ def with_ends(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("low", F.min(value).over(meet)).withColumn("high", F.max(value).over(meet))
 
 
-def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
+def candidate_groups(keyed: DataFrame, join: Join, own: Folders) -> DataFrame:
     """node, root: sets that share a key and that their bitmaps do not rule out, directly or through others, have one root.
 
     Most such sets are joined through the least set of a key; keys that then still hold sets of several groups are
@@ -339,8 +339,8 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
     """
     some = keyed.where(F.size("keys") > 0)
     each = some.select(F.explode("keys").alias("key"), "sig")
-    members = stored(with_ends(each, "sig").where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
-    signs = stored(some.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "signatures")
+    members = own.stored(with_ends(each, "sig").where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
+    signs = own.stored(some.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "signatures")
     one, two = signs.toDF("a", "n", "bits"), signs.toDF("b", "m", "more")
     stars = members.where("sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct().join(one, "a").join(two, "b")
 
@@ -353,12 +353,12 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
                 keep.append(bool(may_be_similar(folded(x, words), n, folded(y, words)[None], np.array([m]), join.percent)[0]))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    near = stored(stars.mapInArrow(pass_bound, "a long, b long"), "bounded-stars")
-    first = joined_groups(near)
+    near = own.stored(stars.mapInArrow(pass_bound, "a long, b long"), "bounded-stars")
+    first = joined_groups(near, own)
     label = F.coalesce("root", "sig")
     labelled = members.select("key", "sig").join(first, members["sig"] == first["node"], "left").select("key", "sig", label.alias("label"))
     mixed = with_ends(labelled, "label").where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
-    open_ = stored(mixed.join(signs, "sig").select("sig", "root", "label", "n", "bits", (F.octet_length("bits") / 8).cast("long").alias("volume")), "open-keys")
+    open_ = own.stored(mixed.join(signs, "sig").select("sig", "root", "label", "n", "bits", (F.octet_length("bits") / 8).cast("long").alias("volume")), "open-keys")
 
     def compare(tile: pa.Table) -> pa.Table:
         tile, cells = cells_of(tile)
@@ -371,18 +371,18 @@ def candidate_groups(keyed: DataFrame, join: Join) -> DataFrame:
                 b.append(sig[low + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = stored(grouped_map(tiled(open_, join), "bin", compare, "a long, b long").distinct(), "bounded-pairs")
+    more = own.stored(grouped_map(tiled(open_, join), "bin", compare, "a long, b long").distinct(), "bounded-pairs")
     if not more.limit(1).count():
         return first
-    return components(first.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+    return components(first.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).union(more), own)
 
 
-def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, clashes: DataFrame | None, join: Join) -> DataFrame:
+def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, clashes: DataFrame | None, join: Join, own: Folders) -> DataFrame:
     """a, b: names of similar sets, enough to join every component."""
-    mark = len(written(rows.sparkSession))
-    groups = candidate_groups(keyed, join)
-    members = stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", F.col("n_shingles").alias("volume"), "class_id"), "candidates")
-    forget(rows.sparkSession, mark, keep=1)
+    part = own.part()
+    groups = candidate_groups(keyed, join, part)
+    members = own.stored(groups.join(classes, groups["node"] == classes["sig"]).select("sig", "root", F.col("n_shingles").alias("volume"), "class_id"), "candidates")
+    part.forget(keep=0)
     tiles = tiled(members.drop("class_id"), join)
 
     wanted = _short(members.select(F.col("class_id").alias("wanted")).distinct())
@@ -416,21 +416,21 @@ def links(rows: DataFrame, keyed: DataFrame, classes: DataFrame, clashes: DataFr
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id, sig, tie per row of docs."""
     rows = ids_and_text(docs, id_col, text_col).withColumn("tie", text_tie(F.col("text")))
-    mark = len(written(rows.sparkSession))
-    keyed = keyed_sets(rows, join)
-    own, clashes = [F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("check").alias("least"), F.max("check").alias("most")], None
-    classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*own), "classes")
+    own = Folders(rows.sparkSession)
+    keyed = keyed_sets(rows, join, own)
+    facts, clashes = [F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("check").alias("least"), F.max("check").alias("most")], None
+    classes = own.stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*facts), "classes")
     if classes.where("least <> most").limit(1).count():
-        clashes = _short(stored(classes.where("least <> most").select("sig"), "name-clashes"))
-        keyed = stored(told_apart(keyed, clashes), "keyed-sets")
-        classes = stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*own), "classes")
-    roots = components(links(rows, keyed, classes, clashes, join))
+        clashes = _short(own.stored(classes.where("least <> most").select("sig"), "name-clashes"))
+        keyed = own.stored(told_apart(keyed, clashes), "keyed-sets")
+        classes = own.stored(keyed.where("n_shingles > 0").groupBy("sig").agg(*facts), "classes")
+    roots = components(links(rows, keyed, classes, clashes, join, own), own)
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"), "class_id", "copies", F.col("root").isNotNull().alias("linked"))
     smallest = rooted.groupBy("root").agg(F.min("class_id").alias("component"))
     # Sets without a copy or link, and empty ones, need no name.
-    named = stored(rooted.where("linked or copies > 1").join(smallest, "root").select(F.col("sig").alias("named"), "component"), "components")
-    keyed = stored(keyed.drop("keys", "bits"), "named-sets")
-    forget(rows.sparkSession, mark, keep=2)
+    named = own.stored(rooted.where("linked or copies > 1").join(smallest, "root").select(F.col("sig").alias("named"), "component"), "components")
+    keyed = own.stored(keyed.drop("keys", "bits"), "named-sets")
+    own.forget(keep=2)
     some, none = keyed.where("n_shingles > 0"), keyed.where("n_shingles = 0")
     told = some.join(_short(named), some["sig"] == F.col("named"), "left")
     columns = ["doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "sig", "tie"]

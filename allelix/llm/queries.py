@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_tiles, language_id, line_chunks, pii_crf, rule_ensemble, segment_samples, token_files, warc_index
+from . import ball_clusters, decontaminate, jaccard_tiles, language_id, line_chunks, pii_crf, ppm_scores, rule_ensemble, segment_samples, token_files, warc_index, whitening
 from . import quality_rules as rules
 from .common import crc_part, table
 
@@ -67,4 +67,17 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op5_segment_samples, op6_line_chunks, op6_line_passages, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index)}
+def op11_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return ppm_scores.scores(table(spark, sf_dir, "documents"), part != 1, F.coalesce(part == 1, F.lit(False)))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_crf, op2_quality_rules, op3_rule_ensemble, op4_language_id, op5_segment_samples, op6_line_chunks, op6_line_passages, op7_jaccard_tiles, op8_decontaminate, op9_token_files, op10_warc_index, op11_ppm_scores, op12_whitening, op13_ball_clusters)}

@@ -54,4 +54,37 @@ SELECT page_id, size::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
 FROM kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_line_chunks": OP6, "op7_jaccard_tiles": OP7, "op10_warc_index": OP10}
+
+
+def _op13(k: int = 16, rounds: int = 3, components: int = 64) -> str:
+    apart = f"list_sum(list_transform(range(1, {components + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT"
+    parts = [f"""kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: isfinite(x))) = {components}
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM kept QUALIFY c < {k}
+)"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+  SELECT v.row, min((d, v.c)) AS best FROM (SELECT v.row, c.c, {apart} AS d FROM kept v CROSS JOIN c{r} c) v GROUP BY v.row
+)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best[2] AS c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r} JOIN kept USING (row)) GROUP BY c, i
+), c{r + 1} AS (
+  SELECT c.c, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{r} GROUP BY c) m USING (c)
+)""")
+    last = rounds
+    return f"""
+WITH {", ".join(parts)}, done AS (
+  SELECT vec_id, best[2] AS c, best[1] AS distance FROM a{last} JOIN kept USING (row)
+)
+SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM done JOIN c{last} USING (c)
+"""
+
+
+OP13 = _op13()
+
+ORACLE_SQL: dict[str, str] = {"op6_line_chunks": OP6, "op7_jaccard_tiles": OP7, "op10_warc_index": OP10, "op13_ball_clusters": OP13}
