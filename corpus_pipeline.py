@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from allelix.llm import decontaminate, jaccard_tiles, line_chunks, quality_rules, segment_samples
-from allelix.llm.common import new_dir, table
+from allelix.llm.common import Folders, table
 from allelix.llm.queries import tokenizer_path
 
 
@@ -53,9 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = new_dir(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, own = table(spark, sf_dir, "documents"), Folders(spark)
+    for name, stage in STAGES:
+        docs = own.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        own.forget(keep=1)  # the stage before has been read
     return docs
