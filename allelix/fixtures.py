@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.states import normal_sequence, to_state
@@ -50,6 +50,15 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(last, ["sample_id", "locus"], "left").select("sample_id", "locus", F.coalesce("kind", F.lit(4)).alias("state"))
 
 
+def line_key() -> Column:
+    """A hash of a line item's unique columns."""
+    return F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def line_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(line_key().alias("sample_id"), F.col("l_quantity").alias("weight"))
+
+
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five loci of each line item; its weight is the quantity. Ids are hashes of the row's unique columns."""
     r = table(spark, sf_dir, "lineitem")
@@ -58,5 +67,4 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.least(F.floor((F.col("l_quantity") - 1) / 12.5), F.lit(3)).cast("int")
     bucket = lambda c: (F.round(F.col(c) * 100).cast("int") % 5).cast("int")
     states = F.array(flag, status, quantity, bucket("l_discount"), bucket("l_tax"))
-    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return r.select(key.alias("sample_id"), F.col("l_quantity").alias("weight"), F.posexplode(states).alias("locus", "state"))
+    return r.select(line_key().alias("sample_id"), F.col("l_quantity").alias("weight"), F.posexplode(states).alias("locus", "state"))

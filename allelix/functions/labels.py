@@ -1,9 +1,8 @@
-"""Labels made on the driver: sizes, times, free file names, threshold rules."""
+"""Labels made on the driver: sizes, times, threshold rules."""
 
 from __future__ import annotations
 
 import operator
-import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -27,15 +26,6 @@ def time_string(ns: float) -> str:
     return f"{ns:.4g}s" if ns < 60 else f"{int(ns // 60)}m{ns % 60:.0f}s"
 
 
-def free_path(path: str) -> str:
-    """path, or path.1, path.2, ... whichever is the first that does not exist. For local paths of the driver."""
-    k, found = 0, path
-    while os.path.exists(found):
-        k += 1
-        found = f"{path}.{k}"
-    return found
-
-
 @dataclass(frozen=True)
 class Threshold:
     """A comparison with a number, read from text such as ``>1`` or ``<=0.5``."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import BLOCK
+from . import intervals
 
 
 def words(sequences: DataFrame) -> DataFrame:
@@ -47,3 +48,15 @@ def statistics(strips: DataFrame) -> DataFrame:
     middle = F.floor(F.col("size") / 2) - F.when(F.col("size") % 2 == 1, 1).otherwise(0)
     found = ranked.agg(F.sum("n").alias("words"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.when(F.col("place") == F.greatest(middle, F.lit(0)), F.col("n"))).alias("median"), F.count("*").alias("strips"), F.sum("rows").alias("all_words"))
     return found.select("words", "least", F.floor(F.col("words") / F.col("strips")).alias("mean"), "median", "most", "strips", (F.col("words") * BLOCK).alias("bytes"), (F.col("words") / F.col("all_words")).alias("ratio"))
+
+
+def compression(strips: DataFrame) -> DataFrame:
+    """One row: states, bytes of the distinct words (a byte a state), bytes of the sets of their carriers in hybrid pieces (eight each),
+    uncompressed over compressed bytes, and bits for each state.
+    """
+    sets = strips.select(F.concat_ws(":", "block", "word").alias("set_id"), F.col("sample_id").alias("first"), F.col("sample_id").alias("last"))
+    index = intervals.hybrid_pieces(intervals.fused(sets)).agg((F.count("*") * 8).alias("index_bytes"))
+    words_ = strips.select("block", "word").distinct().agg((F.count("*") * BLOCK).alias("word_bytes"))
+    found = strips.agg(F.coalesce(F.sum(F.length("word").cast("long")), F.lit(0)).alias("states")).crossJoin(F.broadcast(words_)).crossJoin(F.broadcast(index))
+    size = F.col("word_bytes") + F.col("index_bytes")
+    return found.select("states", "word_bytes", "index_bytes", F.try_divide("states", size).alias("ratio"), F.try_divide(size * 8, "states").alias("bits_per_state"))

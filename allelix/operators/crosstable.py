@@ -7,30 +7,56 @@ from pyspark.sql import functions as F
 
 from ..model import N_STATES
 
+#: Samples of a word, and loci of a block of a tile.
+WORD, BLOCK_LOCI = 64, 512
 
-def rows_of(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """sample_id, weight, states (array of locus and state): one row a sample, so pairs of loci need no join on the sample."""
-    states = cells.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("locus", "state"))).alias("states"))
-    return states.join(weights.select("sample_id", "weight"), "sample_id")
 
+def bitmaps(cells: DataFrame, weights: DataFrame) -> DataFrame:
+    """part, word, weight, locus, s0 to s4: for 64 samples of one weight and a locus, which of them are in each state.
 
-def crosstable(cells: DataFrame, weights: DataFrame, first: Column | None = None, second: Column | None = None, init: float = 0.0, dense: bool = True) -> DataFrame:
+    The samples of a weight are dealt into parts by a hash of their ids, and numbered inside them, so a weight that many samples
+    share is cut, and the numbers are the same whenever they are computed again.
+    """
+    states = cells.groupBy("sample_id").agg(F.collect_list(F.struct("locus", "state")).alias("states"))
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = states.join(weights.select("sample_id", "weight"), "sample_id").withColumn("part", F.pmod(F.xxhash64("sample_id"), F.lit(n)))
+    place = F.row_number().over(Window.partitionBy("part", "weight").orderBy("sample_id")) - 1
+    each = rows.withColumn("place", place).select("part", F.floor(F.col("place") / WORD).alias("word"), F.expr(f"shiftleft(1L, place % {WORD})").alias("bit"), "weight", F.inline("states"))
+    return each.groupBy("part", "word", "weight", "locus").agg(*[F.bit_or(F.when(F.col("state") == s, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{s}") for s in range(N_STATES)])
+
+
+def crosstable(cells: DataFrame, weights: DataFrame, first: Column | None = None, second: Column | None = None, init: float = 0.0, dense: bool = True, n_loci: int | None = None) -> DataFrame:
     """locus_i, locus_j, state_i, state_j, weight for pairs of loci (i < j, or as the conditions on locus_i and locus_j say).
 
-    Pairs are made within a sample's own row and summed before the shuffle, so what is shuffled is at most 25 rows for
-    each pair of loci and task, whatever the number of samples. dense: all 25 combinations of a pair, with init added.
+    A pair's cell is the number of bits that the bitmaps of its two states share, in each word, times the word's weight. Bitmaps
+    of a word meet in tiles of blocks of loci, an equi-join, so a pair takes a row for 64 samples, conditions on one locus are
+    applied below the join, and what is shuffled after it is a row for each pair of loci and task. Samples that all have
+    different weights fill no words: then a row is made for each sample and pair, no more.
+    dense: all 25 combinations of a pair that some sample has, with init added. n_loci: their number, else it is looked up.
     """
-    pairs = F.flatten(F.transform("states", lambda a: F.transform(F.filter("states", lambda b: b["locus"] > a["locus"]), lambda b: F.struct(a["locus"].alias("locus_i"), b["locus"].alias("locus_j"), a["state"].alias("state_i"), b["state"].alias("state_j")))))
-    wanted = [c for c in (first, second) if c is not None]
-    each = rows_of(cells, weights).select(F.inline(pairs), "weight")
-    for condition in wanted:
-        each = each.where(condition)
-    if not dense:
-        return each.groupBy("locus_i", "locus_j", "state_i", "state_j").agg(F.sum("weight").alias("weight")).withColumn("weight", F.col("weight") + init)
-    sums = [F.sum(F.when((F.col("state_i") == a) & (F.col("state_j") == b), F.col("weight")).otherwise(0.0)).alias(f"c{a}_{b}") for a in range(N_STATES) for b in range(N_STATES)]
-    wide = each.groupBy("locus_i", "locus_j").agg(*sums)
-    cells25 = F.array(*[F.struct(F.lit(a).alias("state_i"), F.lit(b).alias("state_j"), (F.col(f"c{a}_{b}") + init).alias("weight")) for a in range(N_STATES) for b in range(N_STATES)])
-    return wide.select("locus_i", "locus_j", F.inline(cells25))
+    loci = n_loci or (cells.agg(F.max("locus")).first()[0] or 0) + 1
+    blocks = -(-loci // BLOCK_LOCI)
+    block = F.floor(F.col("locus") / BLOCK_LOCI).cast("int")
+    rows = bitmaps(cells, weights)
+    tile = lambda k: F.explode(F.sequence(block, F.lit(blocks - 1)) if k == "i" else F.sequence(F.lit(0), block)).alias("far")
+    side = lambda k: rows.select("part", "word", "weight", F.col("locus").alias(f"locus_{k}"), *[F.col(f"s{s}").alias(f"{k}{s}") for s in range(N_STATES)], block.alias(f"block_{k}"), tile(k))
+    a, b = side("i"), side("j")
+    if blocks > 1:  # the left row goes to the blocks from its own on, the right one to those up to its own
+        a, b = a.withColumnRenamed("far", "to_block").withColumn("from_block", F.col("block_i")), b.withColumnRenamed("far", "from_block").withColumn("to_block", F.col("block_j"))
+        met = a.join(b, ["part", "word", "weight", "from_block", "to_block"])
+    else:
+        met = a.drop("far").join(b.drop("far"), ["part", "word", "weight"])
+    met = met.where("locus_i < locus_j")
+    for condition in (first, second):
+        if condition is not None:
+            met = met.where(condition)
+    states = [(x, y) for x in range(N_STATES) for y in range(N_STATES)]
+    shared = {(x, y): F.bit_count(F.col(f"i{x}").bitwiseAND(F.col(f"j{y}"))) for x, y in states}
+    sums = [F.sum(F.col("weight") * shared[c]).alias(f"w{c[0]}_{c[1]}") for c in states] + [F.sum(shared[c]).alias(f"n{c[0]}_{c[1]}") for c in states]
+    wide = met.groupBy("locus_i", "locus_j").agg(*sums)
+    each = F.array(*[F.struct(F.lit(x).alias("state_i"), F.lit(y).alias("state_j"), (F.col(f"w{x}_{y}") + init).alias("weight"), F.col(f"n{x}_{y}").alias("n")) for x, y in states])
+    found = wide.where(" + ".join(f"n{x}_{y}" for x, y in states) + " > 0").select("locus_i", "locus_j", F.inline(each))
+    return (found if dense else found.where("n > 0")).drop("n")
 
 
 def overlap_weights(left: DataFrame, right: DataFrame, weights: DataFrame) -> DataFrame:

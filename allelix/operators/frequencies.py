@@ -24,9 +24,9 @@ def counts(cells: DataFrame) -> DataFrame:
     return _by_state(cells, F.lit(1).cast("long"), "n")
 
 
-def frequencies(cells: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """Counts over the number of samples, those without a cell included; 0 where there is none. Without samples: of those with cells."""
-    n = cells.agg(F.count_distinct("sample_id").alias("samples")) if samples is None else samples.agg(F.count("*").alias("samples"))
+def frequencies(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """Counts over the number of samples, those without a cell included; 0 where there is none."""
+    n = samples.agg(F.count("*").alias("samples"))
     return counts(cells).crossJoin(F.broadcast(n)).select("locus", "state", "n", F.when(F.col("samples") > 0, F.col("n") / F.col("samples")).otherwise(0.0).alias("freq"))
 
 

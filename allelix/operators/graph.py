@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import circular_distance, linear_distance
+from .select import numbered
 
 
 def build(pairs: DataFrame, i: str = "i", j: str = "j", weight: str = "weight", flag: Column | None = None) -> DataFrame:
@@ -34,6 +35,17 @@ def nodes(edges: DataFrame, condition: Callable[[DataFrame], Column] | None = No
     return rows.select(F.explode(F.array("i", "j")).alias("locus")).distinct()
 
 
+def ordered_nodes(edges: DataFrame, condition: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """ord, locus: nodes() in ascending order, numbered."""
+    return numbered(nodes(edges, condition))
+
+
+def found(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The edges between the pairs of nodes (a, b) that are wanted, whichever of the two comes first; each edge once."""
+    pairs = wanted.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    return edges.join(pairs, ["i", "j"], "left_semi").select("i", "j", "weight", "flag")
+
+
 def output(edges: DataFrame, translation: DataFrame, size: int, base: int = 1, linear: bool = False) -> DataFrame:
     """pos1, pos2, distance, flag, weight: end points in original coordinates, and how far apart they are."""
     a = translation.select(F.col("ord").alias("i"), F.col("locus").alias("p"))

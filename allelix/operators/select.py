@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import Threshold
 from ..model import GAP
 from . import frequencies as freq
+from . import running
 
 
 def subset(cells: DataFrame, loci: DataFrame) -> DataFrame:
@@ -25,6 +26,11 @@ def exclude(cells: DataFrame, loci: DataFrame) -> DataFrame:
     return cells.join(loci.select("locus"), "locus", "left_anti").select("sample_id", "locus", "state")
 
 
+def between(cells: DataFrame, begin: int, end: int | None = None) -> DataFrame:
+    """The loci from begin on, up to and with end."""
+    return cells.where((F.col("locus") >= begin) & (F.lit(True) if end is None else F.col("locus") <= end))
+
+
 def subsample(cells: DataFrame, samples: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cells and samples of the chosen (ord, sample_id), renumbered by the list; weights start again at 1."""
     rows = cells.join(chosen, "sample_id").select(F.col("ord").alias("sample_id"), "locus", "state")
@@ -33,16 +39,19 @@ def subsample(cells: DataFrame, samples: DataFrame, chosen: DataFrame) -> tuple[
 
 
 def keep_samples(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The cells of the chosen samples under their own ids."""
     return cells.join(chosen.select("sample_id"), "sample_id", "left_semi").select("sample_id", "locus", "state")
 
 
-def snp_filter(cells: DataFrame, maf: float = 0.01, gap: float = 0.15, rule: Threshold | Callable[[Column], Column] = Threshold(">1"), samples: DataFrame | None = None) -> DataFrame:
+def snp_filter(cells: DataFrame, samples: DataFrame, maf: float = 0.01, gap: float = 0.15, rule: Threshold | Callable[[Column], Column] = Threshold(">1"), maf_strict: bool = False) -> DataFrame:
     """Loci where the number of states other than the gap with a frequency of at least maf meets the rule, and the gap's is at most gap.
 
-    Frequencies are over samples, those without a cell included.
+    Frequencies are over samples, those without a cell included. With a maf of 0 every state meets it, absent ones too, so that all
+    loci pass; maf_strict: a state must occur.
     """
     f = freq.frequencies(cells, samples)
-    per = f.groupBy("locus").agg(F.count_if((F.col("state") != GAP) & (F.col("freq") >= maf)).alias("significant"), F.max(F.when(F.col("state") == GAP, F.col("freq"))).alias("gaps"))
+    common = (F.col("freq") >= maf) & (F.col("n") > 0) if maf_strict else F.col("freq") >= maf
+    per = f.groupBy("locus").agg(F.count_if((F.col("state") != GAP) & common).alias("significant"), F.max(F.when(F.col("state") == GAP, F.col("freq"))).alias("gaps"))
     return per.where(rule(F.col("significant")) & (F.col("gaps") <= gap)).select("locus")
 
 
@@ -59,12 +68,9 @@ def entropy_filter_name(threshold: float) -> str:
 
 
 def numbered(loci: DataFrame) -> DataFrame:
-    """ord, locus in ascending order of locus. Sorted by ranges, with a count for each range: no task holds the whole list."""
-    part = loci.select("locus").repartitionByRange("locus").withColumn("part", F.spark_partition_id())
-    part = part.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("locus")))
-    sizes = part.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return part.join(F.broadcast(before), "part").select((F.col("before") + F.col("rank") - 1).alias("ord"), F.col("locus").cast("long").alias("locus"))
+    """ord, locus in ascending order of the distinct loci given."""
+    rows = running.running_chunks(loci.select(F.col("locus").cast("long").alias("locus")), "locus", {"n": F.lit(1)})
+    return rows.select((F.col("n") - 1).alias("ord"), "locus")
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:

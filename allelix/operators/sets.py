@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import fused
+
 
 def intersection(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_intersect(a, b))
@@ -34,17 +36,26 @@ def gather(sets: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def ranges(sets: DataFrame) -> DataFrame:
-    """set_id, first, last: runs of consecutive members."""
-    place = F.row_number().over(Window.partitionBy("set_id").orderBy("member"))
-    runs = sets.distinct().withColumn("run", F.col("member") - place)
-    return runs.groupBy("set_id", "run").agg(F.min("member").alias("first"), F.max("member").alias("last")).drop("run")
+    """set_id, first, last: runs of consecutive members. A set may hold any share of all members."""
+    return fused(sets.select("set_id", F.col("member").alias("first"), F.col("member").alias("last")))
 
 
 def range_text(sets: DataFrame) -> DataFrame:
     """set_id, text: the runs in hexadecimal, ``a-b`` or ``c``, separated by commas."""
+    return text_of(ranges(sets))
+
+
+def text_of(ranges: DataFrame) -> DataFrame:
+    """range_text() from intervals in normal form."""
     shown = F.lower(F.when(F.col("first") == F.col("last"), F.hex("first")).otherwise(F.concat(F.hex("first"), F.lit("-"), F.hex("last"))))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", shown.alias("t")))), lambda x: x["t"]), ",")
-    return ranges(sets).groupBy("set_id").agg(joined.alias("text"))
+    return ranges.groupBy("set_id").agg(joined.alias("text"))
+
+
+def members_of_text(text: Column) -> Column:
+    """The members of a range_text(), as an array in the order of the text."""
+    number = lambda t: F.conv(t, 16, 10).cast("long")
+    return F.flatten(F.transform(F.filter(F.split(text, ","), lambda t: t != ""), lambda t: F.sequence(number(F.split_part(t, F.lit("-"), F.lit(1))), number(F.split_part(t, F.lit("-"), F.lit(-1))))))
 
 
 def run_lengths(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .functions import masks
 from .functions import states as st
 from .functions import vectors as vec
-from .model import samples_of
-from .operators import blocks, crosstable, frequencies, graph, histogram, pairs, select, sets
-from .sinks import text
+from .model import Alignment, samples_of
+from .operators import blocks, crosstable, frequencies, graph, histogram, intervals, pairs, running, select, sets
+from .plans import preprocess
+from .sinks import block_text, text
 from .sources import lists, sequences
+from .streaming import records
 
 EMB_LOCI = 64
 
@@ -28,7 +31,7 @@ def _loci(spark: SparkSession, values: list[int]) -> DataFrame:
 
 
 #: Lists of loci that the selection queries use.
-LEFT, RIGHT = [5, 3, 9, 3, 20, 63, 0], [3, 0, 41]
+LEFT = [5, 3, 9, 3, 20, 63, 0]
 
 
 def state_counts(s, d):
@@ -77,11 +80,11 @@ def state_distribution(s, d):
 
 
 def snp_filter(s, d):
-    return select.snp_filter(fx.embedding_cells(s, d))
+    return select.snp_filter(fx.embedding_cells(s, d), fx.embedding_samples(s, d))
 
 
 def snp_filter_loose(s, d):
-    return select.snp_filter(fx.document_cells(s, d), 0.05, 1.0, samples=fx.document_sequences(s, d))
+    return select.snp_filter(fx.document_cells(s, d), fx.document_sequences(s, d), 0.05, 1.0)
 
 
 def subset_columns(s, d):
@@ -97,15 +100,17 @@ def exclude_loci(s, d):
 
 
 def combine_loci(s, d):
-    return select.combine(select.numbered(select.snp_filter(fx.embedding_cells(s, d))), _loci(s, LEFT))
+    return select.combine(select.numbered(select.snp_filter(fx.embedding_cells(s, d), fx.embedding_samples(s, d))), _loci(s, LEFT))
 
 
 def loci_difference(s, d):
-    return select.difference(_loci(s, LEFT), _loci(s, RIGHT))
+    """The customers of the orders, as a list with repeats, less those of five nations."""
+    orders = running.numbered(fx.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("locus")), ["o_orderkey"])
+    return select.difference(orders, fx.table(s, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("locus")))
 
 
 def numbered_loci(s, d):
-    return select.numbered(select.snp_filter(fx.document_cells(s, d), 0.05, 1.0, samples=fx.document_sequences(s, d)))
+    return select.numbered(select.snp_filter(fx.document_cells(s, d), fx.document_sequences(s, d), 0.05, 1.0))
 
 
 def subsample_rows(s, d):
@@ -166,22 +171,21 @@ def fuse_duplicates(s, d):
 
 
 def crosstable_pair(s, d):
-    cells = fx.line_cells(s, d)
-    weights = cells.select("sample_id", "weight").distinct()
-    return _round(crosstable.crosstable(cells, weights, F.col("locus_i") == 0, F.col("locus_j") == 1), "weight")
+    return _round(crosstable.crosstable(fx.line_cells(s, d), fx.line_weights(s, d), F.col("locus_i") == 0, F.col("locus_j") == 1, n_loci=5), "weight")
 
 
 def crosstable_tile(s, d):
-    return _round(crosstable.crosstable(fx.line_cells(s, d), fx.line_cells(s, d).select("sample_id", F.lit(1.0).alias("weight")).distinct(), dense=False), "weight")
+    ones = fx.line_weights(s, d).withColumn("weight", F.lit(1.0))
+    return _round(crosstable.crosstable(fx.line_cells(s, d), ones, dense=False, n_loci=5), "weight")
 
 
 def crosstable_pseudocount(s, d):
-    return _round(crosstable.crosstable(fx.embedding_cells(s, d), fx.embedding_samples(s, d), init=0.5), "weight")
+    return _round(crosstable.crosstable(fx.embedding_cells(s, d), fx.embedding_samples(s, d), init=0.5, n_loci=EMB_LOCI), "weight")
 
 
 def block_intersection_weights(s, d):
-    words = blocks.words(blocks.sequences_of(fx.event_cells(s, d).where("locus < 6")))
-    later = blocks.words(blocks.sequences_of(fx.event_cells(s, d).where("locus >= 24")))
+    words = blocks.words(blocks.sequences_of(fx.event_cells(s, d).where("locus < 15")))
+    later = blocks.words(blocks.sequences_of(fx.event_cells(s, d).where("locus >= 15")))
     ids = fx.event_cells(s, d).select("sample_id", (F.lit(1.0) + F.col("sample_id") % 3).alias("weight")).distinct()
     left, right = (w.select(F.col("word").alias("set_id"), "sample_id") for w in (words, later))
     return _round(crosstable.overlap_weights(left, right, ids), "weight")
@@ -205,7 +209,7 @@ def block_statistics(s, d):
 
 
 def freq_histogram(s, d):
-    return _round(histogram.histogram(frequencies.frequencies(fx.embedding_cells(s, d)), "freq", 0.01), "mean", "variance")
+    return _round(histogram.histogram(frequencies.frequencies(fx.embedding_cells(s, d), fx.embedding_samples(s, d)), "freq", 0.01), "mean", "variance")
 
 
 def hist_moments(s, d):
@@ -281,7 +285,7 @@ def rle_decode(s, d):
 
 def _edges(s, d):
     e = fx.table(s, d, "lineitem")
-    met = e.groupBy((F.col("l_suppkey") % 97).alias("a"), (F.col("l_partkey") % 97).alias("b")).agg(F.round(F.sum("l_quantity"), 2).alias("weight"))
+    met = e.groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.round(F.sum("l_quantity"), 2).alias("weight"))
     return graph.build(met, "a", "b", flag=F.col("weight") > 40)
 
 
@@ -302,16 +306,19 @@ def graph_union(s, d):
     return graph.joined(e.where("flag"), e.where("weight > 30")).groupBy("i", "j").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 2).alias("weight"))
 
 
-def _translation(s):
-    return s.range(97).select(F.col("id").alias("ord"), (F.col("id") * 3 + 2).alias("locus"))
+def _placed_edges(s, d):
+    """The edges, their nodes' places, and the size of a genome that has room for them."""
+    edges = _edges(s, d)
+    places = graph.nodes(edges).select(F.col("locus").alias("ord"), (F.col("locus") * 3 + 2).alias("locus"))
+    return edges, places, places.agg(F.max("locus") + 1).first()[0]
 
 
 def graph_output(s, d):
-    return graph.output(_edges(s, d), _translation(s), 300)
+    return graph.output(*_placed_edges(s, d))
 
 
 def genome_distance(s, d):
-    return graph.output(_edges(s, d), _translation(s), 300, base=0, linear=True).select("pos1", "pos2", "distance")
+    return graph.output(*_placed_edges(s, d), base=0, linear=True).select("pos1", "pos2", "distance")
 
 
 def distance_linear(s, d):
@@ -412,30 +419,126 @@ def fasta_roundtrip(s, d):
 
 
 def loci_list_roundtrip(s, d):
-    path = _folder(s, "loci")
-    loci = select.numbered(select.snp_filter(fx.embedding_cells(s, d)))
-    loci.orderBy("ord").select(F.concat(F.col("locus") + 1, F.lit("-"), F.col("locus") + 2)).coalesce(1).write.text(path)
+    loci = select.numbered(select.snp_filter(fx.embedding_cells(s, d), fx.embedding_samples(s, d)))
+    path = text.write_lines(loci.select("ord", F.concat(F.col("locus") + 1, F.lit("-"), F.col("locus") + 2).alias("line")), _folder(s, "loci"), "ord")
     return lists.read_loci(s, path, base=1)
 
 
 def value_list_roundtrip(s, d):
-    path = _folder(s, "values")
-    weights = sample_weights(s, d)
-    weights.orderBy("sample_id").select(F.format_string("%.8e", "weight").alias("line")).coalesce(1).write.text(path)
+    path = text.write_lines(text.weight_lines(sample_weights(s, d)), _folder(s, "values"), "sample_id")
     return _round(lists.read_values(s, path), "value")
 
 
-#: Text lists of loci, a case a line.
-LISTS = ["1 3-5\n9 7 3\n6-2", "4-4 2\t8-10", "3 x 5", "", "  12  "]
+def _spans(s, d, *flags):
+    """A supplier's spans of order keys: one for each line item with the flag, as long as its quantity. They overlap and lie in each other."""
+    rows = fx.table(s, d, "lineitem").where(F.col("l_returnflag").isin(*flags))
+    return rows.select(F.col("l_suppkey").alias("set_id"), F.col("l_orderkey").alias("first"), (F.col("l_orderkey") + F.col("l_quantity").cast("long") - 3).alias("last"))
+
+
+def interval_fusion(s, d):
+    return intervals.fused(_spans(s, d, "A"), _spans(s, d, "R"))
+
+
+def interval_intersection(s, d):
+    return intervals.intersection(_spans(s, d, "A"), _spans(s, d, "N", "R"))
+
+
+def interval_difference(s, d):
+    return intervals.difference(_spans(s, d, "A"), _spans(s, d, "N", "R"))
+
+
+def hybrid_text(s, d):
+    return intervals.hybrid_text(intervals.fused(_spans(s, d, "A", "R")))
+
+
+def hybrid_roundtrip(s, d):
+    path = _folder(s, "sets")
+    hybrid_text(s, d).write.parquet(path)
+    return intervals.from_hybrid_text(s.read.schema("set_id long, text string").parquet(path))
+
+
+def zipped_rows(s, d):
+    """The k-th customer by balance beside the k-th by name."""
+    c = fx.table(s, d, "customer")
+    left, right = c.select("c_acctbal", F.col("c_custkey").alias("rich")), c.select("c_name", F.col("c_custkey").alias("named"))
+    return running.zipped(left, ["c_acctbal", "rich"], right, ["c_name", "named"]).select("ord", "rich", "named")
+
+
+def equality_mask(s, d):
+    """Users beside the next user: the days on which their states agree, as a mask, with a count, a rank and two selections."""
+    pack = pairs.packed(fx.event_cells(s, d), 30)
+    met = pack.alias("a").join(pack.alias("b"), F.col("a.sample_id") == F.col("b.sample_id") + 1)
+    rows = met.select(F.col("a.sample_id").alias("i"), F.col("b.sample_id").alias("j"), pairs.equality_mask(pack).alias("mask"))
+    return rows.select("i", "j", F.get("mask", F.lit(0)).alias("bits"), masks.count(F.col("mask")).cast("int").alias("same"), masks.rank(F.col("mask"), F.lit(15)).alias("early"), masks.select(F.col("mask"), F.lit(0)).alias("first"), masks.select(F.col("mask"), F.lit(4)).alias("fifth"))
+
+
+def block_text_roundtrip(s, d):
+    """Users' days written as block text and read again."""
+    cells = fx.event_cells(s, d)
+    path = text.write_lines(block_text.lines(Alignment(cells, samples_of(cells), "days <1 & 2>")), _folder(s, "blocks"), "part", "block", "first")
+    back = block_text.read(s, path)
+    named = blocks.sequences_of(back.cells, st.to_symbol(F.col("state"))).join(back.samples, "sample_id")
+    return named.select(F.col("name").cast("long").alias("sample_id"), F.lit(back.name).alias("alignment"), "multiplicity", "weight", "sequence")
+
+
+def compression_statistics(s, d):
+    return _round(blocks.compression(blocks.words(blocks.sequences_of(fx.event_cells(s, d)))), "ratio", "bits_per_state")
+
+
+def fasta_stream(s, d):
+    """Documents as FASTA text, eight to a stream, in chunks of 1,000 characters that come in several micro-batches, read by the stateful assembler."""
+    docs = fx.document_sequences(s, d).select(F.floor(F.col("sample_id") / 8).alias("stream"), F.struct("sample_id", F.concat(F.lit(">"), "sample_id", F.lit("\n"), "sequence", F.lit("\n")).alias("t")).alias("r"))
+    whole = docs.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "").alias("t"))
+    last = F.floor((F.length("t") - 1) / 1000)
+    cut = whole.select("stream", "t", last.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seq"))
+    chunks = cut.select(F.col("stream").cast("string").alias("stream"), "seq", F.substring(F.col("t"), (F.col("seq") * 1000 + 1).cast("int"), F.lit(1000)).alias("chunk"), (F.col("seq") == F.col("n")).alias("last"))
+    path = _folder(s, "chunks")
+    # Four files that each have every fourth chunk of a stream: three of four chunks wait for others.
+    chunks.repartition(4, F.pmod("seq", F.lit(4))).write.parquet(f"{path}/in")
+    stream = s.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    query = records.assembled(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out")
+    query.awaitTermination()
+    back = records.records_of(s.read.schema(records.PIECES).parquet(f"{path}/out"))
+    return back.select(F.col("name").cast("long").alias("sample_id"), F.length("body").alias("n_loci"), F.md5("body").alias("digest"))
+
+
+def prepared_alignment(s, d):
+    """The whole plan on users' days as FASTA: some loci excluded, filtered at a high frequency over all users, then every third user chosen."""
+    cells, path = fx.event_cells(s, d), _folder(s, "plan")
+    text.write_lines(text.fasta(cells, samples_of(cells)), f"{path}/days.fasta", "sample_id")
+    users = running.numbered(cells.select("sample_id").distinct(), ["sample_id"])
+    text.write_lines(users.where("ord % 3 = 0").select("ord", (F.col("ord") + 1).cast("string").alias("line")), f"{path}/samples", "ord")
+    text.write_lines(cells.where("locus % 7 = 2").select("locus", (F.col("locus") + 1).cast("string").alias("line")).distinct(), f"{path}/without", "locus")
+    o = preprocess.Options(exclude_list=f"{path}/without", sample_list=f"{path}/samples", maf=0.16, gap=0.6)
+    found = preprocess.prepare(s, f"{path}/days.fasta", o)
+    named = found.cells.join(found.samples.select("sample_id", "name"), "sample_id").join(found.translation.select(F.col("ord").alias("locus"), F.col("locus").alias("position")), "locus")
+    return named.select("sample_id", F.col("name").cast("long").alias("user_id"), "locus", "position", "state")
+
+
+def keep_samples(s, d):
+    chosen = fx.table(s, d, "embeddings").where("label = 1").select(F.col("vec_id").alias("sample_id"))
+    return select.keep_samples(fx.embedding_cells(s, d), chosen)
+
+
+def graph_found(s, d):
+    wanted = fx.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return graph.found(_edges(s, d), wanted)
+
+
+def graph_ordered_nodes(s, d):
+    return graph.ordered_nodes(_edges(s, d), lambda e: e["weight"] > 45)
+
+
+def edge_lines(s, d):
+    return text.edge_lines(_edges(s, d))
 
 
 def loci_texts(s, d):
-    texts = s.createDataFrame([(k, v) for k, v in enumerate(LISTS)], "list int, value string")
-    out = [lists.loci_of(texts.where(F.col("list") == k), base=1).select(F.lit(k).alias("list"), "ord", "locus") for k in range(len(LISTS))]
-    rows = out[0]
-    for o in out[1:]:
-        rows = rows.unionAll(o)
-    return rows
+    """A list of each customer's orders as a text of single keys and spans, some with a bad item, read as loci."""
+    key = F.col("o_orderkey")
+    item = F.when(key % 40 == 0, "x").when(key % 3 == 0, key.cast("string")).otherwise(F.concat(key, F.lit("-"), key + key % 5 - 1))
+    texts = fx.table(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("t")))), lambda o: o["t"]), " ").alias("value"))
+    return lists.loci_of(texts, base=1, keep=("o_custkey",))
 
 
 QUERIES = {
@@ -450,6 +553,8 @@ QUERIES = {
         set_split, set_overlap, set_union_all, set_gather, range_encode, rle_encode, rle_decode, graph_build, graph_sort, graph_nodes,
         graph_union, graph_output, genome_distance, distance_linear, distance_circular, vector_arith, vector_distance, xlogx_family,
         mask_ops, integer_power, char_to_state, state_to_char, merged_states, block_helpers, phandango_pivot, distance_triangle_text,
-        fasta_lines, frequency_lines, fasta_roundtrip, loci_list_roundtrip, value_list_roundtrip, loci_texts,
+        fasta_lines, frequency_lines, fasta_roundtrip, loci_list_roundtrip, value_list_roundtrip, loci_texts, interval_fusion,
+        interval_intersection, interval_difference, hybrid_text, hybrid_roundtrip, zipped_rows, equality_mask, block_text_roundtrip,
+        compression_statistics, fasta_stream, prepared_alignment, keep_samples, graph_found, graph_ordered_nodes, edge_lines,
     )
 }

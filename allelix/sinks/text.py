@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.states import to_symbol
 from ..model import N_STATES
 from ..operators.blocks import sequences_of
+from .files import write_free
 
 
-def write_lines(lines: DataFrame, path: str, *place: str) -> None:
-    """One text file a range of places, in order over all files."""
-    lines.orderBy(*place).select("line").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, *place: str) -> str:
+    """One text file a range of places, in order over all files, in a folder of the first free name, which is returned."""
+    return write_free(lines.orderBy(*place).select("line"), path)
 
 
 def fasta(cells: DataFrame, samples: DataFrame) -> DataFrame:
@@ -59,14 +60,6 @@ def triangle(distances: DataFrame, samples: DataFrame) -> DataFrame:
     return named.select(F.col("sample_id").alias("place"), F.concat(head, F.coalesce("row", F.lit(""))).alias("line"))
 
 
-def block_format(strips: DataFrame, samples: DataFrame) -> DataFrame:
-    """part, block, line: the samples, then for each strip its words with the ids that carry them, in hexadecimal ranges."""
-    from ..operators.sets import range_text
-
-    head = samples.select(F.lit(0).alias("part"), F.col("sample_id").alias("block"), F.concat(F.lit('<instance id="'), "name", F.lit('" weight="'), F.col("weight").cast("string"), F.lit('"/>')).alias("line"))
-    number = F.dense_rank().over(Window.partitionBy("block").orderBy("word"))
-    keyed = strips.withColumn("set_id", F.concat_ws(":", "block", number))
-    ids = range_text(keyed.select("set_id", F.col("sample_id").alias("member")))
-    words = keyed.groupBy("set_id", "block", "word").agg(F.count("*").alias("n")).join(ids, "set_id")
-    body = words.select(F.lit(1).alias("part"), F.col("block").cast("long").alias("block"), F.concat(F.lit('<block i="'), "text", F.lit('">'), "word", F.lit("</block>")).alias("line"))
-    return head.unionByName(body)
+def edge_lines(edges: DataFrame) -> DataFrame:
+    """i, j, line: the two nodes, the weight with six digits, and the flag, separated by spaces."""
+    return edges.select("i", "j", F.concat_ws(" ", "i", "j", six_digits(F.col("weight")), F.col("flag").cast("int")).alias("line"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import lzma
 import os
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.states import normal_sequence
 from ..model import Alignment, samples_of
+from . import xz
+from .lines import lines_of_pieces, records_of_lines
 
 
 def _records(lines: DataFrame) -> DataFrame:
@@ -27,26 +26,12 @@ def _records(lines: DataFrame) -> DataFrame:
     return each.select("file", "offset", "part", name.alias("name"), F.regexp_replace(rest, r"[ \t\n\x0B\f\r]", "").alias("body"))
 
 
-def _xz_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Records of xz files: a file is one stream, so a task reads one from end to end, record by record."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                parts = lzma.decompress(content).decode().split("\n>")
-                yield pa.RecordBatch.from_pydict({"file": [name] * len(parts), "offset": pa.array(range(len(parts)), pa.int64()), "value": parts})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, offset long, value string")
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, name, body: records numbered in file order."""
     if path.endswith(".xz"):
-        lines = _xz_lines(spark, path)
-    else:
-        raw = spark.read.option("lineSep", "\n>").text(path)
-        lines = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("offset"), "value")
-    records = _records(lines)
+        return records_of_lines(lines_of_pieces(xz.read_pieces(spark, path)))
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    records = _records(raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("offset"), "value"))
     # Ids follow (file, place): numbered within the file's splits first, then by the splits' sizes.
     part = F.shiftright("offset", 33)
     within = F.row_number().over(Window.partitionBy("file", "split").orderBy("offset", "part"))
@@ -88,8 +73,8 @@ def read_alignments(spark: SparkSession, paths: list[str], most: int = 1, mappin
         raise ValueError(f"{len(paths)} alignment files; at most {most}")
     found = [read_alignment(spark, p, **options) for p in paths]
     if mapping is not None:
-        if mapping.count() != found[0].n_loci():
-            raise ValueError("the mapping list and the alignment differ in length")
+        if (n := mapping.count()) != (loci := found[0].n_loci()):
+            raise ValueError(f"the mapping list has {n} entries, the alignment {loci} loci")
         found[0] = replace(found[0], translation=mapping)
     return found
 
@@ -114,4 +99,4 @@ def load(spark: SparkSession, path: str, name: str | None = None) -> Alignment:
     return Alignment(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/samples"), name or facts["name"], facts["n_original_positions"], translation)
 
 
-__all__ = ["alignment_of", "load", "read_alignment", "read_alignments", "read_records", "samples_of", "save"]
+__all__ = ["alignment_of", "load", "read_alignment", "read_alignments", "read_records", "records_of_lines", "samples_of", "save"]

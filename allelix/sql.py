@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import LEFT, RIGHT
+from .queries import LEFT
 
 EMB = """cells AS (
   SELECT vec_id AS sample_id, (i - 1)::INTEGER AS locus,
@@ -53,7 +53,7 @@ def listed(values: list[int], name: str) -> str:
 SNP = "SELECT locus FROM freqs GROUP BY locus HAVING count(*) FILTER (state < 4 AND freq >= {maf}) > 1 AND max(freq) FILTER (state = 4) <= {gap}"
 SUPPLIED = """supplied AS (SELECT DISTINCT l_suppkey AS set_id, l_partkey AS member FROM lineitem),
 x AS (SELECT s.* FROM supplied s WHERE set_id + 1 IN (SELECT set_id FROM supplied)), y AS (SELECT set_id - 1 AS set_id, member FROM supplied s WHERE set_id - 1 IN (SELECT set_id FROM supplied))"""
-EDGES = """met AS (SELECT l_suppkey % 97 AS a, l_partkey % 97 AS b, round(sum(l_quantity), 2) AS weight FROM lineitem GROUP BY 1, 2),
+EDGES = """met AS (SELECT l_suppkey AS a, l_partkey AS b, round(sum(l_quantity), 2) AS weight FROM lineitem GROUP BY 1, 2),
 edges AS (SELECT least(a, b) AS i, greatest(a, b) AS j, weight::DOUBLE AS weight, weight > 40 AS flag FROM met)"""
 RUNS = """marked AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 runs AS (SELECT user_id, event_type, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM marked)"""
@@ -62,7 +62,7 @@ BINS = "bins AS (SELECT round({x} / {w})::BIGINT AS bin, count(*) AS cnt, avg({x
 DISCOUNT = BINS.format(x="l_discount", w="0.01::DOUBLE", t="lineitem", skip="l_discount <> 0")
 EMB_CROSS = """crossed AS (SELECT a.locus AS locus_i, b.locus AS locus_j, a.state AS state_i, b.state AS state_j, sum(s.weight) AS weight FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.locus < b.locus JOIN samples s ON s.sample_id = a.sample_id GROUP BY 1, 2, 3, 4),
 full25 AS (SELECT locus_i, locus_j, state_i, state_j, coalesce(weight, 0)::DOUBLE AS weight FROM (SELECT DISTINCT locus_i, locus_j FROM crossed) CROSS JOIN (SELECT range::INTEGER AS state_i FROM range(5)) CROSS JOIN (SELECT range::INTEGER AS state_j FROM range(5)) LEFT JOIN crossed USING (locus_i, locus_j, state_i, state_j))"""
-TRANS = "trans AS (SELECT range AS ord, range * 3 + 2 AS locus FROM range(97))"
+TRANS = "trans AS (SELECT locus AS ord, locus * 3 + 2 AS locus FROM (SELECT DISTINCT unnest([i, j]) AS locus FROM edges)), size AS (SELECT max(locus) + 1 AS size FROM trans)"
 
 
 def _moments(n: str) -> str:
@@ -70,6 +70,15 @@ def _moments(n: str) -> str:
 SELECT cnt, bincount, round(mean, 6) AS mean, round(square - mean * mean, 6) AS variance, round(sqrt(greatest(square - mean * mean, 0)), 6) AS std FROM m"""
 
 
+SPANS = """spans AS (SELECT l_suppkey AS set_id, l_returnflag AS flag, unnest(range(l_orderkey, l_orderkey + l_quantity::BIGINT - 2)) AS x FROM lineitem),
+a AS (SELECT DISTINCT set_id, x FROM spans WHERE flag = 'A'), b AS (SELECT DISTINCT set_id, x FROM spans WHERE flag IN ({other}))"""
+
+
+def _intervals(members: str, other: str = "'N', 'R'") -> str:
+    return f"""WITH {SPANS.format(other=other)}, m AS ({members}), r AS (SELECT set_id, x, x - row_number() OVER (PARTITION BY set_id ORDER BY x) AS run FROM m)
+SELECT set_id, min(x) AS first, max(x) AS last FROM r GROUP BY set_id, run"""
+
+
 ORACLE_SQL = {
     "state_counts": f"WITH {EMB}, {COUNTS} SELECT * FROM counts",
     "state_frequencies": f"WITH {EMB}, {FREQ.replace('count(DISTINCT sample_id) FROM cells', 'count(*) FROM embeddings')} SELECT locus, state, n, round(freq, 6) AS freq FROM freqs",
@@ -88,7 +97,7 @@ ORACLE_SQL = {
     "include_loci": f"WITH {EMB} SELECT * FROM cells WHERE locus IN (SELECT unnest({LEFT}))",
     "exclude_loci": f"WITH {EMB} SELECT * FROM cells WHERE locus NOT IN (SELECT unnest({LEFT}))",
     "combine_loci": f"WITH {EMB}, {FREQ}, f AS ({SNP.format(maf=0.01, gap=0.15)}), k AS (SELECT row_number() OVER (ORDER BY locus) - 1 AS ord, locus::BIGINT AS locus FROM f), {listed(LEFT, 'l')} SELECT l.ord, k.locus FROM l JOIN k ON l.locus = k.ord",
-    "loci_difference": f"WITH {listed(LEFT, 'l')} SELECT * FROM l WHERE locus NOT IN (SELECT unnest({RIGHT}))",
+    "loci_difference": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ord, o_custkey AS locus FROM orders QUALIFY o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)",
     "numbered_loci": f"WITH {DOC}, {DOC_FREQ}, f AS ({SNP.format(maf=0.05, gap=1.0)}) SELECT row_number() OVER (ORDER BY locus) - 1 AS ord, locus::BIGINT AS locus FROM f",
     "subsample_rows": f"WITH {EMB}, {listed([7, 3, 11, 450], 'l')} SELECT ord AS sample_id, cells.locus, state FROM cells JOIN l ON l.locus = cells.sample_id",
     "hamming_distance": f"WITH {EMB}, {pairs(REAL)} SELECT i, j, (shorter - same)::INTEGER AS distance FROM idents",
@@ -106,7 +115,7 @@ q AS (SELECT a.s AS first, b.s AS second, (SELECT count(*) FROM range(1, 6) t(k)
 SELECT 0::INTEGER AS locus_i, 1::INTEGER AS locus_j, state_i, state_j, round(coalesce(weight, 0), 6)::DOUBLE AS weight FROM (SELECT range::INTEGER AS state_i FROM range(5)) CROSS JOIN (SELECT range::INTEGER AS state_j FROM range(5)) LEFT JOIN c USING (state_i, state_j)""",
     "crosstable_tile": f"WITH {LINE} SELECT a.locus AS locus_i, b.locus AS locus_j, a.state AS state_i, b.state AS state_j, round(count(*), 6)::DOUBLE AS weight FROM cells a JOIN cells b USING (sample_id) WHERE a.locus < b.locus GROUP BY 1, 2, 3, 4",
     "crosstable_pseudocount": f"WITH {EMB}, {EMB_CROSS} SELECT locus_i, locus_j, state_i, state_j, round(weight + 0.5, 6) AS weight FROM full25",
-    "block_intersection_weights": f"""WITH {EVT}, l AS (SELECT sample_id, string_agg(state::VARCHAR, '' ORDER BY locus) AS i FROM cells WHERE locus < 6 GROUP BY 1), r AS (SELECT sample_id, string_agg(state::VARCHAR, '' ORDER BY locus) AS j FROM cells WHERE locus >= 24 GROUP BY 1)
+    "block_intersection_weights": f"""WITH {EVT}, l AS (SELECT sample_id, string_agg(state::VARCHAR, '' ORDER BY locus) AS i FROM cells WHERE locus < 15 GROUP BY 1), r AS (SELECT sample_id, string_agg(state::VARCHAR, '' ORDER BY locus) AS j FROM cells WHERE locus >= 15 GROUP BY 1)
 SELECT i, j, round(sum(1.0::DOUBLE + sample_id % 3), 6) AS weight FROM l JOIN r USING (sample_id) GROUP BY 1, 2""",
     "gauge_zero_sum": f"WITH {EMB}, {EMB_CROSS} SELECT locus_i, locus_j, state_i, state_j, round(weight, 6) AS weight, round(weight - avg(weight) OVER (PARTITION BY locus_i, locus_j, state_i) - avg(weight) OVER (PARTITION BY locus_i, locus_j, state_j) + avg(weight) OVER (PARTITION BY locus_i, locus_j), 6) + 0.0::DOUBLE AS gauged FROM full25",
     "block_dictionary": f"""WITH {EMB}, w AS (SELECT sample_id, (locus // 32)::INTEGER AS block, string_agg(state::VARCHAR, '' ORDER BY locus) AS word FROM cells GROUP BY 1, 2)
@@ -136,7 +145,7 @@ SELECT set_id, string_agg(lower(CASE WHEN a = b THEN to_hex(a) ELSE to_hex(a) ||
     "graph_sort": f"WITH {EDGES} SELECT * FROM edges ORDER BY weight DESC, j, i",
     "graph_nodes": f"WITH {EDGES} SELECT DISTINCT unnest([i, j]) AS locus FROM edges WHERE weight > 45",
     "graph_union": f"WITH {EDGES} SELECT i, j, count(*) AS edges, round(sum(weight), 2) AS weight FROM (SELECT * FROM edges WHERE flag UNION ALL SELECT * FROM edges WHERE weight > 30) GROUP BY 1, 2",
-    "graph_output": f"WITH {EDGES}, {TRANS} SELECT p.locus + 1 AS pos1, q.locus + 1 AS pos2, least(300 - abs(p.locus - q.locus), abs(p.locus - q.locus)) AS distance, flag::INTEGER AS flag, printf('%.6f', weight) AS weight FROM edges JOIN trans p ON i = p.ord JOIN trans q ON j = q.ord",
+    "graph_output": f"WITH {EDGES}, {TRANS} SELECT p.locus + 1 AS pos1, q.locus + 1 AS pos2, least((SELECT size FROM size) - abs(p.locus - q.locus), abs(p.locus - q.locus)) AS distance, flag::INTEGER AS flag, printf('%.6f', weight) AS weight FROM edges JOIN trans p ON i = p.ord JOIN trans q ON j = q.ord",
     "genome_distance": f"WITH {EDGES}, {TRANS} SELECT p.locus AS pos1, q.locus AS pos2, abs(p.locus - q.locus) AS distance FROM edges JOIN trans p ON i = p.ord JOIN trans q ON j = q.ord",
     "distance_linear": "SELECT o_orderkey, abs(o_orderkey - o_custkey) AS distance FROM orders",
     "distance_circular": "SELECT o_orderkey, least(1000 - abs(o_orderkey % 1000 - o_custkey % 1000), abs(o_orderkey % 1000 - o_custkey % 1000)) AS distance FROM orders",
@@ -158,5 +167,34 @@ SELECT sample_id AS place, (CASE WHEN sample_id = (SELECT min(sample_id) FROM le
     "fasta_roundtrip": f"WITH {SEQ} SELECT sample_id, length(sequence)::INTEGER AS n_loci, md5(sequence) AS digest FROM sequences",
     "loci_list_roundtrip": f"WITH {EMB}, {FREQ}, f AS ({SNP.format(maf=0.01, gap=0.15)}), e AS (SELECT locus AS k, unnest([locus, locus + 1])::BIGINT AS locus FROM f) SELECT row_number() OVER (ORDER BY k, locus) - 1 AS ord, locus FROM e",
     "value_list_roundtrip": f"WITH {EMB}, {pairs(REAL)}, w AS ({ONES}) SELECT row_number() OVER (ORDER BY sample_id) - 1 AS ord, round(round(weight, 6), 6) AS value FROM w",
-    "loci_texts": "SELECT unnest([0,0,0,0,0,0,0,1,1,1,1,1,2,4])::INTEGER AS list, unnest([0,1,2,3,4,5,6,0,1,2,3,4,0,0])::BIGINT AS ord, unnest([0,2,3,4,8,6,2,3,1,7,8,9,2,11])::BIGINT AS locus",
+    "loci_texts": """WITH t AS (SELECT o_custkey, o_orderkey AS k, min(o_orderkey) FILTER (o_orderkey % 40 = 0) OVER (PARTITION BY o_custkey) AS bad FROM orders),
+e AS (SELECT o_custkey, k, unnest(range(k, CASE WHEN k % 3 = 0 THEN k + 1 ELSE k + k % 5 END)) AS x FROM t WHERE bad IS NULL OR k < bad)
+SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY k, x) - 1 AS ord, x - 1 AS locus FROM e""",
+    "interval_fusion": _intervals("SELECT * FROM a UNION SELECT * FROM b", "'R'"),
+    "interval_intersection": _intervals("SELECT * FROM a INTERSECT SELECT * FROM b"),
+    "interval_difference": _intervals("SELECT * FROM a EXCEPT SELECT * FROM b"),
+    "hybrid_roundtrip": _intervals("SELECT * FROM a UNION SELECT * FROM b", "'R'"),
+    "hybrid_text": f"""WITH {SPANS.format(other="'R'")}, m AS (SELECT * FROM a UNION SELECT * FROM b), w AS (SELECT set_id, x // 32 AS w, bit_or(1::BIGINT << (x % 32)::INT) AS bits FROM m GROUP BY 1, 2),
+r AS (SELECT *, w - row_number() OVER (PARTITION BY set_id, bits = 4294967295 ORDER BY w) AS run FROM w),
+p AS (SELECT set_id, min(w) AS w, lower(to_hex(min(w) * 32)) || '-' || lower(to_hex((max(w) + 1) * 32)) AS t FROM r WHERE bits = 4294967295 GROUP BY set_id, run
+  UNION ALL SELECT set_id, w, lower(to_hex(w * 32)) || ':' || lower(to_hex(bits)) FROM r WHERE bits <> 4294967295)
+SELECT set_id, string_agg(t, ',' ORDER BY w) AS text FROM p GROUP BY set_id""",
+    "zipped_rows": "SELECT ord, rich, named FROM (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS ord, c_custkey AS rich FROM customer) JOIN (SELECT row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS ord, c_custkey AS named FROM customer) USING (ord)",
+    "equality_mask": f"""WITH {EVT}, e AS (SELECT a.sample_id AS i, b.sample_id AS j, list(a.locus ORDER BY a.locus) FILTER (a.state = b.state) AS l FROM cells a JOIN cells b ON b.sample_id + 1 = a.sample_id AND b.locus = a.locus GROUP BY 1, 2)
+SELECT i, j, coalesce(list_sum(list_transform(l, lambda x: 1::BIGINT << x)), 0)::BIGINT AS bits, coalesce(len(l), 0)::INTEGER AS same, coalesce(len(list_filter(l, lambda x: x < 15)), 0)::INTEGER AS early, l[1] AS first, l[5] AS fifth FROM e""",
+    "block_text_roundtrip": f"WITH {EVT} SELECT sample_id, 'days <1 & 2>' AS alignment, 1::BIGINT AS multiplicity, 1.0::DOUBLE AS weight, string_agg(substr('atcg-', state + 1, 1), '' ORDER BY locus) AS sequence FROM cells GROUP BY 1",
+    "compression_statistics": f"""WITH {EVT}, w AS (SELECT sample_id, (locus // 32)::INTEGER AS block, string_agg(state::VARCHAR, '' ORDER BY locus) AS word FROM cells GROUP BY 1, 2),
+f AS (SELECT block, word, sample_id // 32 AS w, count(*) = 32 AS whole FROM w GROUP BY 1, 2, 3), r AS (SELECT *, w - row_number() OVER (PARTITION BY block, word, whole ORDER BY w) AS run FROM f),
+p AS (SELECT count(*) FILTER (NOT whole) + count(DISTINCT (block, word, run)) FILTER (whole) AS pieces FROM r),
+n AS (SELECT (SELECT count(*) FROM cells) AS states, (SELECT count(*) * 32 FROM (SELECT DISTINCT block, word FROM w)) AS word_bytes, pieces * 8 AS index_bytes FROM p)
+SELECT states, word_bytes, index_bytes, round(states / (word_bytes + index_bytes)::DOUBLE, 6) AS ratio, round((word_bytes + index_bytes) * 8 / states::DOUBLE, 6) AS bits_per_state FROM n""",
+    "fasta_stream": f"WITH {SEQ} SELECT sample_id, length(sequence)::INTEGER AS n_loci, md5(sequence) AS digest FROM sequences",
+    "prepared_alignment": f"""WITH {EVT}, u AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS n FROM (SELECT DISTINCT sample_id FROM cells)),
+g AS (SELECT locus, state, count(*) / (SELECT count(*) FROM u)::DOUBLE AS freq FROM cells WHERE locus % 7 <> 2 GROUP BY 1, 2),
+k AS (SELECT locus, row_number() OVER (ORDER BY locus) - 1 AS ord FROM g GROUP BY locus HAVING count(*) FILTER (state < 4 AND freq >= 0.16::DOUBLE) > 1 AND coalesce(max(freq) FILTER (state = 4), 0) <= 0.6::DOUBLE)
+SELECT (n // 3)::BIGINT AS sample_id, cells.sample_id AS user_id, ord::INTEGER AS locus, cells.locus::BIGINT AS position, state FROM cells JOIN u USING (sample_id) JOIN k ON k.locus = cells.locus WHERE n % 3 = 0""",
+    "keep_samples": f"WITH {EMB} SELECT * FROM cells WHERE sample_id IN (SELECT vec_id FROM embeddings WHERE label = 1)",
+    "graph_found": f"WITH {EDGES}, w AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j FROM lineitem WHERE l_returnflag = 'R') SELECT edges.* FROM edges JOIN w USING (i, j)",
+    "graph_ordered_nodes": f"WITH {EDGES}, n AS (SELECT DISTINCT unnest([i, j]) AS locus FROM edges WHERE weight > 45) SELECT row_number() OVER (ORDER BY locus) - 1 AS ord, locus FROM n",
+    "edge_lines": f"WITH {EDGES} SELECT i, j, i || ' ' || j || ' ' || regexp_replace(printf('%.2f', weight), '\\.?0+$', '') || ' ' || flag::INTEGER AS line FROM edges",
 }

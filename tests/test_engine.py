@@ -128,7 +128,7 @@ def test_frequencies(spark):
     cells = cells_of(spark, ["aat-", "act-", "ag--"])
     found = {(r["locus"], r["state"]): r["n"] for r in frequencies.counts(cells).collect()}
     assert len(found) == 20 and found[0, 0] == 3 and found[2, 4] == 1 and found[1, 1] == 0
-    sums = frequencies.frequencies(cells).groupBy("locus").agg(F.sum("freq").alias("s")).collect()
+    sums = frequencies.frequencies(cells, samples_of(cells)).groupBy("locus").agg(F.sum("freq").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1) for r in sums)
     e = dict(values(frequencies.entropies(cells, samples_of(cells)), "locus", "entropy"))
     assert e[0] == 0 and e[1] == pytest.approx(1.0986123)
@@ -192,14 +192,11 @@ def test_vectors(spark):
     assert [round(x, 6) for x in row] == [1.386294, 3.0, 2.236068, 2]
 
 
-def test_labels(tmp_path):
+def test_labels():
     assert labels.Threshold(">=2").safe == "ge02" and labels.Threshold().safe == "gt01"
     with pytest.raises(ValueError):
         labels.Threshold("1>").safe  # noqa: B018
     assert labels.memory_string(2048) == "2KiB" and labels.time_string(5e6) == "5ms"
-    path = tmp_path / "x"
-    path.write_text("")
-    assert labels.free_path(str(path)) == f"{path}.1"
 
 
 def test_plan(spark, tmp_path):
@@ -207,16 +204,17 @@ def test_plan(spark, tmp_path):
     rows = ["".join(r.choices("acgt", k=12)) + "a" for _ in range(30)]
     (tmp_path / "in.fasta").write_text("".join(f">n{k}\n{x}\n" for k, x in enumerate(rows)))
     o = preprocess.Options(state_frequencies=True, weights=True, distance_matrix=True, alignment=True, rescale=True)
-    a = preprocess.run(spark, str(tmp_path / "in.fasta"), str(tmp_path / "out"), o)
-    assert a.n_loci() == 12  # the constant last locus is filtered
+    preprocess.run(spark, str(tmp_path / "in.fasta"), str(tmp_path / "out"), o)
     name = f"in.{select.filter_name(0.01, 0.15)}"
     read = lambda end: [r[0] for r in spark.read.text(str(tmp_path / "out" / f"{name}.{end}")).collect()]
-    assert [int(x) for x in read("loci")] == list(range(1, 13))
+    assert [int(x) for x in read("loci")] == list(range(1, 13))  # the constant last locus is filtered
     assert sum(float(x) for x in read("weights")) == pytest.approx(30)
     assert read("distances")[0] == "n=30" and len(read("fasta")) == 60 and len(read("frequencies.txt")) == 12
+    assert not [p for p in (tmp_path / "out").iterdir() if "working" in p.name]
+    a = preprocess.prepare(spark, str(tmp_path / "in.fasta"), o)
     saved = str(tmp_path / "saved")
     sequences.save(a, saved)
-    assert sequences.load(spark, saved).cells.count() == a.cells.count()
+    assert sequences.load(spark, saved).cells.count() == a.cells.count() == 360
     assert text.triangle(pairs.distances(a.cells, 12), a.samples).count() == 30
 
 
@@ -235,7 +233,7 @@ def test_samples_without_cells_count(spark):
     samples = spark.createDataFrame([(1,), (2,), (3,)], "sample_id long")
     freq = {(r["locus"], r["state"]): r["freq"] for r in frequencies.frequencies(cells, samples).collect()}
     assert freq[0, 0] == pytest.approx(2 / 3) and freq[1, 1] == pytest.approx(1 / 3)
-    assert select.snp_filter(cells, 0.3, 1.0, samples=samples).count() == 1 and select.snp_filter(cells, 0.4, 1.0, samples=samples).count() == 0
+    assert select.snp_filter(cells, samples, 0.3, 1.0).count() == 1 and select.snp_filter(cells, samples, 0.4, 1.0).count() == 0
 
 
 def test_triangle_begins_with_the_number(spark):
