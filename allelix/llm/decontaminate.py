@@ -10,7 +10,8 @@ other words.
 
 A walk of ``steps`` steps has no room in an item of fewer words. Such items, and those of a class that the walks do not
 serve, are found by exact pieces instead: an item that may have k edits is cut into k + 1 pieces, of which k edits leave
-one whole, so every place within the limit is a candidate. Nothing is lost there; common pieces cost time only.
+one whole, so every place within the limit is a candidate. Nothing is lost there; common pieces cost time only. An item of
+fewer words than allow an edit is one piece: it is found where it stands word for word.
 
 Each candidate names a text, an item and a place; the least edit distance (in words) between the whole item and any
 stretch of the text around that place is then computed exactly, for many candidates at once. An item is found if
@@ -59,7 +60,7 @@ class Plan:
     samples: int = 8
     recall: float = 0.99
     most: int = 12
-    least_words: int = 5
+    least_words: int = 1
     seed: int = 3
     block_bytes: int = 8 << 20
 

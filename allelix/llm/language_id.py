@@ -7,9 +7,9 @@ takes the codeword of least total loss, and flags a text as ambiguous where the
 Up to five languages the code is exhaustive (all splits of the languages); beyond that, ``bits`` columns are drawn
 with a seed, keeping those that hold the codewords farthest apart.
 
-The classifiers are fitted on the driver from about ``sample_rows`` rows, chosen by a hash of the id among the rows that
-have a text and a language, with about LEAST_ROWS of each language at least; languages are counted over all rows, so that
-none is left without a codeword. The tasks count the n-grams of the whole chosen texts, whatever their length; the driver gets no
+The classifiers are fitted on the driver from about ``sample_rows`` rows, chosen by a hash of the id and the text among the rows
+that have a text and a language, with about LEAST_ROWS of each language at least, and MOST_LEAST_ROWS for all languages
+together; languages are counted over all rows, so that none is left without a codeword. Repeats of a row are one row there. The tasks count the n-grams of the whole chosen texts, whatever their length; the driver gets no
 text, but at most BUCKETS shares for each chosen row. Everything else reads whole texts in the tasks, without a shuffle. A
 text's sum over n-grams is a gather from the weights and a segmented sum.
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import mapped
 
 BUCKETS = 1 << 14
-#: Rows to learn a language from at least, where it has them.
-LEAST_ROWS = 30
+#: Rows to learn a language from at least, where it has them; and of all languages at least, whatever their number: with more
+#: languages each has fewer rows, and with more than that many the most frequent are learnt.
+LEAST_ROWS, MOST_LEAST_ROWS = 30, 1200
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -82,8 +83,8 @@ def shares(texts: pa.Array) -> pa.ListArray:
 def fit(grams_of: pa.ListArray, labels: list[str], rounds: int = 150, rate: float = 0.05, penalty: float = 1e-4) -> dict:
     """Weights (a column for each bit), offsets, the code, the weight of each bit, and the languages in order, from shares()."""
     names = sorted(set(labels))
-    code = codewords(len(names))
-    target = code[[names.index(x) for x in labels]].astype(np.float32)
+    code, place = codewords(len(names)), {x: i for i, x in enumerate(names)}
+    target = code[[place[x] for x in labels]].astype(np.float32)
     x = np.zeros((len(labels), BUCKETS), np.float32)
     flat = grams_of.flatten()
     row = np.repeat(np.arange(len(labels)), pc.list_value_length(grams_of).to_numpy(zero_copy_only=False))
@@ -125,13 +126,20 @@ def decode(model: dict, texts: pa.Array, margin: float) -> tuple[np.ndarray, np.
 
 
 def rows_by_language(docs: DataFrame, wanted: Column, sample_rows: int, least: int = LEAST_ROWS) -> DataFrame:
-    """doc_id, text, lang: about sample_rows of the wanted rows, and about ``least`` of each language or all it has. Languages are counted over all wanted rows."""
-    counts = docs.where(wanted).groupBy("lang").count().collect()
-    total = sum(r["count"] for r in counts)
+    """doc_id, text, lang, hash: about sample_rows of the wanted rows, and about ``least`` of each language or all it has.
+
+    Rows that repeat an id, its text and its language are one. Languages are counted over all wanted rows; as many as
+    MOST_LEAST_ROWS are learnt at most, so there are about sample_rows + MOST_LEAST_ROWS rows whatever their number.
+    """
+    rows = docs.where(wanted)
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LEAST_ROWS).collect()
+    total, least = sum(r["count"] for r in counts), min(least, MOST_LEAST_ROWS // max(len(counts), 1))
     share = [(r["lang"], min(1.0, max(sample_rows / total, least / r["count"]))) for r in counts]
     by_lang = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, share double"))
-    place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    return docs.where(wanted).join(by_lang, "lang").where(place < F.col("share")).select("doc_id", "text", "lang")
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", "hash"), F.lit(1_000_003)) / 1_000_003
+    chosen = hashed.join(by_lang, "lang").where(place < F.col("share"))
+    return chosen.groupBy("doc_id", "lang", "hash").agg(F.first("text").alias("text")).select("doc_id", "text", "lang", "hash")
 
 
 def languages(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1500, margin: float = 0.05) -> DataFrame:
@@ -142,7 +150,7 @@ def languages(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "d
     def counted():
         return lambda batch: pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "grams": shares(batch.column("text"))})
 
-    chosen = rows_by_language(rows, wanted, sample_rows).withColumn("hash", F.xxhash64("text"))
+    chosen = rows_by_language(rows, wanted, sample_rows)
     sample = mapped(chosen, counted, "lang string, doc_id long, hash long, grams array<struct<bucket: int, share: float>>", most=1 << 20).toArrow()
     sample = sample.take(pc.sort_indices(sample.select(["lang", "doc_id", "hash"]), [("lang", "ascending"), ("doc_id", "ascending"), ("hash", "ascending")]))
     labels = sample.column("lang").to_pylist()

@@ -84,15 +84,15 @@ def _short(df: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES) -> DataFrame:
-    """doc, tie, gone: the first lines of the chunks to remove from the documents with this id and hash of the text."""
-    again = _repeated(docs, id_col, text_col, lambda text: F.filter(chunks(text, mean_lines), lambda c: c["n"] > 1))
-    return again.groupBy("doc", "tie").agg(F.collect_set("first").alias("gone"))
+    """doc, tie, gone: the places of the chunks to remove from the documents with this id and hash of the text."""
+    again = _repeated(docs, id_col, text_col, lambda text: chunks(text, mean_lines))
+    return again.groupBy("doc", "tie").agg(F.collect_set("place").alias("gone"))
 
 
 def _repeated(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[Column], Column]) -> DataFrame:
-    """doc, tie, first, n: the pieces cut from the texts that are not the first occurrence of their bytes."""
+    """doc, tie, place, first, n: the pieces of two lines or more, of those cut from the texts, that are not the first occurrence of their bytes."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(docs[text_col]).alias("tie"), docs[text_col].alias("text"))
-    each = rows.select("doc", "tie", F.explode(cut(F.col("text"))).alias("c")).select("doc", "tie", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("h"))
+    each = rows.select("doc", "tie", F.posexplode(cut(F.col("text"))).alias("place", "c")).where("c.n > 1").select("doc", "tie", "place", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.col("c.chunk").alias("chunk"), F.xxhash64("c.chunk").alias("h"))
     recurring = stored(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "recurring-chunks")
     found = each.join(_short(recurring), "h")
     texts = stored(found.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tie", "first")).alias("keep")), "chunk-texts")
@@ -101,7 +101,7 @@ def _repeated(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[Column
     again = texts.where("n > 1").join(clashes, "h", "left").select("h", F.when(F.col("clash"), F.col("chunk")).alias("only"), "keep")
     again = _short(stored(again, "repeated-chunks"))
     gone = found.join(again, (found["h"] == again["h"]) & (again["only"].isNull() | (again["only"] == found["chunk"]))).where(~F.struct("doc", "tie", "first").eqNullSafe(F.col("keep")))
-    return gone.select("doc", "tie", "first", "n")
+    return gone.select("doc", "tie", "place", "first", "n")
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -121,7 +121,10 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, mean_lines: int) -> Da
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("own"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
     joined = keyed.join(gone, keyed["own"].eqNullSafe(gone["doc"]) & (keyed["hash"] == gone["tie"]), "left")
     changed = F.col("gone").isNotNull()
-    left = F.filter("all", lambda c: ~F.array_contains("gone", c["first"]))
+    # Kept places come from a set difference, which hashes: looking up each chunk in the list of removed ones is quadratic. transform
+    # over an array of one element binds the chunks once.
+    places = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone")
+    left = F.flatten(F.transform(F.array(F.struct("all", places.alias("places"))), lambda x: F.transform(x["places"], lambda k: x["all"][k])))
     rows = joined.withColumn("all", chunks(F.col("text"), mean_lines)).withColumn("left", F.when(changed, left).otherwise(F.col("all")))
     count = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0).cast("long"))
     size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")

@@ -43,7 +43,7 @@ from .common import Folders, Words, let_go, mapped, slices, small_batches, strin
 PAD, END = 0xFF, 0xFE
 SYMBOLS = END + 1
 #: Positions of text worked on at once, and counts that a task holds between two flushes.
-PART, KEPT = 1 << 20, 1 << 21
+PART, KEPT = 1 << 19, 1 << 20
 #: Kinds of counts: of texts, words, windows.
 TEXTS, WORDS, WINDOWS = 0, 1, 2
 
