@@ -403,6 +403,8 @@ def frequency_lines(s, d):
 def _folder(spark: SparkSession, name: str) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="allelix-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/{name}-{os.urandom(8).hex()}"
