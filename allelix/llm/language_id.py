@@ -61,6 +61,7 @@ def grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     offsets = np.frombuffer(framed.buffers()[1], np.int64)[framed.offset : framed.offset + len(framed) + 1]
     data = LOWER[np.frombuffer(framed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]].astype(np.uint32)
     second, third = np.append(data[1:], 32).astype(np.uint32), np.append(data[2:], [32, 32]).astype(np.uint32)
+    third[offsets[1:] - offsets[0] - 1] = 32  # not the next text's first letter
     out = []
     for order, key in ((1, data), (2, data | second << np.uint32(8)), (3, data | second << np.uint32(8) | third << np.uint32(16))):
         out.append(((key + np.uint32(order << 28)) * np.uint32(2654435761)) >> np.uint32(18))

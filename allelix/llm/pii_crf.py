@@ -5,8 +5,9 @@ the driver from a small labelled table (a few hundred short sentences, ``labelle
 penalised likelihood; its weights go to the tasks, which decode by Viterbi, all texts of a batch at once in numpy.
 It adds what the patterns miss: secrets after a cue, numbers written without a plus sign, addresses spelt out.
 
-Every word of a text is decoded, in its whole text. Only texts without any digit, ``@`` or ``dot`` are passed over: no added span in
-them could be plausible (see ``plausible``). A word's features and its neighbours' add up, so each distinct word has one row of scores
+Every word of a text is decoded, in its whole text. Only texts without any digit, ``@``, ``dot`` or a secret's cue (in small or capital
+letters) are passed over: no added span in them could be plausible (see ``plausible``), but for a secret of letters only that
+nothing points to. A word's features and its neighbours' add up, so each distinct word has one row of scores
 for each distance, and a text's scores are gathered from these. Long texts are dealt into pieces of ``PIECE`` words that advance
 together: a first pass gives for each piece the best score from any tag before it to any tag at its end, these are
 chained, and a second pass decodes every piece from its true beginning, so the result is that of the whole text. An added span
@@ -123,13 +124,21 @@ def labelled_sentences(n: int = 640, seed: int = 11) -> list[tuple[list[str], li
 
     def secret() -> tuple[list[str], list[str]]:
         value = r.choice((lambda: code(40), lambda: code(32), lambda: code(r.randint(20, 44), mixed), lambda: "sk-" + code(r.randint(16, 28), mixed), lambda: "sk-" + code(r.randint(16, 28), mixed.lower()), lambda: "AKIA" + code(16, mixed.upper()), password, password, password))()
+        if r.random() < 0.15:
+            value = lettered()
         quote, cue = r.choice(('"', "'", "", "")), r.choice(CUES["secret"])
         cue = r.choice((cue, cue.capitalize(), cue.upper()))
         if r.random() < 0.15:
             return [cue + r.choice("=:") + quote + value + quote + end()], ["B-secret"]
+        if r.random() < 0.12 and len(value) >= 14:
+            after = r.choice((["is", "my"], ["is", "the"], ["is", "our", word()], ["is", "my", word()], ["was", "the"]))
+            return [quote + value + quote, *after, cue.lower() + end()], ["B-secret", *["O"] * (len(after) + 1)]
         words = r.choice(([cue, "="], [cue, ":"], [cue, "is"], [cue + ":"], [cue + "="], [cue]))
         return [*words, quote + value + quote + end()], [*["O"] * len(words), "B-secret"]
 
+    def lettered() -> str:
+        return r.choice((lambda: code(r.randint(20, 40), "abcdef"), lambda: "".join(word() for _ in range(9))[: r.randint(18, 30)], lambda: code(r.randint(18, 32), mixed[:52]), lambda: "-".join(word() for _ in range(5))))()
+
     def password() -> str:
         inner = list(word() + digits(r.randint(1, 4)) + code(r.randint(3, 6), mixed + "&!_-"))
         if r.random() < 0.5:
@@ -150,6 +159,8 @@ def labelled_sentences(n: int = 640, seed: int = 11) -> list[tuple[list[str], li
             return [f"{word()}@{word()}.org{end()}"], ["B-email"]
         at, dot = r.choice((("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]")))
         cue = [r.choice(CUES["email"])] if r.random() < 0.6 else []
+        if r.random() < 0.25:
+            return [*cue, word().upper(), at.upper(), word().upper(), dot.upper(), r.choice(("COM", "ORG", "NET")) + end()], [*["O"] * len(cue), "B-email", *["I-email"] * 4]
         return [*cue, word(), at, word(), dot, r.choice(("com", "org", "net")) + end()], [*["O"] * len(cue), "B-email", *["I-email"] * 4]
 
     def card() -> tuple[list[str], list[str]]:
@@ -161,7 +172,7 @@ def labelled_sentences(n: int = 640, seed: int = 11) -> list[tuple[list[str], li
         return [".".join(str(r.randint(0, 255)) for _ in range(4)) + end()], ["B-ip"]
 
     def alike() -> tuple[list[str], list[str]]:
-        value = r.choice((lambda: [str(r.randint(1900, 2030))], lambda: [f"{r.randint(1, 999)}.{digits(2)}"], lambda: [f"{digits(1)},{digits(3)}"], lambda: [digits(r.randint(1, 5))], lambda: [digits(r.randint(12, 18))], lambda: [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"], lambda: [f"1{digits(1)}:{digits(2)}"], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"] * r.randint(1, 4), lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}" for _ in range(r.randint(1, 3))], lambda: [f"#{digits(6)}"], lambda: [word() + digits(2)], lambda: [code(r.choice((7, 12, 40)))], lambda: ["at", word()], lambda: ["key", "of", word()], lambda: ["the", "token", word()], lambda: [r.choice(CUES["secret"]), "is", word()], lambda: [r.choice(CUES["secret"]), digits(r.randint(1, 4))], lambda: ["call", word()], lambda: ["@" + word()], lambda: [digits(3) + "-" + digits(1)], lambda: [digits(1), digits(2), digits(1)]))()
+        value = r.choice((lambda: [str(r.randint(1900, 2030))], lambda: [f"{r.randint(1, 999)}.{digits(2)}"], lambda: [f"{digits(1)},{digits(3)}"], lambda: [digits(r.randint(1, 5))], lambda: [digits(r.randint(12, 18))], lambda: [f"20{digits(2)}-0{digits(1)}-1{digits(1)}"], lambda: [f"1{digits(1)}:{digits(2)}"], lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}"] * r.randint(1, 4), lambda: [f"v{digits(1)}.{digits(1)}.{digits(1)}" for _ in range(r.randint(1, 3))], lambda: [f"#{digits(6)}"], lambda: [word() + digits(2)], lambda: [code(r.choice((7, 12, 40)))], lambda: ["at", word()], lambda: ["key", "of", word()], lambda: ["the", "token", word()], lambda: ["the", r.choice(CUES["secret"]), (word() + word() + word())[:14]], lambda: [(word() + word())[:15], "is", "the", r.choice(CUES["secret"])], lambda: [r.choice(CUES["secret"]), "is", word()], lambda: [r.choice(CUES["secret"]), digits(r.randint(1, 4))], lambda: ["call", word()], lambda: ["@" + word()], lambda: [digits(3) + "-" + digits(1)], lambda: [digits(1), digits(2), digits(1)]))()
         value[-1] += end()
         return value, ["O"] * len(value)
 
@@ -199,7 +210,7 @@ def labelled_table(spark: SparkSession, n: int = 640, seed: int = 11) -> DataFra
 
 # ---- the field
 
-NAMED = frozenset(x for xs in CUES.values() for x in xs) | {"at", "dot", "(at)", "(dot)", "[at]", "[dot]", "=", ":", "is", "com", "org", "net"}
+NAMED = frozenset(x for xs in CUES.values() for x in xs) | {"at", "dot", "(at)", "(dot)", "[at]", "[dot]", "=", ":", "is", "my", "our", "com", "org", "net"}
 EDGE = "\"'.,;:!?#*$%&|<>"
 #: A secret's cue and its sign at the beginning of the word that has the secret.
 CUED = re.compile(f"(?i:{'|'.join(CUES['secret'])})[=:]+[\"']?(?=.{{8}})")
@@ -219,10 +230,15 @@ def word_features(word: str) -> list[str]:
         out.append("word=" + (word if word in NAMED else bare.lower()))
     if len(bare) >= 16 and digits and re.fullmatch(r"[A-Za-z0-9_-]+", bare) and not bare.isdigit():
         out.append("code")
+    elif len(bare) >= 16 and re.fullmatch(r"[A-Za-z_-]+", bare):
+        out.append("letters")
     elif 8 <= len(bare) and re.search(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]", bare) and "@" not in bare:
         out.append("mixed")
-    if CUED.match(bare):
+    if cue := CUED.match(bare):
         out.append("cued")
+        if re.fullmatch(r"[A-Za-z0-9_-]{16,}", bare[cue.end() :].strip(EDGE)):
+            out[1] = "digits=cued"  # what is in a long code after its cue says little
+            out.append("cued code")
     if "@" in bare:
         out.append("at")
     return out
@@ -475,16 +491,16 @@ def named(text: str, words: list[tuple[int, int]], tags: list[int]) -> Iterator[
 
 
 def plausible(kind: int, name: str) -> bool:
-    """Digits of an added card pass Luhn, an added phone has 7 to 15 of them, an added mail address has its signs, and an added ip small parts."""
+    """Digits of an added card pass Luhn, an added phone has 7 to 15 of them, an added mail address has its signs, an added ip small parts, and an added secret eight characters or more that are not all digits."""
     digits = re.sub("[^0-9]", "", name)
     if KINDS[kind] == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if KINDS[kind] == "phone":
         return 7 <= len(digits) <= 15
     if KINDS[kind] == "email":
-        return "@" in name or bool(re.search(r"\bat\b.*\bdot\b", name))
+        return "@" in name or bool(re.search(r"\bat\b.*\bdot\b", name, re.I))
     if KINDS[kind] == "secret":
-        return len(name) >= 8 and bool(digits) and bool(re.search("[A-Za-z]", name))
+        return len(name) >= 8 and len(digits) < len(name)
     return KINDS[kind] != "ip" or next(ips(name), None) == (0, len(name))
 
 
@@ -515,13 +531,15 @@ def joined_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: What a text without a digit or an @ must have to be looked into: a spelt address's dot, or a secret's cue.
+HINTS = "(?i)dot|" + "|".join(CUES["secret"])
 SEEN = np.zeros(256, np.int64)
 SEEN[list(b"0123456789@")] = 1
 
 
 def find(texts: pa.Array, field: Field, known: dict[str | tuple, np.ndarray]) -> dict[str, list]:
     some = byte_counts(texts, SEEN) > 0
-    some |= pc.fill_null(pc.match_substring(texts, "dot"), False).to_numpy(zero_copy_only=False)
+    some |= pc.fill_null(pc.match_substring_regex(texts, HINTS), False).to_numpy(zero_copy_only=False)
     base: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     chosen = np.flatnonzero(some)

@@ -45,7 +45,7 @@ def test_decode_is_the_plain_loop():
     for i, t in enumerate(texts.to_pylist()):
         data = [x + 32 if 65 <= x <= 90 else x for x in f" {t or str()}  ".encode()]
         framed = [*data, 32, 32]
-        codes, starts = language_id.grams(pa.array([t]))
+        codes, starts = language_id.grams(pa.array([t], pa.string()))
         assert len(codes[0]) == len(data) and starts.tolist() == [0]
         side = [float(b) for b in model["offset"]]
         for k in range(len(data)):
