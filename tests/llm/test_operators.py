@@ -324,11 +324,12 @@ def test_decontaminate(spark, texts, odd, none):
         assert sum((k, k) in found for k, _ in items) >= least * len(items)
     bench = spark.createDataFrame([(1, "the dog sat on the log while it rained all day"), (2, None), (3, ""), (4, "a b"), (None, "no such words in any of these texts")], "item_id long, text string")
     hits = decontaminate.contamination(odd, bench).collect()
-    assert {(h["doc_id"], h["item_id"]) for h in hits} == {(6, 1), (8, 1)}
-    assert decontaminate.without_items(odd, bench).count() == 10 and decontaminate.contamination(none, bench).count() == 0
+    short = {(1, 4), (None, 4)}  # items of any number of words are looked for
+    assert {(h["doc_id"], h["item_id"]) for h in hits} == {(6, 1), (8, 1)} | short
+    assert decontaminate.without_items(odd, bench).count() == 8 and decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(odd, bench.limit(0)).count() == 0
     two = decontaminate.contamination(odd, bench, plan=decontaminate.Plan(block_bytes=40))
-    assert {(h["doc_id"], h["item_id"]) for h in two.collect()} == {(6, 1), (8, 1)}
+    assert {(h["doc_id"], h["item_id"]) for h in two.collect()} == {(6, 1), (8, 1)} | short
 
 
 def test_nearest():
