@@ -118,8 +118,12 @@ def subsample_rows(s, d):
     return select.subsample(fx.embedding_cells(s, d), fx.embedding_samples(s, d), chosen)[0]
 
 
+def _vectors_there(s, d):
+    return fx.table(s, d, "embeddings").count()
+
+
 def hamming_distance(s, d):
-    return pairs.distances(fx.embedding_cells(s, d), EMB_LOCI)
+    return pairs.distances(fx.embedding_cells(s, d), EMB_LOCI, _vectors_there(s, d))
 
 
 def fract_identical(s, d):
@@ -128,7 +132,7 @@ def fract_identical(s, d):
 
 
 def similar_pairs(s, d):
-    return pairs.similar_pairs(fx.embedding_cells(s, d), EMB_LOCI, 0.35)
+    return pairs.similar_pairs(fx.embedding_cells(s, d), EMB_LOCI, 0.35, _vectors_there(s, d))
 
 
 def similar_lines(s, d):
@@ -144,11 +148,11 @@ def similar_lines(s, d):
 
 def sample_weights(s, d):
     cells = fx.embedding_cells(s, d)
-    return _round(pairs.sample_weights(cells, samples_of(cells), EMB_LOCI, 0.35), "weight")
+    return _round(pairs.sample_weights(cells, samples_of(cells), EMB_LOCI, 0.35, _vectors_there(s, d)), "weight")
 
 
 def sample_weights_multiplicity(s, d):
-    return _round(pairs.sample_weights(fx.embedding_cells(s, d), fx.embedding_samples(s, d), EMB_LOCI, 0.35), "weight")
+    return _round(pairs.sample_weights(fx.embedding_cells(s, d), fx.embedding_samples(s, d), EMB_LOCI, 0.35, _vectors_there(s, d)), "weight")
 
 
 def sample_weights_truncated(s, d):
@@ -162,7 +166,7 @@ def sample_weights_rescaled(s, d):
 
 
 def pair_diagnostics(s, d):
-    return _round(pairs.diagnostics(fx.embedding_cells(s, d), EMB_LOCI, 0.35), "least", "greatest", "apart_ratio")
+    return _round(pairs.diagnostics(fx.embedding_cells(s, d), EMB_LOCI, 0.35, _vectors_there(s, d)), "least", "greatest", "apart_ratio")
 
 
 def fuse_duplicates(s, d):
