@@ -35,6 +35,17 @@ def gather(sets: DataFrame, weights: DataFrame) -> DataFrame:
     return sets.join(weights, "member").groupBy("set_id").agg(F.sum("weight").alias("weight"))
 
 
+def gather_parts(left: DataFrame, right: DataFrame, weights: DataFrame) -> DataFrame:
+    """set_id, only_a, only_b, both: the summed weights of the left sets' members that the right set of the same id lacks, the other way
+    round, and of the members of both; for sets that are on both sides. Long tables: a set may be of any size.
+    """
+    sides = left.select("set_id", "member", F.lit(1).alias("side")).unionByName(right.select("set_id", "member", F.lit(2).alias("side")))
+    each = sides.groupBy("set_id", "member").agg(F.bit_or("side").alias("side")).join(weights, "member")
+    part = lambda k: F.sum(F.when(F.col("side") == k, F.col("weight")).otherwise(0.0))
+    both = each.groupBy("set_id").agg(part(1).alias("only_a"), part(2).alias("only_b"), part(3).alias("both"), F.bit_or("side").alias("sides"))
+    return both.where("sides = 3").drop("sides")
+
+
 def ranges(sets: DataFrame) -> DataFrame:
     """set_id, first, last: runs of consecutive members. A set may hold any share of all members."""
     return fused(sets.select("set_id", F.col("member").alias("first"), F.col("member").alias("last")))

@@ -135,6 +135,11 @@ def similar_pairs(s, d):
     return pairs.similar_pairs(fx.embedding_cells(s, d), EMB_LOCI, 0.35, _vectors_there(s, d))
 
 
+def similar_days(s, d):
+    """Users who agree on 27 of 30 days or more: by equal segments of days, of which some are very common."""
+    return pairs.similar_pairs(fx.event_cells(s, d), 30, 0.9)
+
+
 def similar_lines(s, d):
     """Rows of line items that agree in four of five loci, as distinct patterns with their numbers."""
     rows = fx.line_cells(s, d)
@@ -274,6 +279,13 @@ def set_gather(s, d):
     return _round(sets.gather(_supplied(s, d), weights), "weight", digits=2)
 
 
+def set_gather_parts(s, d):
+    """The weights of what a supplier's parts and the next one's have in common, and of what only one of them has."""
+    weights = fx.table(s, d, "part").select(F.col("p_partkey").alias("member"), F.col("p_retailprice").alias("weight"))
+    own = _supplied(s, d)
+    return _round(sets.gather_parts(own, own.withColumn("set_id", F.col("set_id") - 1), weights), "only_a", "only_b", "both", digits=2)
+
+
 def range_encode(s, d):
     return sets.range_text(_supplied(s, d))
 
@@ -552,11 +564,11 @@ QUERIES = {
     for f in (
         state_counts, state_frequencies, document_state_counts, allele_occurrence, weighted_counts, weighted_frequencies, column_entropy,
         entropy_filter, effective_size, state_presence, state_distribution, snp_filter, snp_filter_loose, subset_columns, include_loci,
-        exclude_loci, combine_loci, loci_difference, numbered_loci, subsample_rows, hamming_distance, fract_identical, similar_pairs, similar_lines,
+        exclude_loci, combine_loci, loci_difference, numbered_loci, subsample_rows, hamming_distance, fract_identical, similar_pairs, similar_days, similar_lines,
         sample_weights, sample_weights_multiplicity, sample_weights_truncated, sample_weights_rescaled, pair_diagnostics, fuse_duplicates,
         crosstable_pair, crosstable_tile, crosstable_pseudocount, block_intersection_weights, gauge_zero_sum, block_dictionary, block_indices,
         block_statistics, freq_histogram, hist_moments, hist_moments_compat, hist_cumulative, set_intersection, set_union, set_differences,
-        set_split, set_overlap, set_union_all, set_gather, range_encode, rle_encode, rle_decode, graph_build, graph_sort, graph_nodes,
+        set_split, set_overlap, set_union_all, set_gather, set_gather_parts, range_encode, rle_encode, rle_decode, graph_build, graph_sort, graph_nodes,
         graph_union, graph_output, genome_distance, distance_linear, distance_circular, vector_arith, vector_distance, xlogx_family,
         mask_ops, integer_power, char_to_state, state_to_char, merged_states, block_helpers, phandango_pivot, distance_triangle_text,
         fasta_lines, frequency_lines, fasta_roundtrip, loci_list_roundtrip, value_list_roundtrip, loci_texts, interval_fusion,

@@ -103,6 +103,7 @@ ORACLE_SQL = {
     "hamming_distance": f"WITH {EMB}, {pairs(REAL)} SELECT i, j, (shorter - same)::INTEGER AS distance FROM idents",
     "fract_identical": f"WITH {EVT}, {pairs(REAL)} SELECT i, j, round(CASE WHEN shorter = 0 THEN 0 ELSE same::DOUBLE / shorter END, 6) AS identity FROM idents",
     "similar_pairs": f"WITH {EMB}, {pairs(REAL)} SELECT i, j, same::INTEGER AS same, shorter::INTEGER AS shorter FROM near",
+    "similar_days": f"WITH {EVT}, {pairs('same >= 0.9::DOUBLE * shorter')} SELECT i, j, same::INTEGER AS same, shorter::INTEGER AS shorter FROM near",
     "similar_lines": f"""WITH {LINE}, seq AS (SELECT sample_id, string_agg(state::VARCHAR, '' ORDER BY locus) AS s FROM cells GROUP BY 1), p AS (SELECT DISTINCT s FROM seq),
 q AS (SELECT a.s AS first, b.s AS second, (SELECT count(*) FROM range(1, 6) t(k) WHERE substr(a.s, k::INT, 1) = substr(b.s, k::INT, 1)) AS same FROM p a JOIN p b ON a.s < b.s) SELECT first, second, same::INTEGER AS same FROM q WHERE same >= 4""",
     "sample_weights": f"WITH {EMB}, {pairs(REAL)}, w AS ({ONES}) SELECT sample_id, round(weight, 6) AS weight FROM w",
@@ -137,6 +138,8 @@ SELECT sum(n)::BIGINT AS words, min(n) AS least, (sum(n) // count(*))::BIGINT AS
 f AS (SELECT set_id, min(member) AS m FROM y GROUP BY 1) SELECT set_id, k > 0 AS overlap, k::INTEGER AS size, EXISTS (SELECT 1 FROM x WHERE x.set_id = n.set_id AND x.member = f.m) AS has_first, eq AS equal FROM n JOIN f USING (set_id)""",
     "set_union_all": f"WITH {SUPPLIED} SELECT DISTINCT s_nationkey AS nation, member FROM supplied JOIN supplier ON set_id = s_suppkey",
     "set_gather": f"WITH {SUPPLIED} SELECT set_id, round(sum(p_retailprice), 2) AS weight FROM supplied JOIN part ON member = p_partkey GROUP BY 1",
+    "set_gather_parts": f"""WITH {SUPPLIED}, p AS (SELECT set_id, p_retailprice AS w, a, b FROM (SELECT set_id, member, 1 AS a FROM x) FULL JOIN (SELECT set_id, member, 1 AS b FROM y) USING (set_id, member) JOIN part ON member = p_partkey)
+SELECT set_id, round(coalesce(sum(w) FILTER (b IS NULL), 0), 2)::DOUBLE AS only_a, round(coalesce(sum(w) FILTER (a IS NULL), 0), 2)::DOUBLE AS only_b, round(coalesce(sum(w) FILTER (a = 1 AND b = 1), 0), 2)::DOUBLE AS both FROM p GROUP BY 1""",
     "range_encode": f"""WITH {SUPPLIED}, g AS (SELECT set_id, min(member) AS a, max(member) AS b FROM (SELECT *, member - row_number() OVER (PARTITION BY set_id ORDER BY member) AS run FROM supplied) GROUP BY set_id, run)
 SELECT set_id, string_agg(lower(CASE WHEN a = b THEN to_hex(a) ELSE to_hex(a) || '-' || to_hex(b) END), ',' ORDER BY a) AS text FROM g GROUP BY 1""",
     "rle_encode": f"WITH {RUNS} SELECT user_id, run::BIGINT AS run, event_type, count(*) AS count FROM runs GROUP BY 1, 2, 3",

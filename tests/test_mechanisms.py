@@ -107,6 +107,32 @@ def test_long_alignment_has_a_plan_of_fixed_width(spark):
     assert len(pairs.packed(cells, 10**6).columns) == len(pairs.packed(cells, 10**7).columns) == 3 + 4 * 32
 
 
+def test_common_segments_are_cut_into_blocks(spark, monkeypatch):
+    """All samples share most segments, and each key's rows meet in blocks of four."""
+    monkeypatch.setattr(pairs, "BLOCK_SAMPLES", 4)
+    r, rows = random.Random(4), []
+    for _ in range(40):
+        row = list("acgt" * 8)
+        for _ in range(r.randint(0, 5)):
+            row[r.randrange(32)] = r.choice("acgt")
+        rows.append("".join(row))
+    want = []
+    for i in range(40):
+        for j in range(i):
+            same = sum(a == b for a, b in zip(rows[i], rows[j], strict=True))
+            if same >= 0.9 * 32:
+                want.append((i, j, same, 32))
+    assert values(pairs.similar_pairs(cells_of(spark, rows), 32, 0.9), "i", "j", "same", "shorter") == want
+
+
+def test_histogram_lines(spark):
+    from allelix.operators import histogram
+
+    bins = histogram.histogram(spark.createDataFrame([(x,) for x in (0.1, 0.12, 0.3, 0.3)], "x double"), "x", 0.1)
+    shown = {x["bin"]: x["line"] for x in histogram.csv_lines(bins, 0.1).collect()}
+    assert shown == {1: "0.110 2.000 0.000 11.000 0.050", 3: "0.300 2.000 0.000 0.000 0.050"}
+
+
 def test_identical_samples_are_not_paired(spark):
     rows = ["acgt" * 5] * 30 + ["acgt" * 4 + "aaaa"] * 20 + ["tttt" * 5]
     cells = cells_of(spark, rows)
