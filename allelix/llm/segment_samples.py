@@ -3,7 +3,8 @@
 A text's lattice has an edge for every piece of the vocabulary that fits; characters without a piece fall back to
 bytes. No piece crosses the cells ``white space + word`` or a line end, so the lattice is a chain of the cells' lattices
 (a word of any length is one cell), which are built once for each different cell of a batch (rolling hashes find the pieces, sums from the end give the mass
-behind each node). A segmentation's probability is the product of its pieces' weights over the lattice's total.
+behind each node; blocks of a long cell go side by side, once for each node that a piece may reach behind the block, then
+with the masses that these give). A segmentation's probability is the product of its pieces' weights over the lattice's total.
 
 Samples come by a perturbed A-star search. The whole lattice has a Gumbel value; the best segmentation is drawn by
 going along edges with their probabilities. What is left is the set of segmentations that leave this path by another
@@ -40,7 +41,10 @@ SCHEMA = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob doubl
 CELL = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Bytes of text whose lattices, paths and ids a task holds at once; a longer text stands alone.
 SLICE_BYTES = 100_000
+#: Cells of more characters are summed in blocks of as many, side by side, and every node of them draws its edge at once.
+BLOCK = 512
 BASE = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0xD1B54A32D192ED03)
 
 
 class Vocabulary:
@@ -136,9 +140,11 @@ class Lattices:
         code = np.frombuffer("\0".join([*cells, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         left = np.repeat(self.first + sizes, sizes + 1) - np.arange(n)
         self.columns, self.lengths = columns, np.array([t[0] for t in words.tables])
-        # Rows stand in order of the distance to the cell's end, as they are summed; row[node] is a node's row.
-        order = np.argsort(left.astype(np.int32), kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
+        # Rows stand in order of the distance to the cell's or block's end, as they are summed; row[node] is a node's row.
+        long = np.flatnonzero(sizes > BLOCK)
+        level = np.where((left > 0) & np.repeat(sizes > BLOCK, sizes + 1), (left - 1) % BLOCK + 1, left) if len(long) else left
+        order = np.argsort(level.astype(np.int32), kind="stable")
+        bounds = np.searchsorted(level[order], np.arange(int(level.max()) + 2))
         row = np.empty(n, np.int64)
         row[order] = np.arange(n)
         piece, value = np.full((n, columns), -1, np.int32), np.full((n, columns), -np.inf)
@@ -162,12 +168,14 @@ class Lattices:
         points = code[order[inner]].astype(np.int64)
         piece[inner, 0] = points + words.size
         value[inner, 0] = words.byte_weight * (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
-        behind = np.zeros(n)
+        behind = np.zeros(n + int(self.lengths[-1]))
+        for cell in long.tolist():
+            self._between(self.first[cell] + sizes[cell], int(sizes[cell]), value, row, behind)
         self.sums = np.full((n, -(-columns // 8) * 8), 2.0, np.float32)
         for far in range(1, len(bounds) - 1):
             part = slice(bounds[far], bounds[far + 1])
             at = order[part]
-            c = int(np.searchsorted(self.lengths, far, "right"))  # no longer piece fits
+            c = columns if len(long) and far <= BLOCK else int(np.searchsorted(self.lengths, far, "right"))  # no longer piece fits
             own = value[part, :c]
             if len(at) < 64:  # far into long cells
                 own += behind[at[:, None] + self.lengths[:c]]
@@ -182,10 +190,32 @@ class Lattices:
             own -= np.log(total)[:, None]
             sums /= total[:, None]
             self.sums[part, :c] = sums
-        self.row, self.node, self.by_row, self.log, self.piece = row, order, value, value.ravel(), piece.ravel()
+        self.left, self.row, self.node, self.by_row, self.log, self.piece = left, row, order, value, value.ravel(), piece.ravel()
         self.final = columns - 1 - (piece[:, ::-1] >= 0).argmax(axis=1)
         self.cells_end = bounds[1]  # rows before it are cells' ends
 
+    def _between(self, end: int, size: int, value: np.ndarray, row: np.ndarray, behind: np.ndarray, at_once: int = 256) -> None:
+        """Fills in the mass behind the last nodes of each block (seen from the cell's end) but the last one.
+
+        Each block is summed for each of the nodes behind it as if that alone had mass; these sums are then put together
+        block by block.
+        """
+        reach = int(self.lengths[-1])
+        edge, blocks = np.full(reach, -np.inf), (size - 1) // BLOCK
+        edge[0] = 0.0
+        for some in np.array_split(np.arange(blocks), -(-blocks // at_once)):
+            near = np.full((len(some), reach, reach), -np.inf)  # block, characters back less one, node behind the block
+            near[:, np.arange(reach), np.arange(reach)] = 0.0
+            for t in range(1, BLOCK + 1):
+                own = value[row[end - some * BLOCK - t]][:, :, None] + near[:, self.lengths - 1]
+                new = log_sum(own)
+                near[:, 1:] = near[:, :-1].copy()
+                near[:, 0] = new
+            for block, one in zip(some.tolist(), near, strict=True):
+                edge = log_sum((one + edge).T[None])[0]
+                start = end - (block + 1) * BLOCK
+                behind[start : min(start + reach, end)] = edge[: end - start]
+
     def end(self, edges: np.ndarray) -> np.ndarray:
         """The node that each edge leads to."""
         return self.node[edges // self.columns] + self.lengths[edges % self.columns]
@@ -194,6 +224,12 @@ class Lattices:
         """Random edges from each node to its cell's end: the edges in order, and the place of each one's node."""
         who, at = np.arange(len(nodes)), nodes.copy()
         taken, whose, step = [], [], 0
+        far = self.left[at] > BLOCK
+        for i in np.flatnonzero(far).tolist():
+            taken.append(self._far_walk(int(at[i]), seeds[i]))
+            whose.append(np.full(len(taken[-1]), i))
+        if taken:
+            who, at = who[~far], at[~far]
         while True:
             row = self.row[at]
             live = row >= self.cells_end
@@ -201,8 +237,7 @@ class Lattices:
                 who, at, row = who[live], at[live], row[live]
             if not len(at):
                 break
-            passed = (self.sums[row] <= uniform(seeds[who], step).astype(np.float32)[:, None]).view(np.uint64)  # eight truths in a word
-            column = np.minimum(np.bitwise_count(passed).sum(axis=1, dtype=np.int64), self.final[row])
+            column = self._column(row, uniform(seeds[who], step))
             taken.append(row * self.columns + column)
             whose.append(who)
             at = at + self.lengths[column]
@@ -213,10 +248,35 @@ class Lattices:
         order = np.argsort(whose, kind="stable")
         return np.concatenate(taken)[order], whose[order]
 
+    def _column(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The column of each row that its number from 0 to 1 falls on."""
+        passed = (self.sums[row] <= u.astype(np.float32)[:, None]).view(np.uint64)  # eight truths in a word
+        return np.minimum(np.bitwise_count(passed).sum(axis=1, dtype=np.int64), self.final[row])
+
+    def _far_walk(self, start: int, seed: np.uint64, at_once: int = 1 << 16) -> np.ndarray:
+        """The edges of a walk from a node far from its cell's end: every node draws an edge, the walk goes along them."""
+        stop, columns = start + int(self.left[start]), []
+        for a in range(start, stop, at_once):
+            b = min(a + at_once, stop)
+            columns.append(self._column(self.row[a:b], uniform(seed + self.left[a:b].astype(np.uint64) * STEP, 0)))
+        column = np.concatenate(columns)
+        hops, at, path = self.lengths[column].tolist(), 0, []
+        while at < len(hops):
+            path.append(at)
+            at += hops[at]
+        return self.row[start + np.array(path)] * self.columns + column[path]
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over the middle axis, of numbers given by their logarithms."""
+    top = np.maximum(x.max(axis=1), -1e300)
+    with np.errstate(divide="ignore"):
+        return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
 
 def uniform(seeds: np.ndarray, step: int) -> np.ndarray:
     """Numbers from 0 to below 1, by a hash of mixed seeds and a step."""
-    x = seeds + np.uint64((step + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+    x = seeds + np.uint64((step + 1) * int(STEP) & 0xFFFFFFFFFFFFFFFF)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)

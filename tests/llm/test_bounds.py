@@ -9,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from allelix.llm import decontaminate, language_id, line_chunks
-from allelix.llm.queries import op7_jaccard_tiles
+from allelix.llm import decontaminate, language_id, line_chunks, segment_samples
+from allelix.llm.queries import op7_jaccard_tiles, tokenizer_path
 from allelix.llm.sql import OP7
 from tests.llm.conftest import SF
 
@@ -112,3 +112,18 @@ def test_calls_beside_each_other(spark):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = sorted(duck.execute(OP7).fetchall())
     assert got == dict.fromkeys(range(3), want)
+
+
+def test_one_very_long_word_is_segmented_in_blocks():
+    """A word of 100,000 characters: distinct samples that spell it, in the time of a few microseconds a character."""
+    draw = np.random.default_rng(2)
+    text = "".join(map(chr, draw.choice([*range(97, 123), 0x4E00, 0x1F600], 100_000)))
+    words = segment_samples.Vocabulary.at(tokenizer_path("piece_bpe_32k.model"), 1.0)
+    segment_samples.samples(pa.array(["a word"]), np.array([1], np.uint64), words, 3)
+    began = time.perf_counter()
+    paths, threshold, lattice = segment_samples.samples(pa.array([text]), np.array([1], np.uint64), words, 3)[0]
+    assert time.perf_counter() - began < 5
+    for p in paths:
+        ids = words.expand(lattice.piece[p.edges]).tolist()
+        assert words.decode(ids).decode() == text
+    assert len({p.edges.tobytes() for p in paths}) == 3 and paths[0].value >= paths[1].value >= paths[2].value >= threshold

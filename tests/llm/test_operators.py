@@ -151,7 +151,9 @@ def test_languages(spark, odd, none):
 # ---- 5 segmentations
 
 
-def test_samples_follow_the_lattice():
+@pytest.mark.parametrize("block", [512, 3])
+def test_samples_follow_the_lattice(block, monkeypatch):
+    monkeypatch.setattr(segment_samples, "BLOCK", block)
     path = queries.tokenizer_path("piece_bpe_32k.model")
     words = segment_samples.Vocabulary.at(path, 1.0)
     pieces = {b.decode().replace(" ", segment_samples.MARK): i for i, b in enumerate(words.bytes) if i > 258}
