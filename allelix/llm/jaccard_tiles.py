@@ -325,10 +325,30 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], label: np.ndarray, percen
     return links
 
 
-def with_ends(rows: DataFrame, value: str) -> DataFrame:
-    """rows (key, ...) with the least and the greatest value of their key as low and high."""
-    meet = Window.partitionBy("key")
-    return rows.withColumn("low", F.min(value).over(meet)).withColumn("high", F.max(value).over(meet))
+def hot_keys(keyed: DataFrame, join: Join) -> DataFrame | None:
+    """hot: keys that a bounded sample of sets shows to be held by very many (None: no such); only the speed depends on them."""
+    n = keyed.count()
+    share = F.pmod(F.xxhash64(F.lit(43), "doc_id", "sig"), F.lit(1_000_003)) / 1_000_003
+    sample = keyed.where((share < min(1.0, join.sample_docs / max(n, 1))) & (F.col("n_shingles") < 10_000))
+    least = max(20, int(min(n, join.sample_docs) * join.common_percent / 100))
+    found = sample.select(F.explode("keys").alias("hot")).groupBy("hot").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hot").toArrow()
+    return keyed.sparkSession.createDataFrame(found) if found.num_rows else None
+
+
+def with_ends(rows: DataFrame, value: str, hot: DataFrame | None, salts: int = 64) -> DataFrame:
+    """rows (key, sig, ...) with the least and the greatest value of their key as low and high.
+
+    A hot key's rows are spread over salts by sig; its ends come from a partial aggregate of its rows alone.
+    """
+    if hot is None:
+        meet = Window.partitionBy("key")
+        return rows.withColumn("low", F.min(value).over(meet)).withColumn("high", F.max(value).over(meet))
+    hot = F.broadcast(hot)
+    ends = rows.join(hot, F.col("key") == F.col("hot"), "left_semi").groupBy(F.col("key").alias("hot")).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+    told = rows.join(F.broadcast(ends), F.col("key") == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("sig"), F.lit(salts))))
+    meet = Window.partitionBy("key", "salt")
+    low, high = F.coalesce("least", F.min(value).over(meet)), F.coalesce("most", F.max(value).over(meet))
+    return told.withColumn("low", low).withColumn("high", high).drop("hot", "least", "most", "salt")
 
 
 def candidate_groups(keyed: DataFrame, join: Join, own: Folders) -> DataFrame:
@@ -339,7 +359,8 @@ def candidate_groups(keyed: DataFrame, join: Join, own: Folders) -> DataFrame:
     """
     some = keyed.where(F.size("keys") > 0)
     each = some.select(F.explode("keys").alias("key"), "sig")
-    members = own.stored(with_ends(each, "sig").where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
+    hot = hot_keys(some, join)
+    members = own.stored(with_ends(each, "sig", hot).where("low <> high").select("key", "sig", F.col("low").alias("centre")), "members")
     signs = own.stored(some.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "signatures")
     one, two = signs.toDF("a", "n", "bits"), signs.toDF("b", "m", "more")
     stars = members.where("sig <> centre").select(F.col("centre").alias("a"), F.col("sig").alias("b")).distinct().join(one, "a").join(two, "b")
@@ -357,7 +378,7 @@ def candidate_groups(keyed: DataFrame, join: Join, own: Folders) -> DataFrame:
     first = joined_groups(near, own)
     label = F.coalesce("root", "sig")
     labelled = members.select("key", "sig").join(first, members["sig"] == first["node"], "left").select("key", "sig", label.alias("label"))
-    mixed = with_ends(labelled, "label").where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
+    mixed = with_ends(labelled, "label", hot).where("low <> high").select(F.col("key").alias("root"), "sig", "label").distinct()
     open_ = own.stored(mixed.join(signs, "sig").select("sig", "root", "label", "n", "bits", (F.octet_length("bits") / 8).cast("long").alias("volume")), "open-keys")
 
     def compare(tile: pa.Table) -> pa.Table:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from allelix.llm import decontaminate, language_id, line_chunks, segment_samples
+from allelix.llm import decontaminate, jaccard_tiles, language_id, line_chunks, segment_samples
 from allelix.llm.queries import op7_jaccard_tiles, tokenizer_path
 from allelix.llm.sql import OP7
 from tests.llm.conftest import SF
@@ -127,3 +127,17 @@ def test_one_very_long_word_is_segmented_in_blocks():
         ids = words.expand(lattice.piece[p.edges]).tolist()
         assert words.decode(ids).decode() == text
     assert len({p.edges.tobytes() for p in paths}) == 3 and paths[0].value >= paths[1].value >= paths[2].value >= threshold
+
+
+def test_hot_keys_are_spread_with_the_same_ends(spark):
+    """Salted ends of a key that a third of the sets hold are those of a window by key; its rows lie in many tasks."""
+    sets = spark.range(6000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("sig"), F.lit(50).cast("long").alias("n_shingles"), F.when(F.col("id") % 3 == 0, F.array(F.lit(7).cast("long"), F.col("id") % 500 + 10)).otherwise(F.array(F.col("id") + 1000)).alias("keys"))
+    hot = jaccard_tiles.hot_keys(sets, jaccard_tiles.Join())
+    assert [r["hot"] for r in hot.collect()] == [7] and jaccard_tiles.hot_keys(sets.where("doc_id % 3 > 0"), jaccard_tiles.Join()) is None
+    rows = sets.select(F.explode("keys").alias("key"), "sig", (F.col("doc_id") % 11).alias("label"))
+    for value in ("sig", "label"):
+        spread = jaccard_tiles.with_ends(rows, value, hot)
+        plain = jaccard_tiles.with_ends(rows, value, None)
+        assert spread.columns == plain.columns
+        assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, plain.collect()))
+    assert spread.where("key = 7").select(F.spark_partition_id()).distinct().count() > 1
