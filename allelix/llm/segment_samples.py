@@ -84,36 +84,44 @@ class Vocabulary:
         if any(re.search(f"[^{MARK}]{MARK}|\n", pieces[i]) for i in plain):
             raise ValueError("the vocabulary has pieces across words")
         self.singles = {pieces[i] for i in plain if len(pieces[i]) == 1}
-        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = []
         for length in sorted({len(pieces[i]) for i in plain}):
             own = np.array([i for i in plain if len(pieces[i]) == length])
             key = np.zeros(len(own), np.uint64)
             codes = np.array([[ord(c) for c in pieces[i]] for i in own], np.uint64)
             for j in range(length):
                 key = key * BASE + mix(codes[:, j])
-            order = np.argsort(key)
-            some = np.zeros(1 << 16, bool)
-            some[key * BASE >> np.uint64(48)] = True
+            order = np.argsort(key * BASE)  # pieces of one slot stand together
+            many = np.bincount(key * BASE >> np.uint64(48), minlength=1 << 16)
+            some, head = many > 0, np.cumsum(many) - many
             longer = np.array([[ord(c) for c in p] for p in {pieces[i][:length] for i in plain if len(pieces[i]) > length}], np.uint64).reshape(-1, length)
             start = np.zeros(len(longer), np.uint64)
             for j in range(length):
                 start = start * BASE + mix(longer[:, j])
             begun = np.zeros(1 << 16, bool)  # beginnings of longer pieces
             begun[start * BASE >> np.uint64(48)] = True
-            self.tables.append((length, key[order], own[order], some, begun))
+            self.tables.append((length, key[order], own[order], some, begun, head, int(many.max())))
         self.single_codes = np.sort(np.array([ord(c) for c in self.singles]))
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
         """Ids with fallback characters (size + code point) spelt in bytes."""
+        return self.expand_many(ids, np.array([0, len(ids)]))[0]
+
+    def expand_many(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """expand() of the stretches of ids between bounds, and their new bounds."""
         odd = np.flatnonzero(ids >= self.size)
         if not len(odd):
-            return ids
-        out, done = [], 0
-        for k in odd.tolist():
-            spelt = [self.byte_ids.get(b, self.unknown) for b in chr(int(ids[k]) - self.size).encode("utf-8", "surrogatepass")]
-            out += [ids[done:k], np.array(spelt, ids.dtype)]
-            done = k + 1
-        return np.concatenate([*out, ids[done:]])
+            return ids, bounds
+        points, which = np.unique(ids[odd] - self.size, return_inverse=True)
+        spelt = [[self.byte_ids.get(b, self.unknown) for b in chr(c).encode("utf-8", "surrogatepass")] for c in points.tolist()]
+        flat, width = np.array([i for x in spelt for i in x], ids.dtype), np.array(list(map(len, spelt)))
+        size = np.ones(len(ids), np.int64)
+        size[odd] = width[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(ids, size)
+        within = np.arange(int(size[odd].sum())) - np.repeat(np.cumsum(size[odd]) - size[odd], size[odd])
+        out[np.repeat(ends[odd], size[odd]) + within] = flat[np.repeat((np.cumsum(width) - width)[which], size[odd]) + within]
+        return out, ends[bounds]
 
     def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """decode() of each stretch of ids between bounds."""
@@ -130,7 +138,8 @@ class Vocabulary:
 
 class Lattices:
     """Lattices of different cells: a node for each character and each cell's end, and at each node a column for each
-    length of piece. An edge is row * columns + column.
+    length of piece. Arrays stand column by column, so that sums over a node's edges are sums of columns; an edge is
+    column * rows + row.
     """
 
     def __init__(self, cells: list[str], words: Vocabulary):
@@ -139,59 +148,74 @@ class Lattices:
         n, columns = int(sizes.sum() + len(cells)), len(words.tables)
         code = np.frombuffer("\0".join([*cells, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         left = np.repeat(self.first + sizes, sizes + 1) - np.arange(n)
-        self.columns, self.lengths = columns, np.array([t[0] for t in words.tables])
+        self.rows, self.lengths = n, np.array([t[0] for t in words.tables])
         # Rows stand in order of the distance to the cell's or block's end, as they are summed; row[node] is a node's row.
         long = np.flatnonzero(sizes > BLOCK)
         level = np.where((left > 0) & np.repeat(sizes > BLOCK, sizes + 1), (left - 1) % BLOCK + 1, left) if len(long) else left
-        order = np.argsort(level.astype(np.int32), kind="stable")
-        bounds = np.searchsorted(level[order], np.arange(int(level.max()) + 2))
+        order = np.argsort(level.astype(np.int16 if BLOCK < 1 << 15 else np.int64), kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(level))])
         row = np.empty(n, np.int64)
         row[order] = np.arange(n)
-        piece, value = np.full((n, columns), -1, np.int32), np.full((n, columns), -np.inf)
-        hashed, rolled, done = mix(code), np.zeros(n, np.uint64), 0
+        piece, value, final = np.full((columns, n), -1, np.int32), np.full((columns, n), -np.inf), np.zeros(n, np.int8)
+        hashed = mix(code)
         fits = np.flatnonzero(left > 0)
-        for column, (length, keys, own, some, begun) in enumerate(words.tables):
+        key, done = np.zeros(len(fits), np.uint64), 0
+        for column, (length, keys, own, some, begun, head, most) in enumerate(words.tables):
+            enough = np.flatnonzero(left.take(fits) >= length)
+            fits, key = fits.take(enough), key.take(enough)
             while done < length:
-                rolled[: max(0, n - done)] = rolled[: max(0, n - done)] * BASE + hashed[done:]
+                key = key * BASE + hashed.take(fits + done)
                 done += 1
-            fits = fits[left[fits] >= length]
-            key = rolled[fits]
-            slot = key * BASE >> np.uint64(48)
-            maybe, on = some[slot], begun[slot]
-            at, key, fits = fits[maybe], key[maybe], fits[on]
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[place] == key
-            at, place = row[at[hit]], own[place[hit]]
-            piece[at, column] = place
-            value[at, column] = words.weight[place]
-        inner = bounds[1] + np.flatnonzero(piece[bounds[1] :, 0] < 0)  # no piece of this one character
+            slot = (key * BASE >> np.uint64(48)).astype(np.int64)
+            maybe = np.flatnonzero(some.take(slot))
+            wanted = key.take(maybe)
+            place = head.take(slot.take(maybe))
+            hit = keys.take(place) == wanted
+            for _ in range(1, most):
+                rest = np.flatnonzero(~hit)
+                place[rest] = np.minimum(place[rest] + 1, len(keys) - 1)
+                hit[rest] = keys[place[rest]] == wanted[rest]
+            hit = np.flatnonzero(hit)
+            at, place = row.take(fits.take(maybe.take(hit))), own.take(place.take(hit))
+            piece[column, at] = place
+            value[column, at] = words.weight.take(place)
+            final[at] = column
+            on = np.flatnonzero(begun.take(slot))
+            fits, key = fits.take(on), key.take(on)
+        inner = bounds[1] + np.flatnonzero(piece[0, bounds[1] :] < 0)  # no piece of this one character
         points = code[order[inner]].astype(np.int64)
-        piece[inner, 0] = points + words.size
-        value[inner, 0] = words.byte_weight * (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+        piece[0, inner] = points + words.size
+        value[0, inner] = words.byte_weight * (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
         behind = np.zeros(n + int(self.lengths[-1]))
         for cell in long.tolist():
             self._between(self.first[cell] + sizes[cell], int(sizes[cell]), value, row, behind)
-        self.sums = np.full((n, -(-columns // 8) * 8), 2.0, np.float32)
+        # A node's sums up to each column but its last one, then numbers that no draw passes; eight columns an array.
+        self.sums = [np.full((n, 8), 2.0, np.float32) for _ in range(0, columns, 8)]
         for far in range(1, len(bounds) - 1):
             part = slice(bounds[far], bounds[far + 1])
             at = order[part]
+            if not len(at):
+                continue
             c = columns if len(long) and far <= BLOCK else int(np.searchsorted(self.lengths, far, "right"))  # no longer piece fits
-            own = value[part, :c]
+            own = value[:c, part]
             if len(at) < 64:  # far into long cells
-                own += behind[at[:, None] + self.lengths[:c]]
+                own += behind[at + self.lengths[:c, None]]
             else:
                 for k in range(c):
-                    own[:, k] += behind[at + self.lengths[k]]
-            top = own.max(axis=1)
-            own -= top[:, None]
-            sums = np.cumsum(np.exp(own), axis=1)
-            total = sums[:, -1].copy()
-            behind[at] = top + np.log(total)
-            own -= np.log(total)[:, None]
-            sums /= total[:, None]
-            self.sums[part, :c] = sums
-        self.left, self.row, self.node, self.by_row, self.log, self.piece = left, row, order, value, value.ravel(), piece.ravel()
-        self.final = columns - 1 - (piece[:, ::-1] >= 0).argmax(axis=1)
+                    own[k] += behind.take(at + self.lengths[k])
+            top = own.max(axis=0)
+            own -= top
+            sums = np.exp(own)
+            for k in range(1, c):
+                sums[k] += sums[k - 1]
+            total = np.log(sums[-1])
+            behind[at] = top + total
+            own -= total
+            sums /= sums[-1].copy()
+            sums[np.arange(c, dtype=np.int8)[:, None] >= final[part]] = 2.0
+            for k in range(0, c, 8):
+                self.sums[k // 8][part, : c - k] = sums[k : k + 8].T
+        self.left, self.row, self.node, self.by_column, self.log, self.piece = left, row, order, value, value.ravel(), piece.ravel()
         self.cells_end = bounds[1]  # rows before it are cells' ends
 
     def _between(self, end: int, size: int, value: np.ndarray, row: np.ndarray, behind: np.ndarray, at_once: int = 256) -> None:
@@ -207,7 +231,7 @@ class Lattices:
             near = np.full((len(some), reach, reach), -np.inf)  # block, characters back less one, node behind the block
             near[:, np.arange(reach), np.arange(reach)] = 0.0
             for t in range(1, BLOCK + 1):
-                own = value[row[end - some * BLOCK - t]][:, :, None] + near[:, self.lengths - 1]
+                own = value.T[row[end - some * BLOCK - t]][:, :, None] + near[:, self.lengths - 1]
                 new = log_sum(own)
                 near[:, 1:] = near[:, :-1].copy()
                 near[:, 0] = new
@@ -218,7 +242,7 @@ class Lattices:
 
     def end(self, edges: np.ndarray) -> np.ndarray:
         """The node that each edge leads to."""
-        return self.node[edges // self.columns] + self.lengths[edges % self.columns]
+        return self.node[edges % self.rows] + self.lengths[edges // self.rows]
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random edges from each node to its cell's end: the edges in order, and the place of each one's node."""
@@ -231,27 +255,37 @@ class Lattices:
         if taken:
             who, at = who[~far], at[~far]
         while True:
-            row = self.row[at]
-            live = row >= self.cells_end
-            if not live.all():
-                who, at, row = who[live], at[live], row[live]
+            row = self.row.take(at)
+            live = np.flatnonzero(row >= self.cells_end)
+            if len(live) < len(at):
+                who, at, row = who.take(live), at.take(live), row.take(live)
             if not len(at):
                 break
-            column = self._column(row, uniform(seeds[who], step))
-            taken.append(row * self.columns + column)
+            column = self._column(row, uniform(seeds.take(who), step))
+            taken.append(column * self.rows + row)
             whose.append(who)
-            at = at + self.lengths[column]
+            at = at + self.lengths.take(column)
             step += 1
         if not taken:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         whose = np.concatenate(whose)
-        order = np.argsort(whose, kind="stable")
-        return np.concatenate(taken)[order], whose[order]
+        order = np.argsort(whose.astype(np.uint16) if len(nodes) < 1 << 16 else whose, kind="stable")  # short numbers sort in linear time
+        return np.concatenate(taken).take(order), whose.take(order)
 
     def _column(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The column of each row that its number from 0 to 1 falls on."""
-        passed = (self.sums[row] <= u.astype(np.float32)[:, None]).view(np.uint64)  # eight truths in a word
-        return np.minimum(np.bitwise_count(passed).sum(axis=1, dtype=np.int64), self.final[row])
+        u = u.astype(np.float32)
+        found = self._passed(0, row, u)
+        for k in range(1, len(self.sums)):
+            on = np.flatnonzero(found == 8 * k)  # few: sums of most nodes end before
+            if not len(on):
+                break
+            found[on] += self._passed(k, row[on], u[on])
+        return found
+
+    def _passed(self, k: int, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """How many of eight sums each number has reached."""
+        return np.bitwise_count((self.sums[k].take(row, axis=0) <= u[:, None]).view(np.uint64).ravel()).astype(np.int64)  # eight truths in a word
 
     def _far_walk(self, start: int, seed: np.uint64, at_once: int = 1 << 16) -> np.ndarray:
         """The edges of a walk from a node far from its cell's end: every node draws an edge, the walk goes along them."""
@@ -264,7 +298,7 @@ class Lattices:
         while at < len(hops):
             path.append(at)
             at += hops[at]
-        return self.row[start + np.array(path)] * self.columns + column[path]
+        return column[path] * self.rows + self.row[start + np.array(path)]
 
 
 def log_sum(x: np.ndarray) -> np.ndarray:
@@ -319,7 +353,7 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         order = np.argsort(row, kind="stable")
         row, cells = row[order], cells.take(pa.array(order))
     coded = cells.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), np.searchsorted(row, np.arange(n + 1))
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.searchsorted(row, np.arange(n + 1))
 
 
 class Path:
@@ -331,15 +365,28 @@ class Path:
     def __init__(self, lattices: Lattices, edges: np.ndarray, cell: np.ndarray, log_prob: float, value: float, since: int, base: float):
         self.lattices, self.edges, self.cell, self.log_prob, self.value, self.since, self.base = lattices, edges, cell, log_prob, value, since, base
         self.out: dict[int, list[int]] = {}  # columns taken from the set at a step
-        self.best = -math.inf
-        size, done, before, mass = 48, since, 0.0, []
-        while done < len(edges) and before > -50:
-            part = edges[done : done + size]
-            log = lattices.log[part]
-            sums = before + np.cumsum(log)
-            mass.append(np.exp(sums - log) * -np.expm1(log))  # a node's only edge has log 0, and so no mass
-            before, done, size = float(sums[-1]), done + len(part), 2 * size
-        self.mass = np.concatenate(mass) if mass else np.empty(0)
+        self.best, self.mass = -math.inf, np.empty(0)
+
+    @staticmethod
+    def weigh(paths: list[Path]) -> None:
+        """Finds the mass of all paths of one batch side by side, 48 steps first and then twice as many each time."""
+        live = [(p, p.since, 0.0) for p in paths if p.since < len(p.edges)]
+        size, mass = 48, {id(p): [] for p in paths}
+        while live:
+            parts = [p.edges[done : done + size] for p, done, _ in live]
+            many = np.fromiter(map(len, parts), np.int64, len(parts))
+            log = np.zeros((len(parts), size))
+            log[np.arange(size) < many[:, None]] = live[0][0].lattices.log[np.concatenate(parts)]
+            sums = np.array([before for _, _, before in live])[:, None] + np.cumsum(log, axis=1)
+            own = np.exp(sums - log) * -np.expm1(log)  # a node's only edge has log 0, and so no mass
+            for (p, _, _), row, n in zip(live, own, many.tolist(), strict=True):
+                mass[id(p)].append(row[:n].copy())
+            ends = sums[:, -1].tolist()
+            live = [(p, done + size, end) for (p, done, _), end in zip(live, ends, strict=True) if done + size < len(p.edges) and end > -50]
+            size *= 2
+        for p in paths:
+            if mass[id(p)]:
+                p.mass = np.concatenate(mass[id(p)])
 
     def draw(self, u: float, top: float) -> None:
         total = float(self.mass.sum()) if len(self.mass) else 0.0
@@ -351,8 +398,8 @@ class Path:
         while self.mass[step] == 0.0:
             step -= 1
         at = self.since + step
-        node, own = divmod(int(self.edges[at]), self.lattices.columns)
-        share = np.exp(self.lattices.by_row[node])
+        own, row = divmod(int(self.edges[at]), self.lattices.rows)
+        share = np.exp(np.ascontiguousarray(self.lattices.by_column[:, row]))
         share[[own, *self.out.get(at, [])]] = 0.0
         column = min(int(np.searchsorted(np.cumsum(share), v * float(share.sum()), "right")), len(share) - 1)
         while share[column] == 0.0:
@@ -361,7 +408,7 @@ class Path:
         before = float(self.lattices.log[self.edges[self.since : at]].sum())
         share[column] = 0.0
         self.mass[step] = math.exp(before) * float(share.sum())
-        return at, node * self.lattices.columns + column, self.base + before
+        return at, column * self.lattices.rows + row, self.base + before
 
 
 def samples(texts: pa.Array, keys: np.ndarray, words: Vocabulary, k: int) -> list[tuple[list[Path], float, Lattices | None]]:
@@ -385,7 +432,9 @@ def samples(texts: pa.Array, keys: np.ndarray, words: Vocabulary, k: int) -> lis
         a, b = ends[d], ends[d + 1]
         value = -math.log(-math.log(max(u[0][d], 1e-300)))
         found.append([Path(lattices, edges[a:b], within[cell[a:b]], float(sums[b] - sums[a]), value, 0, 0.0)])
-        found[d][0].draw(u[1][d], value)
+    Path.weigh([paths[0] for paths in found])
+    for d, (path,) in enumerate(found):
+        path.draw(u[1][d], path.value)
     for sample in range(1, k):
         u, opened = chance(sample), []
         for d in range(n):
@@ -414,8 +463,10 @@ def samples(texts: pa.Array, keys: np.ndarray, words: Vocabulary, k: int) -> lis
             whole = np.concatenate([p.edges[:s], [edge], edges[a:b]])
             base = before + float(lattices.log[edge])
             path = Path(lattices, whole, np.concatenate([p.cell[: s + 1], later[cell[a:b]]]), base + float(sums[b] - sums[a]), value, s + 1, base)
-            path.draw(u[3][d], value)
             found[d].append(path)
+        Path.weigh([found[o[0]][-1] for o in opened])
+        for d, *_ in opened:
+            found[d][-1].draw(u[3][d], found[d][-1].value)
     return [(paths, max(p.best for p in paths), lattices) for paths in found]
 
 
@@ -437,16 +488,20 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, alpha: float
                 for sample, p in enumerate(paths, 1):
                     gap = p.log_prob - threshold
                     inclusion = 0.0 if gap > 700 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))
-                    listed.append(words.expand(lattices.piece[p.edges]) if len(p.edges) else np.empty(0, np.int32))
-                    rows.append((row_id, sample, len(listed[-1]), zlib.crc32(listed[-1].astype("<u4").tobytes()), p.log_prob, p.value, inclusion, want))
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
+                    listed.append(lattices.piece[p.edges] if len(p.edges) else np.empty(0, np.int32))
+                    rows.append((row_id, sample, p.log_prob, p.value, inclusion, want))
+            names = ["doc_id", "sample", "log_prob", "perturbed", "log_inclusion", "round_trip"]
             out = dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
-            bounds, ids = np.concatenate([[0], np.cumsum(out["n_tokens"])]), np.concatenate(listed)
+            ids, bounds = words.expand_many(np.concatenate(listed), np.concatenate([[0], np.cumsum(list(map(len, listed)))]))
+            spelt = ids.astype("<u4")
+            out["n_tokens"] = np.diff(bounds)
+            out["ids_crc32"] = [zlib.crc32(spelt[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             out["round_trip"] = [a == b for a, b in zip(out["round_trip"], words.decode_many(ids, bounds), strict=True)]
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
             kinds = {"doc_id": pa.int64(), "sample": pa.int32(), "round_trip": pa.bool_(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()}
-            return pa.RecordBatch.from_pydict({c: v if c == "ids" else pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()})
+            names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
+            return pa.RecordBatch.from_pydict({c: out[c] if c == "ids" else pa.array(out[c], kinds.get(c, pa.float64())) for c in names})
 
         return work
 
