@@ -23,6 +23,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ class Encoder:
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if len(self.place) > self.most:
             self._clear()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # not scalar by scalar
         row = np.repeat(np.arange(len(count)), count)
         lead = np.ones(len(code), bool)
         line = pc.equal(flat, "\n").to_numpy(zero_copy_only=False)
@@ -153,13 +154,14 @@ class Encoder:
         at = np.zeros((2, len(words)), np.int64)
         new: list[str] = []
         for with_space in (0, 1):
-            for k in np.flatnonzero(used[with_space]):
-                piece = " " + words[k] if with_space else words[k]
-                found = self.place.get(piece)
-                if found is None:
-                    found = self.place[piece] = len(self.place)
-                    new.append(piece)
-                at[with_space, k] = found
+            mine = np.flatnonzero(used[with_space])
+            pieces = [" " + words[k] for k in mine.tolist()] if with_space else [words[k] for k in mine.tolist()]
+            found = list(map(self.place.get, pieces))
+            for j, place in enumerate(found):
+                if place is None:
+                    found[j] = self.place[pieces[j]] = len(self.place)
+                    new.append(pieces[j])
+            at[with_space, mine] = found
         whole = np.flatnonzero(odd)
         rest = [texts[int(k)].as_py() for k in whole]
         self._learn(new)
@@ -185,7 +187,7 @@ class Encoder:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
 
 
 def _write(folder: str, tokenizer: str, end_id: int | None, width: int):
