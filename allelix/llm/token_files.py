@@ -23,7 +23,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +100,12 @@ class Encoder:
     A text is cut before each single space that stands between two characters that are no white space: there the
     byte-level pre-tokenizer starts a new piece whatever stands around, so the pieces' ids joined are the text's ids.
     The same holds around a line end that no white space touches. Each different piece of a Python worker is
-    encoded once; the memory of pieces starts anew beyond ``most``.
+    encoded once, as long as it is remembered: beyond ``most`` pieces, those that came in one batch only since the
+    last time are forgotten, or all if that leaves more than half.
+
+    For the same reason new pieces are encoded as texts of ``together`` pieces each, which costs far less than a
+    text for each piece. The ids of one piece are those whose bytes are its bytes: a byte-level id stands for a
+    fixed number of bytes. Where these do not end where the pieces end, each piece is encoded alone.
     """
 
     held: dict[str, Encoder] = {}
@@ -112,82 +117,147 @@ class Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 700_000, together: int = 200):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
+        self.most, self.together = most, together
+        lengths = {i: len(token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        lengths |= {i: len(token.content.encode()) for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.bytes = np.zeros(max(lengths) + 1, np.int64)
+        self.bytes[list(lengths)] = list(lengths.values())
+        # Each piece's place, and by place the end of its ids and whether it came again; arrays are longer than used.
         self.place: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.again[: len(self.place)])
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        start = self.ends[keep]
+        size = self.ends[keep + 1] - start
+        moved = np.cumsum(size)
+        total = int(size.sum())
+        self.ids[:total] = self.ids[np.repeat(start - moved + size, size) + np.arange(total)]
+        self.ends[1 : len(keep) + 1] = moved
+        self.again[:] = False
+        pieces = list(self.place)  # in the order of their places
+        self.place = {pieces[k]: place for place, k in enumerate(keep.tolist())}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
         texts = pc.fill_null(texts, "")
+        # Pieces carry the space before them; where white space meets a space, the text is not cut at it.
+        odd = pc.match_substring_regex(texts, f" {WHITE}|{WHITE} ")
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(whole):
+            return self._cut(texts)
+        own = [np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        rest, counts = self._cut(texts.filter(pc.invert(odd)))
+        # Text whole[k] stands before the cut text whole[k] - k.
+        cuts = np.concatenate([[0], np.cumsum(counts)])[whole - np.arange(len(whole))]
+        parts, done = [], 0
+        for x, cut in zip(own, cuts.tolist(), strict=True):
+            parts += [rest[done:cut], x]
+            done = cut
+        counts = np.insert(counts, whole - np.arange(len(whole)), [len(x) for x in own])
+        return np.concatenate([*parts, rest[done:]]), counts
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of texts that may be cut at each space."""
         # A single line end between other characters is a piece of its own; it gets spaces here so that one cut serves for both.
         alone = pc.invert(pc.match_substring_regex(texts, f"\n{WHITE}|{WHITE}\n"))
         lists = pc.split_pattern(pc.if_else(alone, pc.replace_substring(texts, "\n", " \n "), texts), " ")
-        flat, count = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.cumsum(count) - count
-        # Pieces carry the space before them; where white space meets a space, the text is not cut at it.
-        odd = pc.match_substring_regex(texts, f" {WHITE}|{WHITE} ").to_numpy(zero_copy_only=False)
+        flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
         coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(self.place) > self.most:
-            self._clear()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # not scalar by scalar
-        row = np.repeat(np.arange(len(count)), count)
-        lead = np.ones(len(code), bool)
-        line = pc.equal(flat, "\n").to_numpy(zero_copy_only=False)
+        lead = np.ones(len(flat), bool)
+        line = np.flatnonzero(pc.equal(flat, "\n").to_numpy(zero_copy_only=False))
         lead[line] = False
-        lead[1:][line[:-1]] = False
-        lead[first[count > 0]] = False
-        plain = ~odd[row]
-        used = np.zeros((2, len(words)), bool)
-        used[lead[plain].astype(np.int64), code[plain]] = True
-        at = np.zeros((2, len(words)), np.int64)
-        new: list[str] = []
-        for with_space in (0, 1):
-            mine = np.flatnonzero(used[with_space])
-            pieces = [" " + words[k] for k in mine.tolist()] if with_space else [words[k] for k in mine.tolist()]
-            found = list(map(self.place.get, pieces))
-            for j, place in enumerate(found):
-                if place is None:
-                    found[j] = self.place[pieces[j]] = len(self.place)
-                    new.append(pieces[j])
-            at[with_space, mine] = found
-        whole = np.flatnonzero(odd)
-        rest = [texts[int(k)].as_py() for k in whole]
-        self._learn(new)
-        piece = np.where(plain, at[lead.astype(np.int64), code], 0)
-        size = np.where(plain, self.ends[piece + 1] - self.ends[piece], 0) if len(self.ends) > 1 else np.zeros(len(piece), np.int64)
-        counts = np.bincount(row, weights=size, minlength=len(count)).astype(np.int64)
-        own = [np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        start = self.ends[piece] if len(self.ends) > 1 else piece
-        moved = np.cumsum(size) - size
-        out = self.ids[np.repeat(start - moved, size) + np.arange(size.sum())] if size.sum() else np.empty(0, np.uint32)
-        if own:
-            parts, cuts, done = [], np.cumsum(counts), 0
-            for k, x in zip(whole, own, strict=True):
-                parts += [out[done : cuts[k]], x]
-                done = cuts[k]
-                counts[k] = len(x)
-            out = np.concatenate([*parts, out[done:]])
-        return out, counts
-
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        lead[line + 1] = False  # a text has a piece after each line end
+        lead[np.concatenate([[0], ends])[:-1]] = False
+        # Each word without and with the space before it.
+        code = coded.indices.to_numpy(zero_copy_only=False) * 2 + lead
+        used = np.zeros(2 * len(words), bool)
+        used[code] = True
+        used = np.flatnonzero(used)
+        pieces = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in used.tolist()]
+        if len(self.place) > self.most:
+            self._forget()
+        found = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
+        if len(new):
+            known = len(self.place)
+            found[new] = np.arange(known, known + len(new))
+            new = [pieces[j] for j in new.tolist()]
+            self.place.update(zip(new, range(known, known + len(new)), strict=True))
+            self._learn(known, new)
+        at = np.zeros(2 * len(words), np.int64)
+        at[used] = found
+        piece = at[code]
+        start = self.ends[piece]
+        size = self.ends[piece + 1] - start
+        moved = np.cumsum(size)
+        out = self.ids[np.repeat(start - moved + size, size) + np.arange(moved[-1] if len(moved) else 0)]
+        return out, np.diff(np.concatenate([[0], moved])[np.concatenate([[0], ends])])
+
+    def _learn(self, known: int, new: list[str]) -> None:
+        """Keeps the ids of new pieces behind those of the pieces known."""
+        ids, size = self._encoded(new)
+        last = int(self.ends[known])
+        self.ends = _longer(self.ends, known + len(new) + 1)
+        self.ends[known + 1 : known + len(new) + 1] = last + np.cumsum(size)
+        self.again = _longer(self.again, len(self.ends))
+        self.ids = _longer(self.ids, last + len(ids))
+        self.ids[last : last + len(ids)] = ids
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in order, and the number of each."""
+        # A piece that has no space before it gets a line end, which is an id of its own.
+        texts = [x if x[:1] == " " else "\n" + x for x in pieces]
+        column = pa.array(texts, pa.large_string())
+        # White space at either end of a piece might join what stands beside it.
+        alone = pc.match_substring_regex(column, f"^[ \n]({WHITE}|$)|{WHITE}$").to_numpy(zero_copy_only=False)
+        joint = np.flatnonzero(~alone)
+        texts = [texts[k] for k in joint.tolist()] if alone.any() else texts
+        ids, _ = self._plain(["".join(texts[k : k + self.together]) for k in range(0, len(texts), self.together)])
+        to = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)[joint], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        till = np.searchsorted(ends, to)
+        if len(to) and (ends[-1] != to[-1] or (ends[till] != to).any()):
+            return self._plain(pieces)
+        own = np.diff(till, prepend=0)
+        lines = np.fromiter((x[0] == "\n" for x in texts), bool, len(texts))
+        drop = (till - own)[lines]
+        if (self.bytes[ids[drop]] != 1).any():
+            return self._plain(pieces)
+        ids, own = np.delete(ids, drop), own - lines
+        if len(joint) == len(pieces):
+            return ids, own
+        rest, size = np.empty(0, np.uint32), np.empty(len(pieces), np.int64)
+        rest, size[alone] = self._plain([pieces[k] for k in np.flatnonzero(alone).tolist()])
+        size[joint] = own
+        mine = np.repeat(~alone, size)
+        out = np.empty(len(mine), np.uint32)
+        out[mine], out[~mine] = ids, rest
+        return out, size
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _encoded, each text alone."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+
+def _longer(values: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n values, twice its size at least if it grows."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
 
 
 def _write(folder: str, tokenizer: str, end_id: int | None, width: int):

@@ -27,3 +27,47 @@ def test_known_pieces_cost_little():
         best.append(took / np.median(slow + [slowness() for _ in range(20)]) / 40_000 * 1e6)
         assert all((a == b).all() for a, b in zip(first, again, strict=True))
     assert min(best) < 1, best
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_pieces_are_encoded_together():
+    """20,012 new pieces: given to the tokenizer as 20,012 texts before, as 107 now, with the ids of the texts as they are."""
+    rows = [" ".join(f"w{i}x{j}" for j in range(1000)) + "\nŁast\t" for i in range(20)] + ["\tx", " 日本 don't", "a<|endoftext|>\n<|endoftext|> b", "", "a\n\nb c\n", "x "]
+    encoder = Encoder(tokenizer_path())
+    plain = encoder.tokenizer
+    encoder.tokenizer = Counted(plain)
+    ids, count = encoder.encode(pa.array(rows))
+    want = [x.ids for x in plain.encode_batch(rows, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+    assert encoder.tokenizer.texts < 200
+    # An id whose number of bytes is not the one expected: every piece is encoded alone.
+    encoder = Encoder(tokenizer_path())
+    encoder.bytes[want[0][5]] += 1
+    assert encoder.encode(pa.array(rows))[0].tolist() == ids.tolist()
+
+
+def test_pieces_that_come_again_are_remembered():
+    """Ten common words beside new ones, then alone: encoded a second time before when the memory was full."""
+    common = " ".join(f"c{i}" for i in range(10))
+    encoder = Encoder(tokenizer_path(), most=1000)
+    plain, encoder.tokenizer = encoder.tokenizer, Counted(encoder.tokenizer)
+    for k in range(3):
+        row = f"{common} {common}" + "".join(f" n{k}x{i}" for i in range(600)) * (k < 2)
+        before = encoder.tokenizer.texts
+        assert encoder.encode(pa.array([row]))[0].tolist() == plain.encode(row, add_special_tokens=False).ids
+    assert encoder.tokenizer.texts == before and len(encoder.place) == 11  # the first word of a text has no space before it
+    # Nearly all come again: the memory starts anew.
+    rows = pa.array(["".join(f" m{i}" for i in range(1500))])
+    for _ in range(3):
+        assert encoder.encode(rows)[0].tolist() == plain.encode(rows[0].as_py(), add_special_tokens=False).ids
+    assert len(encoder.place) == 1501
