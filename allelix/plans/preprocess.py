@@ -140,8 +140,7 @@ def outputs(alignment: Alignment, o: Options) -> dict[str, tuple[DataFrame, tupl
             out[f"{prefix}frequencies.txt"] = (text.frequency_lines(freq), ("locus",))
             out[f"{prefix}frequency_distribution.txt"] = (histogram.csv_lines(histogram.histogram(freq, "freq", 0.01), 0.01), ("bin",))
     if o.distance_matrix:
-        found = pairs.distances(alignment.cells, alignment.n_loci())
-        out["distances"] = (text.triangle(found, alignment.samples), ("place",))
+        out["distances"] = (text.distance_triangle(alignment.cells, alignment.samples, alignment.n_loci()), ("place",))
     if o.weights:
         out["weights"] = (text.weight_lines(alignment.samples), ("sample_id",))
     if o.alignment:

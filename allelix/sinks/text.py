@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.states import to_symbol
 from ..model import N_STATES
 from ..operators.blocks import sequences_of
+from ..operators.triangle import distance_texts
 from .files import write_free
 
 
@@ -60,6 +61,15 @@ def triangle(distances: DataFrame, samples: DataFrame) -> DataFrame:
     return named.select(F.col("sample_id").alias("place"), F.concat(head, F.coalesce("row", F.lit(""))).alias("line"))
 
 
+def distance_triangle(cells: DataFrame, samples: DataFrame, n_loci: int) -> DataFrame:
+    """As triangle() of all distances of the cells, without a table of pairs; samples has every sample of the cells."""
+    n = samples.agg(F.count("*").alias("n"), F.min("sample_id").alias("first"))
+    bare = samples.join(cells.select("sample_id").distinct(), "sample_id", "left_anti").select("sample_id", F.lit("").alias("row"))
+    named = distance_texts(cells, n_loci).unionByName(bare).crossJoin(F.broadcast(n))
+    head = F.when(F.col("sample_id") == F.col("first"), F.concat(F.lit("n="), F.col("n").cast("string"))).otherwise("")
+    return named.select(F.col("sample_id").alias("place"), F.concat(head, "row").alias("line"))
+
+
 def edge_lines(edges: DataFrame) -> DataFrame:
     """i, j, line: the two nodes, the weight with six digits, and the flag, separated by spaces."""
     return edges.select("i", "j", F.concat_ws(" ", "i", "j", six_digits(F.col("weight")), F.col("flag").cast("int")).alias("line"))

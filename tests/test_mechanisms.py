@@ -7,10 +7,11 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
+from allelix import queries
 from allelix.fixtures import sequence_cells
 from allelix.functions import masks
 from allelix.model import Alignment, samples_of
-from allelix.operators import blocks, crosstable, intervals, pairs, running, select
+from allelix.operators import blocks, crosstable, intervals, pairs, running, select, triangle
 from allelix.plans import preprocess
 from allelix.sinks import block_text, files, text
 from allelix.sources import lines, lists, sequences, xz
@@ -345,3 +346,18 @@ def test_strict_maf(spark):
     cells = cells_of(spark, ["aa-", "at-", "aa-"])
     assert select.snp_filter(cells, samples_of(cells), 0.0, 1.0).count() == 3
     assert values(select.snp_filter(cells, samples_of(cells), 0.0, 1.0, maf_strict=True)) == [(1,)]
+
+
+@pytest.mark.parametrize("length", [20, 300])
+def test_triangle_of_blocks_is_the_triangle_of_pairs(spark, monkeypatch, length):
+    """Ragged samples with wide ids in several blocks, some samples without cells: the lines of the table of pairs, and no such table in the plan."""
+    r = random.Random(length)
+    monkeypatch.setattr(triangle, "MOST", 4)
+    monkeypatch.setattr(pairs, "BLOCK_WORDS", 4)
+    rows = [(s * 7 - 30, k, r.randrange(5)) for s in range(11) for k in range(length - 3 * (s % 3))]
+    cells = spark.createDataFrame(rows, "sample_id long, locus int, state int").repartition(3)
+    samples = spark.createDataFrame([(s * 7 - 30,) for s in range(11)] + [(1,), (1000,)], "sample_id long")
+    found = text.distance_triangle(cells, samples, length)
+    assert values(found) == values(text.triangle(pairs.distances(cells, length), samples))
+    query = queries.distance_triangle_text(spark, "/root/testdata/sf0.001")
+    assert " distance#" not in query._jdf.queryExecution().optimizedPlan().toString()
