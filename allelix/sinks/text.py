@@ -23,6 +23,11 @@ def fasta(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.join(rows, "sample_id", "left").select("sample_id", F.concat(F.lit(">"), "name", F.lit("\n"), F.coalesce("sequence", F.lit(""))).alias("line"))
 
 
+def sequence_lines(sequences: DataFrame) -> DataFrame:
+    """sample_id, line: as fasta(), of whole sequences (sample_id, sequence), named by their ids."""
+    return sequences.select("sample_id", F.concat(F.lit(">"), F.col("sample_id").cast("string"), F.lit("\n"), F.coalesce("sequence", F.lit(""))).alias("line"))
+
+
 def loci_lines(loci: DataFrame, base: int = 1) -> DataFrame:
     return loci.select("ord", (F.col("locus") + base).cast("string").alias("line"))
 

@@ -41,9 +41,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return placed.join(F.broadcast(before), ["file", "split"]).select((F.col("before") + F.col("within") - 1).alias("sample_id"), "name", "body")
 
 
+def normal_sequences(records: DataFrame) -> DataFrame:
+    """sample_id, name, sequence: records in normal symbols, as whole texts."""
+    return records.select("sample_id", "name", normal_sequence(F.col("body")).alias("sequence"))
+
+
 def alignment_of(records: DataFrame, name: str = "alignment", genome_size: int = 0, strict: bool = False) -> Alignment:
     """An alignment from sample_id, name, body. The number of loci is the greatest length; strict: lengths must be equal."""
-    sequences = records.select("sample_id", "name", normal_sequence(F.col("body")).alias("sequence"))
+    sequences = normal_sequences(records)
     bounds = sequences.agg(F.count("*").alias("n"), F.max(F.length("sequence")).alias("most"), F.min(F.length("sequence")).alias("least")).first()
     if not bounds["n"]:
         raise ValueError(f"{name} has no sequences")

@@ -1,5 +1,6 @@
 """Intervals, masks, planes, bitmaps, records from lines and streams, xz blocks, joins by place, block text and free names."""
 
+import hashlib
 import lzma
 import random
 import tracemalloc
@@ -361,3 +362,13 @@ def test_triangle_of_blocks_is_the_triangle_of_pairs(spark, monkeypatch, length)
     assert values(found) == values(text.triangle(pairs.distances(cells, length), samples))
     query = queries.distance_triangle_text(spark, "/root/testdata/sf0.001")
     assert " distance#" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_as_fasta_keep_empty_and_null_texts_and_no_cells(spark, tmp_path):
+    texts = [(1, "Act\ngX"), (2, ""), (3, None), (4, ">a\n>t"), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.fasta_roundtrip(spark, str(tmp_path))
+    want = ["act-g-", "", None, "-a--t", ""]
+    digest = lambda x: x if x is None else hashlib.md5(x.encode()).hexdigest()
+    assert values(found) == [(k + 1, x if x is None else len(x), digest(x)) for k, x in enumerate(want)]
+    assert "posexplode(split(sequence" not in found._jdf.queryExecution().toString()
