@@ -372,3 +372,12 @@ def test_documents_as_fasta_keep_empty_and_null_texts_and_no_cells(spark, tmp_pa
     digest = lambda x: x if x is None else hashlib.md5(x.encode()).hexdigest()
     assert values(found) == [(k + 1, x if x is None else len(x), digest(x)) for k, x in enumerate(want)]
     assert "posexplode(split(sequence" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["hamming_distance"])
+def test_tiles_are_never_broadcast(spark, name):
+    """The copies of packed rows look as small as the rows themselves, which would let them be broadcast through the driver."""
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
