@@ -374,7 +374,7 @@ def test_documents_as_fasta_keep_empty_and_null_texts_and_no_cells(spark, tmp_pa
     assert "posexplode(split(sequence" not in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["hamming_distance", "pair_diagnostics"])
+@pytest.mark.parametrize("name", ["hamming_distance", "pair_diagnostics", "similar_pairs"])
 def test_tiles_are_never_broadcast(spark, name):
     """The copies of packed rows look as small as the rows themselves, which would let them be broadcast through the driver."""
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
