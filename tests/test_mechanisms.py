@@ -381,3 +381,15 @@ def test_tiles_are_never_broadcast(spark, name):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_samples_are_sent_to_few_blocks(spark, monkeypatch):
+    """A sample is sent once a block: 1,055 times for 540,000 samples before, 66 times now; and shares are those of plain rounding."""
+    assert [pairs.n_blocks(n) for n in (1, 513, 90_000, 540_000, 10**7)] == [1, 2, 64, 66, 1221]
+    monkeypatch.setattr(pairs, "BLOCK_SAMPLES", 3)
+    monkeypatch.setattr(pairs, "BLOCKS", 2)
+    monkeypatch.setattr(pairs, "MOST_SAMPLES", 4)
+    found = pairs.identities(cells_of(spark, ["atcg-a"[: 6 - k % 3] + "at"[k % 2] for k in range(13)]), 7, 13).cache()
+    share = F.round(pairs.fraction(F.col("same"), F.col("shorter")), 6)
+    assert pairs.n_blocks(13) == 4 and found.count() == 78
+    assert values(pairs.shares(found, 7, 6)) == values(found.select("i", "j", share.alias("identity")))
