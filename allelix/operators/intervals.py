@@ -91,6 +91,9 @@ def from_hybrid_text(texts: DataFrame) -> DataFrame:
     good = F.when(F.col("item").rlike("^[0-9a-f]+[-:][0-9a-f]+$"), F.col("item")).otherwise(F.raise_error(F.concat(F.lit("no piece of a set: "), "item")).cast("string"))
     pieces = items.select("set_id", good.alias("item")).select("set_id", F.contains("item", F.lit(":")).alias("field"), number(F.regexp_extract("item", "^[^-:]+", 0)).alias("begin"), number(F.regexp_extract("item", "[^-:]+$", 0)).alias("value"))
     runs = F.array(F.struct(F.col("begin").alias("first"), (F.col("value") - 1).alias("last")))
-    ones = F.expr(f"filter(sequence(0, {WIDE - 1}), k -> (shiftright(value, k) & 1L) = 1L)")
-    single = F.transform(ones, lambda k: F.struct((F.col("begin") + k).alias("first"), (F.col("begin") + k).alias("last")))
+    # A run of a field begins at a bit with none below it, and ends at one with none above; as many begin as end, in order.
+    bits = f"(value & {(1 << WIDE) - 1}L)"
+    at = lambda where: F.expr(f"filter(sequence(0, {WIDE - 1}), k -> (shiftright({where}, k) & 1L) = 1L)")
+    begins, ends = at(f"({bits} & ~shiftleft({bits}, 1))"), at(f"({bits} & ~shiftright({bits}, 1))")
+    single = F.zip_with(begins, ends, lambda x, y: F.struct((F.col("begin") + x).alias("first"), (F.col("begin") + y).alias("last")))
     return fused(pieces.select("set_id", F.inline(F.when(F.col("field"), single).otherwise(runs))))

@@ -393,3 +393,14 @@ def test_samples_are_sent_to_few_blocks(spark, monkeypatch):
     share = F.round(pairs.fraction(F.col("same"), F.col("shorter")), 6)
     assert pairs.n_blocks(13) == 4 and found.count() == 78
     assert values(pairs.shares(found, 7, 6)) == values(found.select("i", "j", share.alias("identity")))
+
+
+def test_bit_fields_are_read_as_runs(spark, monkeypatch):
+    """A field of 31 members was 31 intervals of the sweep, now one; any field gives its members."""
+    r, taken = random.Random(8), []
+    plain = intervals.fused
+    monkeypatch.setattr(intervals, "fused", lambda a, b=None: taken.append(a) or plain(a, b))
+    fields = [0x7FFFFFFF, 0xFFFFFFFF, 1, 1 << 31, 0xAAAAAAAA, *(r.getrandbits(32) for _ in range(20))]
+    texts = spark.createDataFrame([(k, f"40:{x:x}") for k, x in enumerate(fields)], "set_id int, text string")
+    want = runs({k: {64 + b for b in range(32) if x >> b & 1} for k, x in enumerate(fields)})
+    assert values(intervals.from_hybrid_text(texts)) == want == values(taken[0])
