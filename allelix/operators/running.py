@@ -22,14 +22,16 @@ def running_chunks(rows: DataFrame, order: str, sums: dict[str, Column], group:
     """
     group, before = group or [], before or []
     keys = [*group, *before, "_chunk"]
-    cut = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # One key, never null, for the window, the totals and the join: the rows are dealt once, and stay.
+    cut = rows.withColumn("_chunk", F.struct(*group, *before, F.floor(F.col(order) / CHUNK).alias("_chunk")))
+    upto = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = cut.withColumns({name: F.sum(x.cast("long")).over(upto) for name, x in sums.items()})
-    totals = cut.groupBy(*keys).agg(*[F.sum(x.cast("long")).alias(name) for name, x in sums.items()])
-    earlier = Window.partitionBy(*group).orderBy(*before, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
-    met = each.join(carried, [each[k].eqNullSafe(carried[f"_k{i}"]) for i, k in enumerate(keys)])
-    return met.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_chunk", *[f"_k{i}" for i in range(len(keys))], *[f"_{name}" for name in sums])
+    totals = cut.groupBy("_chunk").agg(*[F.sum(x.cast("long")).alias(name) for name, x in sums.items()])
+    part = {k: F.col("_chunk").getField(k) for k in keys}
+    earlier = Window.partitionBy(*[part[k] for k in group]).orderBy(*[part[k] for k in keys[len(group) :]]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_chunk", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
+    met = each.join(carried, "_chunk")
+    return met.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_chunk", *[f"_{name}" for name in sums])
 
 
 def running(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:

@@ -404,3 +404,13 @@ def test_bit_fields_are_read_as_runs(spark, monkeypatch):
     texts = spark.createDataFrame([(k, f"40:{x:x}") for k, x in enumerate(fields)], "set_id int, text string")
     want = runs({k: {64 + b for b in range(32) if x >> b & 1} for k, x in enumerate(fields)})
     assert values(intervals.from_hybrid_text(texts)) == want == values(taken[0])
+
+
+def test_running_sums_deal_rows_once(spark, monkeypatch):
+    """Groups of null are a group, and the rows meet their carry where the window left them: one exchange for both."""
+    monkeypatch.setattr(running, "CHUNK", 4)
+    rows = [(g, k, k % 3) for g in (None, 1, 2) for k in range(10)]
+    found = running.running_chunks(spark.createDataFrame(rows, "g int, k long, x long"), "k", {"s": F.col("x")}, ["g"])
+    assert sorted((r["g"] or 0, r["k"], r["s"]) for r in found.collect()) == [(g, k, sum(i % 3 for i in range(k + 1))) for g in (0, 1, 2) for k in range(10)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "coalesce(g#" not in plan and "isnull(g#" not in plan
